@@ -173,11 +173,11 @@ def _links(classes: DataFrame, size: int, percent: int, rounds: int) -> tuple[Da
         left = now.select("bucket", F.col("rid").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
         if turn < rounds:
             pick = F.col("rid") if turn == 0 else F.xxhash64("rid", "bucket", F.lit(turn))
-            right = now.groupBy("bucket").agg(F.min(F.struct(pick, "rid", "size", "component")).alias("c"))
+            right = now.groupBy("bucket").agg(F.min(F.struct(pick.alias("order"), "rid", "size", "component")).alias("c"))
             right = right.select("bucket", F.col("c.rid").alias("b"), F.col("c.size").alias("size_b"), F.col("c.component").alias("component_b"))
             pairs = left.join(right, "bucket").where("component_a <> component_b")
         else:
-            right = left.select("bucket", *(F.col(c).alias(c.replace("a", "b") if c == "a" else c[:-1] + "b") for c in left.columns[1:]))
+            right = left.select("bucket", F.col("a").alias("b"), F.col("size_a").alias("size_b"), F.col("component_a").alias("component_b"))
             pairs = left.join(right, "bucket").where("component_a < component_b")
         pairs = pairs.where(fits).select("a", "b").distinct()
         low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")

@@ -28,7 +28,7 @@ NAMES = [k for k, _, _ in PATTERNS] + ["term"]
 OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 TERM = r"(?<=\s)\p{L}{3,}(?=[,;:!?.]?\s)"
 #: Candidate terms are looked for by the low bits of their hash: at most this many rows are broadcast.
-BUCKETS = 65_536
+BUCKETS = 1 << 20
 
 
 def _luhn(digits: Column) -> Column:
@@ -110,13 +110,17 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, least_texts: int = 3, gen
     near = near.select("rid", "doc_id", "copy", "entity", F.lower("x.term").alias("term"), F.col("x.start").alias("start"), (F.col("x.start") + F.length("x.term")).alias("end"))
     near = staged(near, "near")
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("rid").alias("together"), F.count_distinct("copy").alias("texts"))
-    pairs = staged(pairs.where(F.col("texts") >= least_texts), "pairs")
     entities = hits.where("valid").select(F.struct("kind", F.lower("hit")).alias("entity"), "rid").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    # a term that stands beside entities in this many documents already has too many for its pair's threshold
+    seen = near.groupBy("term").agg(F.count_distinct("rid").alias("seen"))
+    limit = F.col("together") * F.pow(F.lit(float(total)) / F.col("with_entity"), F.lit(1 - generalise))
+    pairs = pairs.where(F.col("texts") >= least_texts).join(entities, "entity").join(seen, "term").where(F.col("seen") <= limit * 1.000001)
+    pairs = staged(pairs.drop("seen"), "pairs")
     buckets = pairs.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")).distinct()
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+", -1))
     corpus = docs.where("text is not null").select(F.explode(words).alias("term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
     corpus = corpus.join(F.broadcast(buckets), "bucket", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    scored = pairs.join(entities, "entity").join(corpus, "term")
+    scored = pairs.join(corpus, "term")
     pmi = F.log2(F.lit(float(total)) * F.col("together") / (F.col("with_entity") * F.col("with_term")))
     scored = scored.withColumn("disclosure", F.when(F.col("with_entity") < total, pmi / -F.log2(F.col("with_entity") / F.lit(float(total)))).otherwise(0.0))
     scored = scored.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
