@@ -89,7 +89,12 @@ def mix(docs: DataFrame, block: int = 1024, weights: tuple[int, ...] = (3, 1, 2)
     after a source's last drawn word makes each source take its target, rounded down to whole words.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    rows = staged(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")), "mix")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
+    return _mixed(staged(rows, "mix"), block, weights, share, most).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mixed(rows: DataFrame, block: int, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """rows (rid, doc_id, source, size) with source_size, target and taken."""
     rows = rows.withColumn("key", _key(F.col("doc_id")))
     plan = staged(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     # running sums of sizes: over runs of hashes first, then within each run
@@ -117,4 +122,18 @@ def mix(docs: DataFrame, block: int = 1024, weights: tuple[int, ...] = (3, 1, 2)
     taken = hit.groupBy("rid").agg(F.sum(F.greatest(high - low, F.lit(0))).alias("taken"))
     out = rows.join(taken, "rid", "left")
     out = out.join(p, out["source"].eqNullSafe(p["ps"]))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("rid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def repeat_taken(docs: DataFrame, block: int = 1024, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of docs, all columns, each as often as mix() takes it: taken / size, rounded up.
+
+    Documents are never cut: the one in a source that is taken in part comes whole. A document without
+    words is taken by no block and goes.
+    """
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    whole = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid"), size.alias("size")), "whole")
+    rows = whole.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").alias("source"), "size")
+    taken = _mixed(rows, block, weights, share, most).where("taken > 0").select("rid", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    out = whole.select("rid", "row").join(taken, "rid")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
