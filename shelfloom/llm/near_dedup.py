@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from .storage import staged
 from .words import Words, slices, texts_of
 
-BANDS, ROWS = 30, 5
-#: Members of a centre that one task verifies at a time.
-GROUP = 512
+BANDS, ROWS, MINIMA = 30, 5, 450
+#: Members of a centre that one task verifies at a time; members of a bucket's block that are compared in one task.
+GROUP, BLOCK = 512, 1024
 #: Pairs are verified if this share of their minima's low bytes agree: 0.8 less four standard deviations.
-LEAST_ESTIMATE = 0.67
+LEAST_ESTIMATE = 0.72
+#: Texts to verify are looked for by the low bits of their row's hash: at most this many rows are broadcast.
+BUCKETS = 1 << 22
 
 
 def _minima(sets: list[np.ndarray], count: int) -> np.ndarray:
@@ -51,7 +53,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, 2, 1_000_000):
                 sets = Words(texts_of(batch, 2)).shingles(size)
-                minima = _minima(sets, BANDS * ROWS)
+                minima = _minima(sets, MINIMA)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 rows = [np.frombuffer(b"".join(hashlib.blake2b(m[k * ROWS : (k + 1) * ROWS].tobytes(), digest_size=8).digest() for k in range(BANDS)), "<i8") for m in minima]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
@@ -83,7 +85,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     dealt = pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "groups").cast("int").alias("part"))
     roles = dealt.select(F.col("b").alias("rid"), "b", "part", F.lit(0).alias("role")).distinct()
     roles = roles.union(dealt.select(F.col("a").alias("rid"), "b", "part", F.lit(1).alias("role")))
-    rows = texts.select("rid", "text").join(roles, "rid").select("b", "part", "role", "rid", "text")
+    place = F.pmod(F.xxhash64("rid"), F.lit(BUCKETS)).cast("int")
+    few = roles.select(place.alias("place")).distinct()
+    wanted = texts.select("rid", "text", place.alias("place")).join(F.broadcast(few), "place", "left_semi")
+    rows = wanted.hint("merge").join(roles, "rid").select("b", "part", "role", "rid", "text")
     rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +148,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
     """Bucket members with their component; a node without links is its own."""
     joined = members.join(components.withColumnRenamed("node", "rid"), "rid", "left")
-    return joined.select("bucket", "rid", "size", F.coalesce("component", "rid").alias("component"))
+    return joined.select("bucket", "band", "rid", "size", F.coalesce("component", "rid").alias("component"))
 
 
 def _still_open(members: DataFrame) -> DataFrame:
@@ -152,49 +157,74 @@ def _still_open(members: DataFrame) -> DataFrame:
     return members.join(mixed.select("bucket"), "bucket")
 
 
-def _links(classes: DataFrame, size: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """classes (rid, text, n_shingles, minima, bands) to their verified links and components."""
+def _across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components that share a bucket and whose minima agree often enough.
+
+    A bucket is compared in blocks, and what doesn't agree never leaves the task. A pair comes from the
+    first band that it shares only.
+    """
+    parts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = members.join(parts, "bucket").join(classes.select("rid", "minima", "bands"), "rid")
+    part = F.pmod(F.xxhash64("rid"), "parts").cast("int")
+    rows = rows.select("bucket", "band", "rid", "component", "size", "minima", "bands", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    key = F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
+
+    def run(table: pa.Table) -> pa.Table:
+        rid, component, size, part = (table[c].to_numpy() for c in ("rid", "component", "size", "part"))
+        minima = np.frombuffer(b"".join(table["minima"].to_pylist()), np.uint8).reshape(len(rid), -1)
+        bands = np.asarray(table["bands"].combine_chunks().flatten(), np.int64).reshape(len(rid), -1)
+        band, low, high = table["band"][0].as_py(), table["low"][0].as_py(), table["high"][0].as_py()
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for start in range(0, len(left), 64):
+            i = left[start : start + 64]
+            small, large = np.minimum(size[i][:, None], size[right]), np.maximum(size[i][:, None], size[right])
+            x, y = np.nonzero((component[i][:, None] != component[right]) & (100 * small >= percent * large) & ((low != high) | (rid[i][:, None] < rid[right])))
+            x, y = i[x], right[y]
+            for k in range(0, len(x), 20_000):
+                p, q = x[k : k + 20_000], y[k : k + 20_000]
+                first = (bands[p] == bands[q]).argmax(1) == band
+                p, q = p[first], q[first]
+                alike = (minima[p] == minima[q]).mean(1) >= LEAST_ESTIMATE
+                found.append((p[alike], q[alike]))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in (0, 1))
+        return pa.table({"a": pa.array(rid[a], pa.int64()), "b": pa.array(rid[b], pa.int64())})
+
+    return rows.select("*", *key).groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long")
+
+
+def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int, rounds: int) -> DataFrame:
+    """classes (rid, n_shingles, minima, bands) to the components (node, component) that verified links make."""
     buckets = classes.select("rid", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "key"))
-    buckets = buckets.select("rid", "size", F.xxhash64("band", "key").alias("bucket"))
+    buckets = buckets.select("rid", "size", "band", F.xxhash64("band", "key").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = staged(buckets.join(shared, "bucket"), "buckets")
+    members = staged(buckets.hint("merge").join(shared, "bucket"), "buckets")
     minima = classes.select("rid", "minima")
-    spark = classes.sparkSession
-    links = components = None
-    tested = spark.createDataFrame([], "a long, b long")
+    components = None
     for turn in range(rounds + 1):
         if turn:
-            members = staged(_still_open(_labelled(members.select("bucket", "rid", "size"), components)), "open")
+            members = staged(_still_open(_labelled(members.drop("component"), components)), "open")
             if members.isEmpty():
                 break
         now = members if turn else members.withColumn("component", F.col("rid"))
-        # fits: what the sizes of two sets allow at best
-        fits = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-        left = now.select("bucket", F.col("rid").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
         if turn < rounds:
             pick = F.col("rid") if turn == 0 else F.xxhash64("rid", "bucket", F.lit(turn))
-            right = now.groupBy("bucket").agg(F.min(F.struct(pick.alias("order"), "rid", "size", "component")).alias("c"))
-            right = right.select("bucket", F.col("c.rid").alias("b"), F.col("c.size").alias("size_b"), F.col("c.component").alias("component_b"))
-            pairs = left.join(right, "bucket").where("component_a <> component_b")
+            centre = now.groupBy("bucket").agg(F.min(F.struct(pick.alias("order"), "rid", "size", "component")).alias("c"))
+            pairs = now.join(centre, "bucket").where("component <> c.component")
+            pairs = pairs.where(100 * F.least("size", "c.size") >= percent * F.greatest("size", "c.size"))
+            pairs = pairs.select(F.col("rid").alias("a"), F.col("c.rid").alias("b")).distinct()
+            left, right = (minima.select(F.col("rid").alias(x), F.col("minima").alias(f"minima_{x}")) for x in ("a", "b"))
+            alike = _alike(pairs.join(left, "a").join(right, "b").select("a", "b", "minima_a", "minima_b"))
         else:
-            right = left.select("bucket", F.col("a").alias("b"), F.col("size_a").alias("size_b"), F.col("component_a").alias("component_b"))
-            pairs = left.join(right, "bucket").where("component_a < component_b")
-        pairs = pairs.where(fits).select("a", "b").distinct()
-        low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-        if turn:
-            seen = tested.select(low, high).select(F.col("a").alias("x"), F.col("b").alias("y"))
-            pairs = pairs.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-        pairs = staged(pairs, "pairs")
-        tested = tested.union(pairs)
-        with_minima = pairs.join(minima.select(F.col("rid").alias("a"), F.col("minima").alias("ma")), "a").join(minima.select(F.col("rid").alias("b"), F.col("minima").alias("mb")), "b")
-        alike = staged(_alike(with_minima.select("a", "b", "ma", "mb")), "alike")
+            alike = _across(members, classes, percent)
+        alike = staged(alike, "alike")
         if turn and alike.isEmpty():
             continue
-        new = staged(_verified(alike, classes, size, percent), "links")
-        links = links.union(new) if links is not None else new
-        known = components.select(F.col("node").alias("a"), F.col("component").alias("b")) if components is not None else None
-        components = staged(connected_components(new.union(known) if known is not None else new), "components")
-    return links, components
+        new = staged(_verified(alike, texts, size, percent), "links")
+        if components is not None:
+            new = new.union(components.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        components = staged(connected_components(new), "components")
+    return components
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80, rounds: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -208,11 +238,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80,
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = staged(signatures(rows, shingle_words), "signatures")
     sets = signed.where("digest is not null")
-    heads = sets.groupBy("digest").agg(F.min("rid").alias("head"))
-    of = staged(sets.select("rid", "doc_id", "digest").join(heads, "digest").select("rid", "doc_id", "head"), "classes")
-    first_of_class = of.where("rid = head").select("rid")
-    classes = staged(signed.join(first_of_class, "rid").select("rid", "text", "n_shingles", "minima", "bands"), "class_heads")
-    _, components = _links(classes, shingle_words, percent, rounds)
+    head = F.min_by(F.struct("rid", "n_shingles", "minima", "bands"), "rid").alias("head")
+    classes = staged(sets.groupBy("digest").agg(head).select("digest", "head.*"), "classes")
+    of = sets.select("rid", "doc_id", "digest").join(classes.select("digest", F.col("rid").alias("head")), "digest").select("rid", "doc_id", "head")
+    components = _links(classes, signed, shingle_words, percent, rounds)
     part = components.select(F.col("node").alias("head"), "component")
     labelled = of.join(part, "head", "left").select("rid", "doc_id", F.coalesce("component", "head").alias("component"))
     order: Column = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
