@@ -139,7 +139,7 @@ def dedup_check(candidates: DataFrame, books: DataFrame) -> DataFrame:
     candidates: work_key, title, author, isbns. books: id, work_key, isbn, title, author. The first method
     that matches names the match; it is ambiguous if it gives several books or another method gives others.
     """
-    mine = candidates.withColumn("identity", work_identity(F.col("title"), F.col("author")))
+    mine = candidates.select("work_key", "isbns", work_identity(F.col("title"), F.col("author")).alias("identity"))
     theirs = books.withColumn("identity", work_identity(F.col("title"), F.col("author")))
     by_key = mine.join(theirs.select("work_key", "id"), "work_key").select("work_key", "id", F.lit(1).alias("method"))
     by_isbn = mine.select("work_key", F.explode("isbns").alias("isbn")).join(theirs.select("isbn", "id"), "isbn").select("work_key", "id", F.lit(2).alias("method"))

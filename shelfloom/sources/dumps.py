@@ -74,7 +74,7 @@ def latest_revision(rows: DataFrame) -> DataFrame:
 
 def signal_rows(lines: DataFrame) -> DataFrame:
     """Log lines of exactly four fields: work_key, edition_key, value, event_date, reject_reason."""
-    f = F.transform(F.split("value", "\t", -1), F.trim)
+    f = F.transform(F.split("value", "\t", -1), lambda x: F.trim(x))
     part = lambda k: F.get("f", F.lit(k))
     rows = lines.where(F.trim("value") != "").withColumn("f", f)
     shaped = (

@@ -50,7 +50,7 @@ def catalog_errors(rows: DataFrame) -> DataFrame:
 
 def release_errors(rows: DataFrame, first: str = "2025-01-01", last: str = "2027-12-31") -> DataFrame:
     """Release rows with all their errors: ISBN, date in range, https links, one to three different genres."""
-    genres = F.filter(F.transform(F.split("genres", ";"), F.trim), lambda x: x != "")
+    genres = F.filter(F.transform(F.split("genres", ";"), lambda x: F.trim(x)), lambda x: x != "")
     day = strict_day(F.col("publicationDate"))
     out = rows.withColumn("genre_list", genres)
     return out.withColumn("errors", all_reasons([
