@@ -245,8 +245,8 @@ def halves(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "dedup_check",
-    f"""select m.work_key, title, case when every is null then 'new' when n1 > 1 or len(every) > n1 then 'ambiguous' else 'existing' end as status, coalesce(array_to_string(every, ','), '') as matched_ids, by as matched_by from mine m left join
-        (select key, list_sort(list_distinct(flatten(list(ids)))) as every, arg_min(len(ids), method) as n1, arg_min(case method when 1 then 'work_key' else 'title_author' end, method) as by from
+    f"""select m.work_key, title, case when every is null then 'new' when n1 > 1 or len(every) > n1 then 'ambiguous' else 'existing' end as status, coalesce(array_to_string(every, ','), '') as matched_ids, how as matched_by from mine m left join
+        (select key, list_sort(list_distinct(flatten(list(ids)))) as every, arg_min(len(ids), method) as n1, arg_min(case method when 1 then 'work_key' else 'title_author' end, method) as how from
          (select key, method, list(distinct id) as ids from (select m.work_key as key, t.id, 1 as method from mine m join theirs t on t.work_key = m.work_key
           union all select m.work_key, t.id, 3 from mine m join theirs t on {TITLE_KEY.format('m.title')} = {TITLE_KEY.format('t.title')} and lower(m.author) = lower(t.author)) group by 1, 2) group by 1) h on h.key = m.work_key""",
     *HALVES,

@@ -1,0 +1,132 @@
+"""Queries over command logs made of the event table, in batch and as streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.files import scratch_dir
+from ..streaming import commands as cmd
+from .registry import query
+from .views import Tables
+
+COMMANDS = (
+    "commands",
+    """select event_id as command_id, ts, user_id, event_id % 7 as book_id, case event_type when 'view' then 'currently_reading' when 'purchase' then 'read' when 'signup' then 'want_to_read' end as status,
+       case when event_type = 'click' then cast(floor(value) as int) % 5 + 1 end as rating, event_type = 'error' as removes from events""",
+)
+
+
+def commands(t: Tables) -> DataFrame:
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "currently_reading").when(kind == "purchase", "read").when(kind == "signup", "want_to_read")
+    return t.raw("events").select(
+        F.col("event_id").alias("command_id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", (F.col("event_id") % 7).alias("book_id"), status.alias("status"),
+        F.when(kind == "click", F.floor("value").cast("int") % 5 + 1).alias("rating"), (kind == "error").alias("removes"), F.lit(None).cast("date").alias("finished_on"),
+    )
+
+
+@query(
+    "shelf_events",
+    """select command_id, type, case when type = 'finished_reading' then cast(ts as date) end as finished_on, case when type = 'rated_book' then rating end as rating from
+       (select *, case when status is not null and status is distinct from old_status and status = 'currently_reading' then 'started_reading' when status is not null and status is distinct from old_status and status = 'read' then 'finished_reading'
+                       when rating is not null and rating is distinct from old_rating then 'rated_book' end as type from
+        (select *, last_value(status ignore nulls) over w as old_status, last_value(rating ignore nulls) over w as old_rating from commands where not removes
+         window w as (partition by user_id, book_id order by ts, command_id rows between unbounded preceding and 1 preceding))) where type is not null""",
+    COMMANDS,
+)
+def shelf_events(t: Tables) -> DataFrame:
+    return cmd.shelf_events(commands(t).where("not removes")).select("command_id", "type", "finished_on", "rating")
+
+
+@query(
+    "shelf_state",
+    """select user_id, book_id, case when r is null or s > r then status end as status, rating from
+       (select user_id, book_id, arg_max(status, (ts, command_id)) filter (status is not null and not removes) as status, arg_max(rating, (ts, command_id)) filter (rating is not null and not removes) as rating,
+               max((ts, command_id)) filter (status is not null and not removes) as s, max((ts, command_id)) filter (removes) as r, arg_max(removes, (ts, command_id)) as gone from commands group by 1, 2)
+       where not gone or rating is not null""",
+    COMMANDS,
+)
+def shelf_state(t: Tables) -> DataFrame:
+    return cmd.shelf_state(commands(t))
+
+
+@query("current_reviews", "select user_id, book_id, arg_max(rating, (ts, command_id)) as rating, min(ts) as created_at from commands where rating is not null group by 1, 2", COMMANDS)
+def current_reviews(t: Tables) -> DataFrame:
+    writes = commands(t).where("rating is not null").withColumn("text", F.col("command_id").cast("string"))
+    return cmd.review_log(writes)[0].select("user_id", "book_id", "rating", "created_at")
+
+
+@query("review_events", "select command_id, user_id, book_id, 'reviewed_book' as type, rating, command_id::varchar as snapshot from commands where rating is not null qualify row_number() over (partition by user_id, book_id order by ts, command_id) = 1", COMMANDS)
+def review_events(t: Tables) -> DataFrame:
+    writes = commands(t).where("rating is not null").withColumn("text", F.col("command_id").cast("string"))
+    return cmd.review_log(writes)[1]
+
+
+@query(
+    "like_state",
+    "select review_id, count(*) as likes, count(*) filter (owner <> user_id) as notified from (select user_id, event_id % 200 as review_id, arg_max(event_type = 'click', (ts, event_id)) as liked from events where event_type in ('click', 'error') group by 1, 2) join (select id, user_id as owner from reviews) r on r.id = review_id where liked group by 1",
+)
+def like_state(t: Tables) -> DataFrame:
+    e = t.raw("events").where("event_type in ('click', 'error')")
+    log = e.select("ts", F.col("event_id").alias("command_id"), "user_id", (F.col("event_id") % 200).alias("review_id"), (F.col("event_type") == "click").alias("liked"))
+    return cmd.like_state(log, t.reviews)
+
+
+@query("request_state")
+def request_state(t: Tables) -> DataFrame:
+    e = t.raw("events")
+    action = F.when(F.col("event_type").isin("view", "click"), "request").when(F.col("event_type") == "error", "remove").otherwise("accept")
+    return cmd.request_state(e.select("ts", F.col("event_id").alias("command_id"), F.col("user_id").alias("actor"), (F.col("user_id") + 1 + F.col("event_id") % 2).alias("target"), action.alias("action")))
+
+
+@query(
+    "corrected_finishes",
+    """select user_id, book_id, case when n = 1 and new_day is not null then new_day else finished_on end as finished_on, false as historical from
+       (select a.*, c.new_day, row_number() over (partition by a.user_id, a.book_id order by created_at desc, a.id desc) as n from activities a left join corrections c on c.user_id = a.user_id and c.book_id = a.book_id where type = 'finished_reading')
+       union all select user_id, book_id, new_day, true from corrections c where not exists (select 1 from activities a where type = 'finished_reading' and a.user_id = c.user_id and a.book_id = c.book_id)""",
+    ("corrections", "select user_id, event_id % 20 as book_id, arg_max(cast(ts as date), ts) as new_day from events where event_type = 'error' group by 1, 2"),
+)
+def corrected_finishes(t: Tables) -> DataFrame:
+    fixes = t.raw("events").where("event_type = 'error'").select("user_id", (F.col("event_id") % 20).alias("book_id"), "ts", F.to_date("ts").alias("finished_on"))
+    return cmd.corrected_finishes(t.activities.where("type = 'finished_reading'"), fixes)
+
+
+@query("first_reads", "select event_id % 500 as notification_id, min(ts) as read_at from events where event_type = 'view' group by 1")
+def first_reads(t: Tables) -> DataFrame:
+    reads = t.raw("events").where("event_type = 'view'").select((F.col("event_id") % 500).alias("notification_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return cmd.first_reads(reads)
+
+
+@query("backfilled_finishes", "select id, case when type = 'finished_reading' and (finished_on is null or finished_on = cast(created_at as date) - 1) then cast(created_at as date) else finished_on end as finished_on from activities")
+def backfilled_finishes(t: Tables) -> DataFrame:
+    return cmd.backfilled(t.activities.withColumn("created_at", F.col("created_at").cast("timestamp")), "America/New_York").select("id", "finished_on")
+
+
+def _stream(t: Tables, name: str) -> DataFrame:
+    """A table's file as a stream; as a pattern, since a stream's plain path has to be a folder."""
+    return t.spark.readStream.schema(t.raw(name).schema).parquet(f"{t.sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
+
+@query("stream_running_ratings", "select event_id % 50 as book_id, round(avg(cast(floor(value) as int) % 5 + 1), 9) as average_rating, count(*) as ratings_count from events group by 1")
+def stream_running_ratings(t: Tables) -> DataFrame:
+    """The event file as a stream of ratings, its running cache upserted into a table."""
+    ratings = _stream(t, "events").select((F.col("event_id") % 50).alias("book_id"), (F.floor("value").cast("int") % 5 + 1).alias("rating"))
+    out = scratch_dir(t.spark, "ratings")
+    running = cmd.upsert_batches(cmd.running_ratings(ratings), f"{out}/table", f"{out}/state", "book_id")
+    running.awaitTermination()
+    found = t.spark.read.parquet(f"{out}/table")
+    latest = found.agg(F.max("version")).first()[0]
+    return found.where(F.col("version") == latest).select("book_id", F.round("average_rating", 9).alias("average_rating"), "ratings_count")
+
+
+@query("stream_live_feed", "select reader, count(*) as items from (select e.user_id, e.ts from events e where event_type = 'purchase') a join (select user_a as reader, user_b as friend, accepted_at as since from friendships where status = 'accepted' union all select user_b, user_a, accepted_at from friendships where status = 'accepted') f on a.user_id = f.friend and a.ts >= f.since group by 1")
+def stream_live_feed(t: Tables) -> DataFrame:
+    """A stream of purchases joined with the accepted friendships as they stand."""
+    from ..operators.readers import both_ways
+
+    acts = _stream(t, "events").where("event_type = 'purchase'").select("user_id", F.col("ts").cast("timestamp").alias("created_at"))
+    out = scratch_dir(t.spark, "feed")
+    feed = cmd.live_feed(acts, both_ways(t.friendships)).select("reader", "created_at")
+    feed.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/table").awaitTermination()
+    return t.spark.read.schema("reader long, created_at timestamp").parquet(f"{out}/table").groupBy("reader").agg(F.count("*").alias("items"))

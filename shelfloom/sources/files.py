@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,3 +97,13 @@ def differences(plan: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of the plan that are missing and rows that it doesn't have; empty after a complete run."""
     missing = plan.exceptAll(found.select(plan.columns)).withColumn("side", F.lit("missing"))
     return missing.unionByName(found.select(plan.columns).exceptAll(plan).withColumn("side", F.lit("unexpected")))
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's spark.checkpoint.dir; a temporary one only in local mode without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="shelfloom-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
