@@ -216,7 +216,7 @@ def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int, rounds
             left, right = (minima.select(F.col("rid").alias(x), F.col("minima").alias(f"minima_{x}")) for x in ("a", "b"))
             alike = _alike(pairs.join(left, "a").join(right, "b").select("a", "b", "minima_a", "minima_b"))
         else:
-            alike = _across(members, classes, percent)
+            alike = _across(now, classes, percent)
         alike = staged(alike, "alike")
         if turn and alike.isEmpty():
             continue
