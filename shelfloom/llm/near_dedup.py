@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from .storage import staged
 from .words import Words, slices, texts_of
 
-BANDS, ROWS, MINIMA = 30, 5, 450
+BANDS, ROWS, MINIMA = 30, 5, 600
 #: Members of a centre that one task verifies at a time; members of a bucket's block that are compared in one task.
 GROUP, BLOCK = 512, 1024
 #: Pairs are verified if this share of their minima's low bytes agree: 0.8 less four standard deviations.
-LEAST_ESTIMATE = 0.72
+LEAST_ESTIMATE = 0.735
 #: Texts to verify are looked for by the low bits of their row's hash: at most this many rows are broadcast.
 BUCKETS = 1 << 22
 
@@ -82,7 +82,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     A centre's text goes once to each task with GROUP of its members, not once a pair.
     """
     counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    dealt = pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "groups").cast("int").alias("part"))
+    dealt = staged(pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "groups").cast("int").alias("part")), "dealt")
     roles = dealt.select(F.col("b").alias("rid"), "b", "part", F.lit(0).alias("role")).distinct()
     roles = roles.union(dealt.select(F.col("a").alias("rid"), "b", "part", F.lit(1).alias("role")))
     place = F.pmod(F.xxhash64("rid"), F.lit(BUCKETS)).cast("int")
