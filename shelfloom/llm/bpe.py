@@ -186,5 +186,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                     columns += [pa.array([s[k].astype(np.int32) for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
                     names += ["ids", "starts", "ends"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.known.clear()  # a worker that goes on to other tasks keeps no tables
+        bpe.words.clear()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, kinds)
