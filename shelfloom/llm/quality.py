@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +109,7 @@ def pattern_counts(docs: DataFrame) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(PATTERNS, np.int64)
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in slices(whole, 0, 1_000_000):
                 counts += np.bincount(pattern_number(Measured(texts_of(batch, 0), stop).votes()), minlength=PATTERNS)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], ["pattern", "n"])
@@ -134,16 +135,15 @@ def estimate(counts: dict[int, int], rounds: int = 100) -> tuple[np.ndarray, np.
     return good, accuracy, prior
 
 
-def _train(rows: list, rounds: int = 200, rate: float = 0.3, shrink: float = 1e-5) -> np.ndarray:
+def _train(rows: pa.Table, rounds: int = 200, rate: float = 0.3, shrink: float = 1e-5) -> np.ndarray:
     """Weights of a logistic scorer on soft labels; the last is the bias."""
     size = 1 << PLACES_BITS
     weights = np.zeros(size + 1)
-    if not rows:
+    if not len(rows):
         return weights
-    of = np.repeat(np.arange(len(rows)), [len(r["places"]) for r in rows])
-    at = np.concatenate([np.asarray(r["places"], np.int64) for r in rows])
-    value = np.concatenate([np.asarray(r["shares"], np.float64) for r in rows])
-    label = np.array([r["label"] for r in rows])
+    label, places, shares = (rows[c].combine_chunks() for c in ("label", "places", "shares"))
+    label, of = label.to_numpy(), np.repeat(np.arange(len(rows)), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+    at, value = places.flatten().to_numpy(), shares.flatten().to_numpy().astype(np.float64)
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-(np.bincount(of, weights[at] * value, len(rows)) + weights[-1]).clip(-30, 30)))
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, sample: int = 4000) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in slices(whole, 0, 1_000_000):
                 seen = Measured(texts_of(batch, 0), stop)
                 places, shares = [], []
                 for p, n in _bags(seen):
@@ -170,11 +170,11 @@ def fit(docs: DataFrame, sample: int = 4000) -> np.ndarray:
                     shares.append(n)
                 label = posterior[pattern_number(seen.votes())]
                 kinds = pa.list_(pa.int32()), pa.list_(pa.float32())
-                yield pa.RecordBatch.from_arrays([pa.array(places, kinds[0]), pa.array(shares, kinds[1]), pa.array(label)], ["places", "shares", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(places, kinds[0]), pa.array(shares, kinds[1]), batch.column(1), pa.array(label)], ["places", "shares", "key", "label"])
 
     chosen = docs.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0) & F.col("text").isNotNull())
-    rows = chosen.select("text").limit(2 * sample).mapInArrow(run, "places array<int>, shares array<float>, label double").collect()
-    return _train(sorted(rows, key=lambda r: (r["label"], r["places"][:8], r["shares"][:8])))
+    rows = chosen.select("text", F.xxhash64("doc_id", "text").alias("key")).limit(2 * sample).mapInArrow(run, "places array<int>, shares array<float>, key long, label double").toArrow()
+    return _train(rows.sort_by("key"))
 
 
 def _bags(seen: Measured) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -205,7 +205,7 @@ def score_documents(docs: DataFrame, sample: int = 4000, least: float = 0.5) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 1_000_000):
                 n, p = _probability(texts_of(batch, 1), weights, stop)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(p), pa.array(p >= least)], ["doc_id", "n_words", "probability", "kept"])
 
@@ -219,7 +219,7 @@ def keep_good(docs: DataFrame, sample: int = 4000, least: float = 0.5) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, at):
+            for batch in slices(whole, at, 1_000_000):
                 yield batch.filter(pa.array(_probability(texts_of(batch, at), weights, stop)[1] >= least))
 
     return docs.mapInArrow(run, docs.schema)
