@@ -34,11 +34,11 @@ PRODUCTS = (
 
 def product_kind(format: Column, title: Column, subtitle: Column) -> Column:
     """The first kind of other product that format or title names; null for a book."""
-    text, kind = F.concat_ws(" ", title, subtitle), F.lit(None).cast("string")
+    text, kind = F.concat_ws(" ", title, subtitle), F.when(F.lit(False), F.lit(None).cast("string"))
     novel = _like(text, r"\badvent[\s-]+calendars?\b") & _like(text, r"\([^)]*\bnovel\b[^)]*\)")
-    for name, in_format, in_title in reversed(PRODUCTS):
+    for name, in_format, in_title in PRODUCTS:
         by_title = _like(text, in_title) & ~novel if name == "calendar" else _like(text, in_title)
-        kind = F.when(_like(format, in_format) | by_title, name).otherwise(kind)
+        kind = kind.when(_like(format, in_format) | by_title, name)
     return kind
 
 
@@ -54,9 +54,9 @@ VARIANTS = (
 
 def other_variant(source_key: Column, candidate_key: Column) -> Column:
     """The first variant that the candidate's folded title names and the source's doesn't."""
-    kind = F.lit(None).cast("string")
-    for name, pattern in reversed(VARIANTS):
-        kind = F.when(_like(candidate_key, pattern) & ~_like(source_key, pattern), name).otherwise(kind)
+    kind = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, pattern in VARIANTS:
+        kind = kind.when(_like(candidate_key, pattern) & ~_like(source_key, pattern), name)
     return kind
 
 

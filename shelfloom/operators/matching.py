@@ -17,10 +17,21 @@ def title_tokens(key: Column) -> Column:
     return F.filter(F.split(key, " "), lambda w: (w != "") & ~w.isin(*SMALL_WORDS))
 
 
+def base_title_key(source: Column) -> Column:
+    """Key of a title without its subtitle; empty if it has none."""
+    return title_key(F.regexp_extract(source, "^([^:：]+)[:：]", 1))
+
+
 def title_match(source: Column, candidate: Column) -> Column:
-    """struct(kind, score): exact 100, subtitle left out 96, same words 92, strong 80 to 90, else weak."""
-    a, b = title_key(source), title_key(candidate)
-    base = title_key(F.regexp_extract(source, "^([^:：]+)[:：]", 1))
+    """struct(kind, score) of two titles; see match_title_keys."""
+    return match_title_keys(title_key(source), title_key(candidate), base_title_key(source))
+
+
+def match_title_keys(a: Column, b: Column, base: Column) -> Column:
+    """struct(kind, score): exact 100, subtitle left out 96, same words 92, strong 80 to 90, else weak.
+
+    The keys are read many times: over more than a few rows they should be columns.
+    """
     x, y = title_tokens(a), title_tokens(b)
     both = F.size(F.array_intersect(x, y))
     nx, ny = F.size(F.array_distinct(x)), F.size(F.array_distinct(y))
@@ -45,8 +56,12 @@ def title_agrees(match: Column) -> Column:
 
 
 def author_match(source: Column, candidate: Column) -> Column:
+    """struct(kind, score) of two author names; see match_author_keys."""
+    return match_author_keys(author_key(source), author_key(candidate))
+
+
+def match_author_keys(a: Column, b: Column) -> Column:
     """struct(kind, score): exact 100, same surname with first name or initial 90, else mismatch."""
-    a, b = author_key(source), author_key(candidate)
     x, y = F.split(a, " "), F.split(b, " ")
     p, q = F.element_at(x, 1), F.element_at(y, 1)
     initial = (p == q) | ((F.length(p) == 1) & F.startswith(q, p)) | ((F.length(q) == 1) & F.startswith(p, q))
@@ -73,11 +88,15 @@ def score_editions(pairs: DataFrame) -> DataFrame:
     Columns read: source_title, source_author, preferred_isbn, isbn, title, subtitle, author, format,
     languages, has_cover, has_description, year.
     """
-    rows = pairs.withColumns({"t": title_match(F.col("source_title"), F.col("title")), "a": author_match(F.col("source_author"), F.col("author"))})
-    english = F.exists(F.coalesce("languages", F.array().cast("array<string>")), ed.is_english)
     full = F.concat_ws(" ", "title", "subtitle")
+    rows = pairs.withColumns({
+        "_a": title_key(F.col("source_title")), "_b": title_key(F.col("title")), "_base": base_title_key(F.col("source_title")), "_x": author_key(F.col("source_author")),
+        "_y": author_key(F.col("author")), "_asked": fold(F.col("source_title")), "_named": fold(full),
+    })
+    rows = rows.withColumns({"t": match_title_keys(F.col("_a"), F.col("_b"), F.col("_base")), "a": match_author_keys(F.col("_x"), F.col("_y"))})
+    english = F.exists(F.coalesce("languages", F.array().cast("array<string>")), ed.is_english)
     reason = F.coalesce(
-        first_reason([("missing_valid_isbn", F.col("isbn").isNull())]), ed.other_variant(fold(F.col("source_title")), fold(full)),
+        first_reason([("missing_valid_isbn", F.col("isbn").isNull())]), ed.other_variant(F.col("_asked"), F.col("_named")),
         first_reason([
             ("audio_only", ed.audio_only(F.col("format"), full)), ("non_english", (F.size("languages") > 0) & ~english), ("title_mismatch", ~title_agrees(F.col("t"))),
             ("missing_author_evidence", F.coalesce(F.trim("author"), F.lit("")) == ""), ("author_mismatch", ~author_agrees(F.col("a"))),
@@ -91,7 +110,7 @@ def score_editions(pairs: DataFrame) -> DataFrame:
     holds = {k: F.coalesce(c, F.lit(False)) for k, c in evidence.items()}
     score = sum((F.when(c, WEIGHTS[k]).otherwise(0) for k, c in holds.items()), F.lit(0))
     reasons = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in holds.items())), lambda x: x.isNotNull())
-    rows = rows.withColumn("reject_reason", reason)
+    rows = rows.withColumn("reject_reason", reason).drop("_a", "_b", "_base", "_x", "_y", "_asked", "_named")
     return rows.withColumns({"score": F.when(F.col("reject_reason").isNull(), score).otherwise(0), "reasons": F.array_join(reasons, ",")})
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 def first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
     """The code of the first rule whose condition holds; null if none does. A null condition doesn't hold."""
-    out = F.lit(None).cast("string")
-    for code, condition in reversed(rules):
-        out = F.when(F.coalesce(condition, F.lit(False)), code).otherwise(out)
+    out = F.when(rules[0][1], rules[0][0])
+    for code, condition in rules[1:]:
+        out = out.when(condition, code)
     return out
 
 
