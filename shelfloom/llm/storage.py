@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,9 +16,12 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="shelfloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _own_dir(spark.sparkContext.applicationId)
+
+
+@cache
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="shelfloom-")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
