@@ -56,10 +56,10 @@ def _find(words: list[bytes], phrase: list[bytes]) -> list[int]:
 class Scanner:
     """Templates and phrases with their postings, given the corpus frequencies of licence words."""
 
-    def __init__(self, frequency: dict[bytes, int], documents: int, rare: int, common_share: float, least_votes: int, least_share: float):
+    def __init__(self, frequency: dict[bytes, int], documents: int, rare: int, least_votes: int, least_share: float):
         self.templates = [(label, key.encode().split(), notice.encode().split()) for label, key, notice in TEMPLATES]
         self.phrases = {p: (p.encode().split(), label) for p, label in PHRASES.items()}
-        self.weight = {w: math.log(documents / n) for w, n in frequency.items() if n and n <= common_share * documents}
+        self.weight = {w: math.log((documents + 1) / n) for w, n in frequency.items() if n}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, (_, _, notice) in enumerate(self.templates):
             for k, w in enumerate(notice):
@@ -118,17 +118,16 @@ def _frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
     return counts, counts.pop(b"", 0)
 
 
-def scan_licenses(docs: DataFrame, rare: int = 8, common_share: float = 0.2, least_votes: int = 3, least_share: float = 0.7) -> DataFrame:
+def scan_licenses(docs: DataFrame, rare: int = 8, least_votes: int = 3, least_share: float = 0.7) -> DataFrame:
     """One row per row of docs (doc_id, text): n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base labels come from PHRASES wherever their words stand side by side; labels adds the templates of
-    which least_votes of the file's `rare` rarest licence words agree on the place (words in more than
-    common_share of all documents have no vote), whose key phrase stands there, and of whose words
-    least_share do. score is the largest such share; 0 without a label. A null or empty text has no words
+    which least_votes of the file's `rare` rarest licence words agree on the place, whose key phrase stands
+    there, and of whose words least_share do. Words that are common in the corpus rank last but vote. score is the largest such share; 0 without a label. A null or empty text has no words
     and no labels; an empty table gives an empty one; repeated rows are scanned each.
     """
     frequency, documents = _frequencies(docs)
-    options = (frequency, documents, rare, common_share, least_votes, least_share)
+    options = (frequency, documents, rare, least_votes, least_share)
     kinds = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

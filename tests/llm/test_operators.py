@@ -288,6 +288,14 @@ def test_license_places_and_templates(spark):
     assert got[2]["base_labels"] == "apache,mit" and got[5]["labels"] == "" and got[100]["score"] == 0
 
 
+@pytest.mark.parametrize("plain", [0, 6])
+def test_license_notice_in_half_of_the_corpus(spark, plain):
+    bsd = next(notice for label, _, notice in licenses.TEMPLATES if label == "bsd")
+    rows = [(k, f"head {k} {bsd}") for k in range(max(plain, 1))] + [(-k, f"plain words number {k}") for k in range(1, plain + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()} == {d: "bsd" if d >= 0 else "" for d, _ in rows}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16)) + 4 * rng.normal(size=(12, 16))[rng.integers(0, 12, 3000)]
