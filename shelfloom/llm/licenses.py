@@ -1,9 +1,9 @@
 """Licence scan with a positional index of rare licence words.
 
-The licence templates' words are looked up by document frequency over the whole corpus. In each file the
-rarest licence words that it has vote, with their positions, for a template and the place where it starts;
+The licence templates' words are looked up by document frequency over the whole corpus. Each template is
+searched by its rarest words, which vote, with their positions in the file, for the place where it starts;
 places on which enough words agree are verified by the template's key phrase and by how many of its words
-stand where they should.
+stand where they should. A template has so many voting words that no place that passes lacks the votes.
 """
 
 from __future__ import annotations
@@ -56,15 +56,19 @@ def _find(words: list[bytes], phrase: list[bytes]) -> list[int]:
 class Scanner:
     """Templates and phrases with their postings, given the corpus frequencies of licence words."""
 
-    def __init__(self, frequency: dict[bytes, int], documents: int, rare: int, least_votes: int, least_share: float):
+    def __init__(self, frequency: dict[bytes, int], documents: int, least_votes: int, least_share: float):
         self.templates = [(label, key.encode().split(), notice.encode().split()) for label, key, notice in TEMPLATES]
         self.phrases = {p: (p.encode().split(), label) for p, label in PHRASES.items()}
-        self.weight = {w: math.log((documents + 1) / n) for w, n in frequency.items() if n}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, _, notice) in enumerate(self.templates):
-            for k, w in enumerate(notice):
-                self.postings[w].append((t, k))
-        self.rare, self.least_votes, self.least_share = rare, least_votes, least_share
+        weight = {w: math.log((documents + 1) / n) for w, n in frequency.items() if n}
+        #: By template: its voting words, each with its places in the notice, and the votes a place needs.
+        self.voters: list[tuple[dict[bytes, list[int]], int]] = []
+        for _, _, notice in self.templates:
+            rarest = sorted(set(notice), key=lambda w: (-weight.get(w, math.inf), w))
+            # a place with least_share misses at most so many words, hence at most so many votes
+            missed = len(notice) - math.ceil(least_share * len(notice) - 1e-9)
+            chosen = rarest[: missed + least_votes]
+            self.voters.append(({w: [k for k, x in enumerate(notice) if x == w] for w in chosen}, max(1, min(least_votes, len(chosen) - missed))))
+        self.least_share = least_share
 
     def share(self, words: list[bytes], template: list[bytes], start: int) -> float:
         return sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(template)) / len(template)
@@ -81,18 +85,19 @@ class Scanner:
                     if of == label and (at := _find(notice, phrase)):
                         best = max(best, *(self.share(words, notice, p - at[0]) for p in found))
         labels = set(base)
-        chosen = sorted(have & self.weight.keys(), key=lambda w: (-self.weight[w], w))[: self.rare]
-        if len(chosen) >= self.least_votes:
-            votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-            for w in chosen:
-                at = -1
-                for _ in range(words.count(w)):
-                    at = words.index(w, at + 1)
-                    for t, k in self.postings[w]:
-                        votes[t, at - k].add(w)
-            for (t, start), agreed in votes.items():
-                label, key, notice = self.templates[t]
-                if len(agreed) >= self.least_votes and (label not in labels or best < 1):
+        at_word: dict[bytes, list[int]] = {}
+        for (label, key, notice), (voters, least) in zip(self.templates, self.voters, strict=True):
+            if not have.issuperset(key) or (label in labels and best >= 1):
+                continue
+            votes: dict[int, set[bytes]] = defaultdict(set)
+            for w in have & voters.keys():
+                if w not in at_word:
+                    at_word[w] = [at for at, x in enumerate(words) if x == w]
+                for k in voters[w]:
+                    for at in at_word[w]:
+                        votes[at - k].add(w)
+            for start, agreed in votes.items():
+                if len(agreed) >= least and (label not in labels or best < 1):
                     share = self.share(words, notice, start)
                     if share >= self.least_share and _find(words[max(start, 0) : start + len(notice)], key):
                         labels.add(label)
@@ -118,16 +123,16 @@ def _frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
     return counts, counts.pop(b"", 0)
 
 
-def scan_licenses(docs: DataFrame, rare: int = 8, least_votes: int = 3, least_share: float = 0.7) -> DataFrame:
+def scan_licenses(docs: DataFrame, least_votes: int = 3, least_share: float = 0.7) -> DataFrame:
     """One row per row of docs (doc_id, text): n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base labels come from PHRASES wherever their words stand side by side; labels adds the templates of
-    which least_votes of the file's `rare` rarest licence words agree on the place, whose key phrase stands
-    there, and of whose words least_share do. Words that are common in the corpus rank last but vote. score is the largest such share; 0 without a label. A null or empty text has no words
+    Base labels come from PHRASES wherever their words stand side by side; labels adds every template whose
+    key phrase and least_share of whose words stand at one place. least_votes is how many of a template's
+    rarest words must agree on a place before it is verified; it changes the work, not the result. score is the largest such share; 0 without a label. A null or empty text has no words
     and no labels; an empty table gives an empty one; repeated rows are scanned each.
     """
     frequency, documents = _frequencies(docs)
-    options = (frequency, documents, rare, least_votes, least_share)
+    options = (frequency, documents, least_votes, least_share)
     kinds = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

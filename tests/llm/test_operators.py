@@ -296,6 +296,27 @@ def test_license_notice_in_half_of_the_corpus(spark, plain):
     assert {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()} == {d: "bsd" if d >= 0 else "" for d, _ in rows}
 
 
+def test_all_license_notices_of_one_file(spark):
+    notices = licenses.TEMPLATES
+    rng, rows = random.Random(5), [" then ".join(n for _, _, n in notices)]
+    for _ in range(60):
+        words = []
+        for _, _, notice in rng.sample(notices, rng.randint(1, 4)):
+            words += [w if rng.random() < 0.85 else rng.choice(["changed", "the", "software", "mozilla"]) for w in notice.split()] + rng.choices(["redistribution", "isc", "public", "x"], k=6)
+        rows.append(" ".join(words))
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got[0]["labels"].split(",") == sorted({label for label, _, _ in notices})
+    for d, text in enumerate(rows):
+        words, labels = text.split(), {label for p, label in licenses.PHRASES.items() if f" {p} " in f" {text} "}
+        for label, key, notice in notices:
+            n = notice.split()
+            for s in range(-len(n), len(words)):
+                share = sum(0 <= s + k < len(words) and words[s + k] == w for k, w in enumerate(n)) / len(n)
+                if share >= 0.7 and f" {key} " in f" {' '.join(words[max(s, 0) : max(s + len(n), 0)])} ":
+                    labels.add(label)
+        assert got[d]["labels"] == ",".join(sorted(labels)), text
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16)) + 4 * rng.normal(size=(12, 16))[rng.integers(0, 12, 3000)]
