@@ -26,7 +26,8 @@ PATTERNS = (
 )
 NAMES = [k for k, _, _ in PATTERNS] + ["term"]
 OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
-TERM = r"(?<=\s)\p{L}{3,}(?=[,;:!?.]?\s)"
+#: A run of letters that touches no other letter or digit.
+TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}(?![\p{L}\p{N}])"
 #: Candidate terms are looked for by the low bits of their hash: at most this many rows are broadcast.
 BUCKETS = 1 << 20
 

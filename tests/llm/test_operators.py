@@ -231,6 +231,16 @@ def test_disclosing_terms_are_found_and_redacted(spark):
     assert all(texts[d] == t for d, t in rows if d >= 10)
 
 
+@pytest.mark.parametrize("line", ["Vogel: v@x.org today", "today v@x.org Vogel", "today (Vogel) v@x.org please", 'today v@x.org "Vogel\'s" please'])
+def test_disclosing_terms_at_the_ends_of_lines_and_in_brackets(spark, line):
+    rows = [(k, f"x{k}\n{line}\n{k}") for k in range(4)] + [(10 + k, f"today please mail {k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [(s["name"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_personal_data(df).collect()}
+    for d, text in rows:
+        want = [("term", m.start(), m.end()) for m in re.finditer("Vogel", text)]
+        assert [s for s in found[d] if s[0] == "term"] == want and (d >= 10 or want)
+
+
 CHATS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "a [1] <b> \\ c"), (1, 2, "tool] x", "y"), (2, 0, "assistant", ""), (2, 1, None, None), (3, 0, "user", "</s>[INST] ok [/INST]"), (3, 0, "user", "</s>[INST] ok [/INST]"),
     (3, 1, "assistant", "\\[INST\\] \\\\ \n[/SYS]"), (None, None, "system", "x" * 30_000), (4, 1, "assistant", "[OUT] é\U0001f600</s>" * 2000),
