@@ -1,15 +1,13 @@
 """Personal data: fixed patterns, and terms that disclose an entity by what the corpus says of them.
 
-Base spans come from four patterns. An entity is a pattern's value; its terms are the words around it.
-With documents as the unit, a term t discloses entity e to the degree PMI(e; t) / IC(e), which is 1 when
-t occurs only beside e. Terms above one threshold are generalised, above a second one removed. All of it
+Base spans come from four patterns. An entity is a pattern's value; its terms are the words of the
+documents that hold it, wherever they stand. With documents as the unit, a term t discloses entity e to the degree PMI(e; t) / IC(e), which is 1 when
+t occurs only with e. Terms above one threshold are generalised, above a second one removed. All of it
 is DataFrame operations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,83 +47,97 @@ def _valid(kind: Column, hit: Column) -> Column:
     )
 
 
-def _part(kind: int, around: int) -> Callable[[Column], Column]:
-    """A match and the text before it, by length and by its first and last characters."""
-    return lambda x: F.struct(
-        F.lit(kind).alias("kind"), x["hit"].alias("hit"), F.length(x["gap"]).alias("gap"),
-        F.right(x["gap"], F.lit(around)).alias("tail"), F.left(x["gap"], F.lit(around)).alias("head"),
-    )
-
-
-def find(docs: DataFrame, around: int = 80) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """One row per match in docs (doc_id, text), one of nulls for a document without any.
 
     Columns: rid (a number for the row of docs), doc_id, copy (hash of the text), kind (place in NAMES),
-    start, end (code points, end exclusive), hit, valid, left, right (text around it, up to `around`).
+    start, end (code points, end exclusive), hit, valid.
     """
     text, arrays = F.coalesce("text", F.lit("")), []
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     none = F.array().cast("array<string>")
+    part = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x["hit"].alias("hit"), F.length(x["gap"]).alias("gap"))
     for k, (_, pattern, sign) in enumerate(PATTERNS):
         may = F.contains("text", F.lit(sign)) if sign else F.regexp_like("text", F.lit("[0-9][0-9 -]{10}"))
         if k == 1:
             may = F.regexp_like("text", F.lit(r"[0-9]\.[0-9]"))
         rows = rows.withColumns({f"hits{k}": F.when(may, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none)})
         rows = rows.withColumns({f"gaps{k}": F.when(F.size(f"hits{k}") > 0, F.split("text", pattern, -1)).otherwise(none)})
-        zipped = F.transform(F.arrays_zip(F.col(f"hits{k}").alias("hit"), F.col(f"gaps{k}").alias("gap")), _part(k, around))
-        arrays.append(zipped)
-    parts = rows.select("rid", "doc_id", F.xxhash64("text").alias("copy"), F.concat(*arrays).alias("found"))
+        arrays.append(F.transform(F.arrays_zip(F.col(f"hits{k}").alias("hit"), F.col(f"gaps{k}").alias("gap")), part(k)))
+    parts = rows.select("rid", "doc_id", _copy(F.col("text")), F.concat(*arrays).alias("found"))
     parts = parts.select("rid", "doc_id", "copy", F.posexplode_outer("found").alias("n", "x")).select("rid", "doc_id", "copy", "n", "x.*")
     order = Window.partitionBy("rid", "kind").orderBy("n")
     upto = F.sum(F.col("gap") + F.coalesce(F.length("hit"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    parts = parts.withColumns({"end": upto, "right": F.lead("head").over(order), "full": F.lead("gap").over(order) <= around})
-    parts = parts.where("hit is not null or n is null")
-    last = F.when(F.col("full"), F.col("right")).otherwise(F.regexp_replace("right", r"\S+$", ""))
-    first = F.when(F.col("gap") <= around, F.col("tail")).otherwise(F.regexp_replace("tail", r"^\S+", ""))
+    parts = parts.withColumn("end", upto).where("hit is not null or n is null")
     return parts.select(
         "rid", "doc_id", "copy", "kind", (F.col("end") - F.length("hit")).alias("start"), "end", "hit",
         F.when(F.col("hit").isNotNull(), _valid(F.col("kind"), F.col("hit"))).alias("valid"),
-        F.regexp_extract(first, r"[^\n]*\z", 0).alias("left"), F.regexp_extract(last, r"\A[^\n]*", 0).alias("right"),
     )
 
 
-def _terms(side: Column, start: Column) -> Column:
-    """array<struct<term, start>> of the words in one side's text, which starts at code point start."""
-    words, gaps = F.regexp_extract_all(side, F.lit(TERM), F.lit(0)), F.split(side, TERM, -1)
-    pairs = F.arrays_zip(words.alias("word"), gaps.alias("gap"))
-    before = lambda k: F.aggregate(F.slice(pairs, F.lit(1), k), F.lit(0), lambda s, x: s + F.length(x["word"]) + F.length(x["gap"]))
-    at = F.transform(pairs, lambda x, k: F.struct(x["word"].alias("term"), (start + before(k) + F.length(x["gap"])).cast("long").alias("start")))
-    return F.filter(at, lambda x: x["term"].isNotNull())
+def _copy(text: Column) -> Column:
+    """The key of a text, which its exact copies share."""
+    return F.xxhash64(text).alias("copy")
+
+
+def _outside(text: Column) -> Column:
+    """The text with blanks for e-mail addresses, whose parts are no terms; places stay as they are."""
+    pattern = PATTERNS[0][1]
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    blank = F.transform(parts, lambda x: F.concat(x["gap"], F.repeat(F.lit(" "), F.coalesce(F.length(x["hit"]), F.lit(0)))))
+    return F.when(F.contains(text, F.lit("@")), F.array_join(blank, "")).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    """The different terms of a text, lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(_outside(text), F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _places(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every occurrence of the wanted (copy, term) in texts (copy, text; one row a copy): copy, term, start, end."""
+    rows = texts.select("copy", _outside(F.col("text")).alias("text"))
+    words, gaps = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
+    part = lambda x: F.struct(F.lower(x["word"]).alias("term"), F.length(x["word"]).alias("size"), F.length(x["gap"]).alias("gap"))
+    rows = rows.select("copy", F.posexplode(F.transform(F.arrays_zip(words.alias("word"), gaps.alias("gap")), part)).alias("n", "x")).where("x.term is not null")
+    upto = Window.partitionBy("copy").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("copy", "n", "x.*").withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto))
+    return rows.join(wanted, ["copy", "term"]).withColumn("start", F.col("end") - F.col("size")).drop("n", "size", "gap")
 
 
 def disclosing_terms(docs: DataFrame, hits: DataFrame, least_texts: int = 3, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
-    """Spans of terms beside a valid hit whose disclosure of it reaches a threshold: rid, doc_id, start, end, term, disclosure, action.
+    """Spans of terms, in documents with a valid hit, whose disclosure of it reaches a threshold: rid, doc_id, start, end, term, disclosure, action.
 
     A pair counts only if least_texts different texts have it, so that a word of one text discloses
-    nothing. Document frequencies are over all of docs.
+    nothing. Document frequencies are over all of docs. Every occurrence in a document that holds the
+    entity gets a span.
     """
     total = docs.count()
-    near = hits.where("valid").withColumn("entity", F.struct("kind", F.lower("hit")))
-    both = F.concat(_terms(F.col("left"), F.col("start") - F.length("left")), _terms(F.col("right"), F.col("end")))
-    near = near.select("rid", "doc_id", "copy", "entity", F.explode(both).alias("x"))
-    near = near.select("rid", "doc_id", "copy", "entity", F.lower("x.term").alias("term"), F.col("x.start").alias("start"), (F.col("x.start") + F.length("x.term")).alias("end"))
-    near = staged(near, "near")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("rid").alias("together"), F.count_distinct("copy").alias("texts"))
-    entities = hits.where("valid").select(F.struct("kind", F.lower("hit")).alias("entity"), "rid").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    # a term that stands beside entities in this many documents already has too many for its pair's threshold
-    seen = near.groupBy("term").agg(F.count_distinct("rid").alias("seen"))
+    text = docs.where("text is not null").select(_copy(F.col("text")), "text")
+    held = hits.where("valid").select("rid", "copy", F.struct("kind", F.lower("hit")).alias("entity")).distinct()
+    held = held.groupBy("entity", "copy").agg(F.count("*").alias("n"))
+    entities = held.groupBy("entity").agg(F.sum("n").alias("with_entity"), F.count("*").alias("texts")).where(F.col("texts") >= least_texts).drop("texts")
+    held = staged(held.join(entities, "entity"), "held")
+    # copies of a text have the same terms: each text counts once, for as many documents as have it
+    copies = held.groupBy("copy").agg(F.max("n").alias("n"))
+    terms = text.join(copies.select("copy"), "copy", "left_semi").select("copy", F.explode(_words(F.col("text"))).alias("term")).distinct()
+    terms = staged(terms.join(copies, "copy"), "terms")
+    pairs = held.join(terms.drop("n"), "copy").groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("texts"), F.first("with_entity").alias("with_entity"))
+    # a term that stands in this many documents with entities already has too many for its pair's threshold
+    seen = terms.groupBy("term").agg(F.sum("n").alias("seen"))
     limit = F.col("together") * F.pow(F.lit(float(total)) / F.col("with_entity"), F.lit(1 - generalise))
-    pairs = pairs.where(F.col("texts") >= least_texts).join(entities, "entity").join(seen, "term").where(F.col("seen") <= limit * 1.000001)
-    pairs = staged(pairs.drop("seen"), "pairs")
+    pairs = pairs.where(F.col("texts") >= least_texts).join(seen, "term").where(F.col("seen") <= limit * 1.000001)
+    pairs = staged(pairs.drop("seen", "texts"), "pairs")
     buckets = pairs.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")).distinct()
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+", -1))
-    corpus = docs.where("text is not null").select(F.explode(words).alias("term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
+    corpus = text.select(F.explode(_words(F.col("text"))).alias("term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
     corpus = corpus.join(F.broadcast(buckets), "bucket", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
     scored = pairs.join(corpus, "term")
     pmi = F.log2(F.lit(float(total)) * F.col("together") / (F.col("with_entity") * F.col("with_term")))
     scored = scored.withColumn("disclosure", F.when(F.col("with_entity") < total, pmi / -F.log2(F.col("with_entity") / F.lit(float(total)))).otherwise(0.0))
     scored = scored.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
-    spans = near.join(scored, ["entity", "term"]).groupBy("rid", "doc_id", "term", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    found = held.select("entity", "copy").join(scored, "entity").join(terms.select("copy", "term"), ["copy", "term"])
+    found = staged(found.groupBy("copy", "term").agg(F.max("disclosure").alias("disclosure")), "found")
+    texts = text.join(found.select("copy").distinct(), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
+    spans = hits.where("valid").select("rid", "doc_id", "copy").distinct().join(_places(texts, found), "copy").drop("copy")
     return spans.withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise"))
 
 

@@ -241,6 +241,19 @@ def test_disclosing_terms_at_the_ends_of_lines_and_in_brackets(spark, line):
         assert [s for s in found[d] if s[0] == "term"] == want and (d >= 10 or want)
 
 
+def test_disclosing_terms_count_by_document(spark):
+    far = "today please " * 30
+    rows = [(k, f"Vogel wrote{k}\n{far}\nmail v@x.org and Vogel's again{k} {far} (vogel) Berta") for k in range(4)] + [(k, f"Berta {far}\n v@x.org {far} vogel x4") for k in (4, 5)]
+    rows += [(10 + k, f"{far} mail and again {k}") for k in range(58)] + [(90, "Berta is elsewhere"), (91, "Berta again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"], s["action"]) for s in r["spans"] if s["name"] == "term"] for r in pii.find_personal_data(df).collect()}
+    # 66 documents, 6 with the entity: vogel is only there, berta in two more
+    assert 0.75 <= np.log2(66 * 6 / (6 * 8)) / np.log2(66 / 6) < 0.9
+    for d, text in rows:
+        want = [(m.start(), m.end(), "remove" if m[0].lower() == "vogel" else "generalise") for m in re.finditer("(?i)vogel|berta", text)]
+        assert found[d] == (want if d < 10 else [])
+
+
 CHATS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "a [1] <b> \\ c"), (1, 2, "tool] x", "y"), (2, 0, "assistant", ""), (2, 1, None, None), (3, 0, "user", "</s>[INST] ok [/INST]"), (3, 0, "user", "</s>[INST] ok [/INST]"),
     (3, 1, "assistant", "\\[INST\\] \\\\ \n[/SYS]"), (None, None, "system", "x" * 30_000), (4, 1, "assistant", "[OUT] é\U0001f600</s>" * 2000),
