@@ -103,20 +103,40 @@ def bridge(report: DataFrame, kept: DataFrame, editions: DataFrame, *, limit: in
 def choose_works(sources: DataFrame, works: DataFrame, margin: int = 8) -> DataFrame:
     """sources (key, title, author) to one of works (work_id, title, author, year, cover): the best match, if clear.
 
-    Works are met by author or by title. Works with the same title and author are one group, for which the
-    most complete of them stands; the best group must lead by the margin.
+    Works are met by title and surname, or by author and one of the title's rarest words, of which a title
+    that agrees has at least one. Works with the same title and author are one group, for which the most
+    complete of them stands; the best group must lead by the margin. Sources of equal keys are matched once.
     """
-    s = sources.select("key", author_key(F.col("author")).alias("s_ak"), title_key(F.col("title")).alias("s_tk"), matching.base_title_key(F.col("title")).alias("s_base"))
+    shape = F.struct("s_ak", "s_tk", "s_base")
+    keyed = sources.select("key", author_key(F.col("author")).alias("s_ak"), title_key(F.col("title")).alias("s_tk"), matching.base_title_key(F.col("title")).alias("s_base"))
+    s = keyed.select(shape.alias("shape"), "s_ak", "s_tk", "s_base").distinct()
     w = works.withColumns({"ak": author_key(F.col("author")), "tk": title_key(F.col("title")), "group": work_identity(F.col("title"), F.col("author"))})
-    columns = ["key", "s_tk", "s_ak", "s_base", "work_id", "tk", "ak", "group", "year", "cover"]
-    by_title = s.join(w, F.col("s_tk") == F.col("tk")).select(*columns)
-    pairs = by_title.union(s.join(w, F.col("s_ak") == F.col("ak")).select(*columns)).distinct()
+    # works of equal keys have equal scores: the best of them and their number stand for all
+    quality = matching.completeness([F.col("year").isNotNull(), F.col("cover") > 0])
+    stands = F.min(F.struct((-quality).alias("rank"), "work_id", "year", "cover")).alias("x")
+    w = w.groupBy("ak", "tk", "group").agg(stands, F.count("*").alias("n")).select("ak", "tk", "group", "x.work_id", "x.year", "x.cover", "n")
+    surname = lambda c: F.element_at(F.split(c, " "), -1)
+    words = lambda c: F.array_distinct(F.when(F.size(matching.title_tokens(c)) > 0, matching.title_tokens(c)).otherwise(F.array(F.lit(""))))
+    word_of = w.select("ak", "tk", F.explode(words(F.col("tk"))).alias("word")).distinct()
+    common = word_of.groupBy("ak", "word").agg(F.count("*").alias("common"))
+    asked = s.select("*", F.size(words(F.col("s_tk"))).alias("size"), F.explode(words(F.col("s_tk"))).alias("word"))
+    asked = asked.join(common.withColumnRenamed("ak", "s_ak"), ["s_ak", "word"], "left")
+    rarest = F.row_number().over(Window.partitionBy("shape").orderBy(F.coalesce("common", F.lit(0)), "word"))
+    # four fifths of the words have to agree, so that one more than a fifth can't all be missing
+    asked = asked.withColumn("n_th", rarest).where(F.col("n_th") <= F.col("size") - F.ceil(F.col("size") * 0.8 - 1e-9) + 1)
+    by_word = asked.join(word_of, (F.col("s_ak") == F.col("ak")) & (asked["word"] == word_of["word"])).select("shape", "s_ak", "s_tk", "s_base", "ak", "tk")
+    by_base = s.where("s_base <> ''").join(w, (F.col("s_ak") == F.col("ak")) & (F.col("s_base") == F.col("tk"))).select("shape", "s_ak", "s_tk", "s_base", "ak", "tk")
+    by_title = s.join(w, (F.col("s_tk") == F.col("tk")) & (surname(F.col("s_ak")) == surname(F.col("ak")))).select("shape", "s_ak", "s_tk", "s_base", "ak", "tk")
+    pairs = by_title.union(by_base).union(by_word).distinct()
     t, a = matching.match_title_keys(F.col("s_tk"), F.col("tk"), F.col("s_base")), matching.match_author_keys(F.col("s_ak"), F.col("ak"))
     pairs = pairs.withColumns({"t": t, "a": a}).where(matching.title_agrees(F.col("t")) & matching.author_agrees(F.col("a")))
     pairs = pairs.withColumns({"score": F.round(F.col("t.score") * 0.7 + F.col("a.score") * 0.3).cast("int"), "reject_reason": F.lit(None).cast("string")})
-    quality = matching.completeness([F.col("year").isNotNull(), F.col("cover") > 0])
-    groups = matching.best_of_group(pairs, ["key", "group"], quality, [F.asc("work_id")])
-    return matching.select_winner(groups, "key", [F.asc("work_id")], least_score=0, least_margin=margin).select("key", "work_id", "score", "members", F.when(F.col("status") == "selected", "selected").otherwise("ambiguous").alias("status"))
+    pairs = pairs.join(w, ["ak", "tk"])
+    pairs = pairs.withColumn("all", F.sum("n").over(Window.partitionBy("shape", "group")))
+    groups = matching.best_of_group(pairs, ["shape", "group"], quality, [F.asc("work_id")]).withColumn("members", F.col("all"))
+    best = matching.select_winner(groups, "shape", [F.asc("work_id")], least_score=0, least_margin=margin).select("shape", "work_id", "score", "members", F.when(F.col("status") == "selected", "selected").otherwise("ambiguous").alias("status"))
+    best = best.select("shape.*", "work_id", "score", "members", "status")
+    return keyed.join(best, ["s_ak", "s_tk", "s_base"]).select("key", "work_id", "score", "members", "status")
 
 
 def targeted_extract(sources: DataFrame, editions: DataFrame, authors: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -458,6 +458,12 @@ def candidate_lookup(t: Tables) -> DataFrame:
     return matching.candidate_lookup(sources, t.books.select(F.col("id").alias("record"), "isbn", "title", "author"))
 
 
+@query("candidate_lookup_all", "select a.id as key, b.id as record, a.isbn = b.isbn as exact_isbn from books a join books b on lower(a.title) = lower(b.title) and lower(a.author) = lower(b.author)")
+def candidate_lookup_all(t: Tables) -> DataFrame:
+    """The same over all books as sources."""
+    return matching.candidate_lookup(t.books.select(F.col("id").alias("key"), "isbn", "title", "author"), t.books.select(F.col("id").alias("record"), "isbn", "title", "author"))
+
+
 @query("upsert_books", "select id, case when id % 3 = 0 and id % 4 <> 0 then upper(title) else title end as title, case when id % 7 = 0 then 'create' when id % 3 <> 0 then 'keep' when id % 4 = 0 then 'unchanged' else 'update' end as action from books where id % 7 <> 0 or id % 3 = 0")
 def upsert_books(t: Tables) -> DataFrame:
     updates = t.books.where("id % 3 = 0").select("id", F.when(F.col("id") % 4 != 0, F.upper("title")).otherwise(F.when(F.col("id") % 7 == 0, F.col("title"))).alias("title"))

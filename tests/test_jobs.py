@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfloom.operators import quality
+from shelfloom.functions.text import author_key, title_key, work_identity
+from shelfloom.operators import matching, quality, resolution
 from shelfloom.sources import dumps, files
 from shelfloom.streaming import commands as cmd
 
@@ -111,3 +112,28 @@ def test_monthly_finishes_stream(spark, tmp_path):
     out = cmd.monthly_finishes(stream, "1 hour").writeStream.outputMode("complete").format("memory").queryName("finishes").option("checkpointLocation", str(tmp_path / "cp"))
     out.trigger(availableNow=True).start().awaitTermination()
     assert sum(r["books"] for r in spark.table("finishes").collect()) == 3
+
+
+def test_choose_works_equals_all_pairs_without_making_them(spark):
+    rng, names = random.Random(3), ["blue", "river", "stone", "house", "night", "storm", "garden", "of", "the"]
+    title = lambda: " ".join(rng.choices(names, k=rng.randint(1, 6))) + rng.choice(["", "", ": a novel", ": the night"])
+    authors = ["Ann Lee", "A Lee", "Bob Ray", "Lee, Ann"]
+    works = [(k, title(), rng.choice(authors), rng.choice([None, 2000]), rng.choice([0, 5])) for k in range(150)]
+    sources = [(k, rng.choice(works)[1] if k % 2 else title(), rng.choice(authors)) for k in range(80)]
+    w = spark.createDataFrame(works, "work_id long, title string, author string, year int, cover int")
+    s = spark.createDataFrame(sources, "key long, title string, author string")
+    got = {r["key"]: (r["work_id"], r["score"], r["members"], r["status"]) for r in resolution.choose_works(s, w).collect()}
+    pairs = s.select("key", F.col("title").alias("st"), F.col("author").alias("sa")).crossJoin(w.withColumn("group", work_identity(F.col("title"), F.col("author"))))
+    same = (author_key(F.col("sa")) == author_key(F.col("author"))) | (title_key(F.col("st")) == title_key(F.col("title")))
+    t, a = matching.title_match(F.col("st"), F.col("title")), matching.author_match(F.col("sa"), F.col("author"))
+    rows = pairs.where(same).withColumns({"t": t, "a": a}).where(matching.title_agrees(F.col("t")) & matching.author_agrees(F.col("a"))).collect()
+    want = {}
+    for key in {r["key"] for r in rows}:
+        groups = {}
+        for r in rows:
+            if r["key"] == key:
+                groups.setdefault(r["group"], []).append((-(r["year"] is not None) - (r["cover"] > 0), r["work_id"], int(r["t"]["score"] * 0.7 + r["a"]["score"] * 0.3 + 0.5)))
+        best = sorted((-min(g)[2], min(g)[1], len(g)) for g in groups.values())
+        clear = len(best) == 1 or best[1][0] - best[0][0] >= 8
+        want[key] = (best[0][1], -best[0][0], best[0][2], "selected" if clear else "ambiguous")
+    assert len(want) > 30 and got == want
