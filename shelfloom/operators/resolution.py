@@ -10,6 +10,7 @@ from ..functions.isbn import isbn13
 from ..functions.text import author_key, stable_key, title_key, work_identity
 from ..sources.files import cut
 from . import matching
+from .catalog import import_reason
 from .quality import first_reason
 
 
@@ -72,14 +73,31 @@ def report_mismatches(report: DataFrame, artifact: DataFrame) -> DataFrame:
     return both.select(F.coalesce("work_key", "other_key").alias("work_key"), fault.alias("fault")).where("fault is not null")
 
 
-def bridge(report: DataFrame, kept: DataFrame, editions: DataFrame, *, limit: int) -> DataFrame:
-    """The first `limit` new works of a report with the edition that stands for each.
+def bridge(report: DataFrame, kept: DataFrame, editions: DataFrame, *, limit: int | None) -> DataFrame:
+    """Every work of a report with the edition that stands for it, or the reason why it has none.
 
-    report: place, work_key, status. kept: work_key, title, author, isbns, cover. editions: key, work_key,
-    isbn, title, author, languages, format, cover, publish_date, year. An edition competes with its lowest
-    ISBN that the work lists; works that resolve to one identity all go to review.
+    report: place, work_key, status. kept: work_key, title, author, isbns, cover, and format and languages
+    where known. editions: key, work_key, isbn, title, author, languages, format, cover, publish_date, year.
+    Rows that are not new or not eligible carry their reason; eligible ones after the first `limit` carry
+    'limit'. An edition competes with its lowest ISBN that the work lists; works that resolve to one
+    identity all go to review.
     """
-    new = report.where("status = 'new'").orderBy("place").limit(limit).select("place", "work_key")
+    has = lambda c: c in kept.columns
+    kind = ed.product_kind(F.col("format") if has("format") else F.lit(None).cast("string"), F.col("title"), F.lit(None).cast("string"))
+    why = first_reason([
+        ("no_candidate", F.col("known").isNull()), ("ineligible", import_reason(F.col("title"), F.col("author")).isNotNull()), ("not_a_book", kind.isNotNull()),
+        ("unknown_language", ~ed.names_english(F.col("languages")) if has("languages") else F.lit(False)), ("missing_isbn", F.coalesce(F.size("isbns"), F.lit(0)) < 1),
+    ])
+    known = kept.withColumn("known", F.lit(True))
+    rows = report.select("place", "work_key", "status").join(known, "work_key", "left")
+    rows = rows.select("place", "work_key", F.when(F.col("status") != "new", F.col("status")).otherwise(why).alias("reason"))
+    if limit is not None:
+        # the limit is on places of eligible rows, so only its last place has to be known
+        last = rows.where("reason is null").select("place").orderBy("place").limit(limit).agg(F.max("place"), F.count("*")).first()
+        if last[1] == limit:
+            after = F.col("place") > last[0] if limit else F.lit(True)
+            rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & after, "limit").otherwise(F.col("reason")))
+    new = rows.where("reason is null").select("place", "work_key")
     works = new.join(kept.select("work_key", F.col("title").alias("source_title"), F.col("author").alias("source_author"), "isbns", F.col("cover").alias("work_cover")), "work_key")
     plain = ed.product_kind(F.col("format"), F.col("title"), F.lit(None).cast("string")).isNull() & ed.product_kind(ed.format_bucket(F.col("format")), F.col("title"), F.lit(None).cast("string")).isNull()
     live = editions.where(ed.names_english(F.col("languages")) & plain)
@@ -96,8 +114,8 @@ def bridge(report: DataFrame, kept: DataFrame, editions: DataFrame, *, limit: in
     twice = F.count("*").over(Window.partitionBy("identity")) > 1
     best = best.withColumn("status", F.when((F.col("status") == "selected") & F.col("identity").isNotNull() & twice, "duplicate_identity").otherwise(F.col("status")))
     cover = F.when(F.col("cover") > 0, F.col("cover")).otherwise(F.col("work_cover"))
-    out = new.join(best.select("work_key", "isbn", "score", "status", cover.alias("cover")), "work_key", "left")
-    return out.select("place", "work_key", "isbn", "score", F.coalesce("status", F.lit("no_eligible_editions")).alias("status"), "cover")
+    out = rows.join(best.select("work_key", "isbn", "score", "status", cover.alias("cover")), "work_key", "left")
+    return out.select("place", "work_key", "isbn", "score", F.coalesce("reason", "status", F.lit("no_eligible_editions")).alias("status"), "cover")
 
 
 def choose_works(sources: DataFrame, works: DataFrame, margin: int = 8) -> DataFrame:

@@ -137,3 +137,19 @@ def test_choose_works_equals_all_pairs_without_making_them(spark):
         clear = len(best) == 1 or best[1][0] - best[0][0] >= 8
         want[key] = (best[0][1], -best[0][0], best[0][2], "selected" if clear else "ambiguous")
     assert len(want) > 30 and got == want
+
+
+def test_bridge_counts_eligible_works_and_returns_the_rest(spark):
+    report = [(1, "w1", "existing"), (2, "w2", "new"), (3, "w3", "new"), (4, "w4", "new"), (5, "w5", "new"), (6, "w6", "new"), (7, "w7", "ambiguous")]
+    lists = {"w2": [], "w3": ["i3"], "w4": ["i4"], "w5": ["i5"], "w6": ["i6"]}
+    kept = [(k, f"Story {k}", "Ann Lee", v, 1, "Paperback", ["/languages/fre" if k == "w3" else "/languages/eng"]) for k, v in lists.items()]
+    kept += [(k, "Story", "Ann Lee", ["x"], 1, "Paperback", ["/languages/eng"]) for k in ("w1", "w7")]
+    editions = [(f"/books/{k}", k, f"i{k[1]}", f"Story {k}", "Ann Lee", ["/languages/eng"], "Paperback", 1, "2001", 2001) for k in lists]
+    out = resolution.bridge(
+        spark.createDataFrame(report, "place long, work_key string, status string"),
+        spark.createDataFrame(kept, "work_key string, title string, author string, isbns array<string>, cover long, format string, languages array<string>"),
+        spark.createDataFrame(editions, "key string, work_key string, isbn string, title string, author string, languages array<string>, format string, cover long, publish_date string, year int"),
+        limit=2,
+    )
+    got = {r["place"]: (r["status"], r["isbn"]) for r in out.collect()}
+    assert got == {1: ("existing", None), 2: ("missing_isbn", None), 3: ("unknown_language", None), 4: ("selected", "i4"), 5: ("selected", "i5"), 6: ("limit", None), 7: ("ambiguous", None)}
