@@ -120,6 +120,22 @@ def stream_running_ratings(t: Tables) -> DataFrame:
     return found.where(F.col("version") == latest).select("book_id", F.round("average_rating", 9).alias("average_rating"), "ratings_count")
 
 
+@query(
+    "stream_monthly_finishes",
+    "select user_id, strftime(finished_on, '%Y-%m') as month, count(distinct book_id) as books from activities where type = 'finished_reading' and finished_on is not null group by 1, 2",
+)
+def stream_monthly_finishes(t: Tables) -> DataFrame:
+    """The finishes of the activities as a stream, each reader's months upserted into a table."""
+    out = scratch_dir(t.spark, "finishes")
+    done = t.activities.where("type = 'finished_reading' and finished_on is not null").select("user_id", "book_id", F.col("finished_on").cast("timestamp").alias("ts"))
+    done.write.parquet(f"{out}/in")
+    stream = t.spark.readStream.schema(done.schema).parquet(f"{out}/in")
+    cmd.upsert_batches(cmd.monthly_finishes(stream), f"{out}/table", f"{out}/state", ["user_id", "month"]).awaitTermination()
+    found = t.spark.read.parquet(f"{out}/table")
+    latest = found.agg(F.max("version")).first()[0]
+    return found.where(F.col("version") == latest).select("user_id", "month", "books")
+
+
 @query("stream_live_feed", "select reader, count(*) as items from (select e.user_id, e.ts from events e where event_type = 'purchase') a join (select user_a as reader, user_b as friend, accepted_at as since from friendships where status = 'accepted' union all select user_b, user_a, accepted_at from friendships where status = 'accepted') f on a.user_id = f.friend and a.ts >= f.since group by 1")
 def stream_live_feed(t: Tables) -> DataFrame:
     """A stream of purchases joined with the accepted friendships as they stand."""

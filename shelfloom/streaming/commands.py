@@ -113,10 +113,14 @@ def running_ratings(ratings: DataFrame) -> DataFrame:
 
 
 def monthly_finishes(finishes: DataFrame, late: str = "7 days") -> DataFrame:
-    """A stream of finishes (user_id, book_id, ts) to different books per reader and day window, late events up to `late`."""
-    month = F.date_format("ts", "yyyy-MM")
-    once = finishes.withWatermark("ts", late).withColumn("month", month).dropDuplicatesWithinWatermark(["user_id", "book_id", "month"])
-    return once.groupBy(F.window("ts", "1 day"), "user_id", "month").agg(F.count("*").alias("books"))
+    """A stream of finishes (user_id, book_id, ts) to different books per reader and month, late events up to `late`.
+
+    A month's state goes when a month starts that is 31 days and `late` after its own start, so that
+    a book counts once however far apart its finishes in the month are.
+    """
+    months = finishes.select("user_id", "book_id", F.date_trunc("month", "ts").alias("starts"))
+    once = months.withWatermark("starts", f"31 days {late}").dropDuplicates(["user_id", "book_id", "starts"])
+    return once.groupBy("starts", "user_id").agg(F.count("*").alias("books")).select("user_id", F.date_format("starts", "yyyy-MM").alias("month"), "books")
 
 
 def live_feed(activities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -124,7 +128,7 @@ def live_feed(activities: DataFrame, edges: DataFrame) -> DataFrame:
     return activities.join(edges, (activities["user_id"] == edges["friend"]) & (activities["created_at"] >= edges["since"]))
 
 
-def upsert_batches(stream: DataFrame, path: str, checkpoint: str, key: str):
+def upsert_batches(stream: DataFrame, path: str, checkpoint: str, key: str | list[str]):
     """Write every batch's rows over those of the same key in a table of numbered versions; returns the running query."""
 
     def merge(batch: DataFrame, number: int) -> None:

@@ -153,3 +153,17 @@ def test_bridge_counts_eligible_works_and_returns_the_rest(spark):
     )
     got = {r["place"]: (r["status"], r["isbn"]) for r in out.collect()}
     assert got == {1: ("existing", None), 2: ("missing_isbn", None), 3: ("unknown_language", None), 4: ("selected", "i4"), 5: ("selected", "i5"), 6: ("limit", None), 7: ("ambiguous", None)}
+
+
+def test_monthly_finishes_over_weeks_and_batches(spark, tmp_path):
+    schema = "user_id long, book_id long, ts timestamp"
+    batches = [[(1, 1, "2024-05-01"), (1, 2, "2024-05-02"), (2, 1, "2024-05-03")], [(1, 1, "2024-05-20"), (1, 1, "2024-06-02"), (1, 2, "2024-06-02")], [(1, 1, "2024-05-31"), (1, 3, "2024-05-30"), (1, 1, "2024-06-29")]]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "user_id long, book_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        cmd.upsert_batches(cmd.monthly_finishes(stream), str(tmp_path / "table"), str(tmp_path / "state"), ["user_id", "month"]).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "table"))
+    last = found.agg(F.max("version")).first()[0]
+    got = {(r["user_id"], r["month"]): r["books"] for r in found.where(F.col("version") == last).collect()}
+    assert got == {(1, "2024-05"): 3, (2, "2024-05"): 1, (1, "2024-06"): 2}
