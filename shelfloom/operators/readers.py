@@ -268,7 +268,12 @@ def releases(books: DataFrame, as_of: str, limit: int) -> DataFrame:
 def release_calendar(books: DataFrame, month: str) -> DataFrame:
     """The 42 days of a month's grid, each with its releases."""
     grid = books.sparkSession.range(1).select(F.explode(dates.month_grid(F.lit(month).cast("date"))).alias("day"))
-    on = books.groupBy(F.col("publication_date").alias("day")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("id")), 1, 3), lambda x: x.cast("string")), ",").alias("first_ids"))
+    dated = books.select(F.col("publication_date").alias("day"), "id")
+    n = dated.groupBy("day").agg(F.count("*").alias("n"))
+    # the three smallest of a day are taken before the shuffle
+    ranked = dated.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy(F.asc_nulls_last("id")))).where("place <= 3 and id is not null")
+    first = ranked.groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("first_ids"))
+    on = n.join(first, "day", "left")
     return grid.join(on, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first_ids", F.lit("")).alias("first_ids"))
 
 

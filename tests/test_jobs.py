@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfloom.functions.text import author_key, title_key, work_identity
-from shelfloom.operators import matching, quality, resolution
+from shelfloom.operators import matching, quality, readers, resolution
 from shelfloom.sources import dumps, files
 from shelfloom.streaming import commands as cmd
 
@@ -167,3 +167,12 @@ def test_monthly_finishes_over_weeks_and_batches(spark, tmp_path):
     last = found.agg(F.max("version")).first()[0]
     got = {(r["user_id"], r["month"]): r["books"] for r in found.where(F.col("version") == last).collect()}
     assert got == {(1, "2024-05"): 3, (2, "2024-05"): 1, (1, "2024-06"): 2}
+
+
+def test_release_calendar_takes_three_a_day_before_the_shuffle(spark):
+    rows = [(k, "1998-06-15") for k in range(50, 0, -1)] + [(100, "1998-06-16"), (None, "1998-06-17"), (None, "1998-06-16"), (7, None)]
+    books = spark.createDataFrame(rows, "id long, day string").select("id", F.col("day").cast("date").alias("publication_date"))
+    out = readers.release_calendar(books, "1998-06-15")
+    got = {str(r["day"]): (r["n"], r["first_ids"]) for r in out.collect()}
+    assert len(got) == 42 and (got["1998-06-15"], got["1998-06-16"], got["1998-06-17"]) == ((50, "1,2,3"), (2, "100"), (1, ""))
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
