@@ -127,12 +127,15 @@ def choose_works(sources: DataFrame, works: DataFrame, margin: int = 8) -> DataF
     """
     shape = F.struct("s_ak", "s_tk", "s_base")
     keyed = sources.select("key", author_key(F.col("author")).alias("s_ak"), title_key(F.col("title")).alias("s_tk"), matching.base_title_key(F.col("title")).alias("s_base"))
+    # one plan of the keys and all joins takes the driver more memory than the tables
+    keyed = cut(keyed, "sources")
     s = keyed.select(shape.alias("shape"), "s_ak", "s_tk", "s_base").distinct()
     w = works.withColumns({"ak": author_key(F.col("author")), "tk": title_key(F.col("title")), "group": work_identity(F.col("title"), F.col("author"))})
     # works of equal keys have equal scores: the best of them and their number stand for all
     quality = matching.completeness([F.col("year").isNotNull(), F.col("cover") > 0])
     stands = F.min(F.struct((-quality).alias("rank"), "work_id", "year", "cover")).alias("x")
     w = w.groupBy("ak", "tk", "group").agg(stands, F.count("*").alias("n")).select("ak", "tk", "group", "x.work_id", "x.year", "x.cover", "n")
+    w = cut(w, "works")
     surname = lambda c: F.element_at(F.split(c, " "), -1)
     words = lambda c: F.array_distinct(F.when(F.size(matching.title_tokens(c)) > 0, matching.title_tokens(c)).otherwise(F.array(F.lit(""))))
     word_of = w.select("ak", "tk", F.explode(words(F.col("tk"))).alias("word")).distinct()
@@ -145,7 +148,7 @@ def choose_works(sources: DataFrame, works: DataFrame, margin: int = 8) -> DataF
     by_word = asked.join(word_of, (F.col("s_ak") == F.col("ak")) & (asked["word"] == word_of["word"])).select("shape", "s_ak", "s_tk", "s_base", "ak", "tk")
     by_base = s.where("s_base <> ''").join(w, (F.col("s_ak") == F.col("ak")) & (F.col("s_base") == F.col("tk"))).select("shape", "s_ak", "s_tk", "s_base", "ak", "tk")
     by_title = s.join(w, (F.col("s_tk") == F.col("tk")) & (surname(F.col("s_ak")) == surname(F.col("ak")))).select("shape", "s_ak", "s_tk", "s_base", "ak", "tk")
-    pairs = by_title.union(by_base).union(by_word).distinct()
+    pairs = cut(by_title.union(by_base).union(by_word).distinct(), "pairs")
     t, a = matching.match_title_keys(F.col("s_tk"), F.col("tk"), F.col("s_base")), matching.match_author_keys(F.col("s_ak"), F.col("ak"))
     pairs = pairs.withColumns({"t": t, "a": a}).where(matching.title_agrees(F.col("t")) & matching.author_agrees(F.col("a")))
     pairs = pairs.withColumns({"score": F.round(F.col("t.score") * 0.7 + F.col("a.score") * 0.3).cast("int"), "reject_reason": F.lit(None).cast("string")})
