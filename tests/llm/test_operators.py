@@ -365,13 +365,44 @@ def test_nearest_neighbours(spark):
     assert ann.search(few, "vec_id % 20 = 0").count() == 6
 
 
-def test_visited_cells_come_in_order():
+def test_reach_visits_cells_in_order():
     rng = np.random.default_rng(1)
-    d1, d2, counts = rng.random(7), rng.random(9), rng.integers(0, 5, (7, 9))
-    seen = ann.visited(d1, d2, counts, 40)
-    order = np.argsort((d1[:, None] + d2).ravel())
-    upto = np.searchsorted(np.cumsum(counts.ravel()[order]), 40) + 1
-    assert set(np.flatnonzero(seen.ravel())) == set(order[:upto])
+    for n in (7, 8, 40):
+        d1, d2, counts = rng.random(n), rng.random(n + 2), rng.integers(0, 5, (n, n + 2))
+        for enough in (1, 40, counts.sum()):
+            upto, sums = ann.reach(d1, d2, counts, enough), d1[:, None] + d2
+            order = np.argsort(sums.ravel())
+            need = sums.ravel()[order][np.searchsorted(np.cumsum(counts.ravel()[order]), enough)]
+            assert counts[sums <= upto].sum() >= min(enough, counts.sum()) or upto >= need
+            # a run's cells may come early, never so many that the order doesn't matter
+            assert counts[sums <= upto].sum() <= enough + ann.RUN * counts.max() * (n + 1)
+        assert ann.reach(d1, d2, counts, counts.sum() + 1) == np.inf
+
+
+@pytest.mark.parametrize(("folder", "most"), [("sf0.01", 0.5), ("sf0.1", 0.4)])
+def test_recall_at_the_share_visited(spark, folder, most):
+    """Against brute force over all vectors of the table, with the share of entries that queries really visit."""
+    table = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.select("vec_id", "embedding").collect() if r["embedding"]]
+    x, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
+    seen: list[float] = []
+    got = defaultdict(set)
+    for r in ann.search(table.withColumn("rid", F.lit("a")).withColumn("upto", F.lit(1)), "vec_id % 20 = 0").collect():
+        got[r["query_id"]].add(r["vec_id"])
+    k, half = min(ann.MOST_CENTROIDS, len(x) // 2), x.shape[1] // 2
+    books = [ann._centroids(x[:, s], k) for s in (slice(None, half), slice(half, None))]
+    at = [((c**2).sum(1) - 2 * x[:, s] @ c.T).argmin(1) for c, s in zip(books, (slice(None, half), slice(half, None)), strict=True)]
+    counts = np.zeros((k, k), int)
+    np.add.at(counts, tuple(at), 1)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits, total = hits + len(got[ids[q]] & set(ids[np.lexsort((ids, -s))[:20]].tolist())), total + 20
+        d = -books[0] @ x[q, :half], -books[1] @ x[q, half:]
+        upto = ann.reach(*d, counts, int(np.ceil(0.3 * len(x))))
+        seen.append(counts[d[0][:, None] + d[1] <= upto].sum() / len(x))
+    assert hits / total >= 0.9 and np.mean(seen) < most
 
 
 def test_quality_finds_held_out_labels(spark):
