@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and terms that disclose an entity by what the corpus says of them.
 
 Base spans come from four patterns. An entity is a pattern's value; its terms are the words of the
-documents that hold it, wherever they stand. With documents as the unit, a term t discloses entity e to the degree PMI(e; t) / IC(e), which is 1 when
-t occurs only with e. Terms above one threshold are generalised, above a second one removed. All of it
-is DataFrame operations.
+documents that hold it, wherever they stand. With documents as the unit, a term t discloses entity e to
+the degree PMI(e; t) / IC(e), which is 1 when t occurs only with e. Terms above one threshold are
+generalised, above a second one removed. So an entity of one document among N is disclosed by those of its
+words that at most N**0.25 documents have. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -104,12 +105,12 @@ def _places(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, ["copy", "term"]).withColumn("start", F.col("end") - F.col("size")).drop("n", "size", "gap")
 
 
-def disclosing_terms(docs: DataFrame, hits: DataFrame, least_texts: int = 3, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
+def disclosing_terms(docs: DataFrame, hits: DataFrame, least_texts: int = 1, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
     """Spans of terms, in documents with a valid hit, whose disclosure of it reaches a threshold: rid, doc_id, start, end, term, disclosure, action.
 
-    A pair counts only if least_texts different texts have it, so that a word of one text discloses
-    nothing. Document frequencies are over all of docs. Every occurrence in a document that holds the
-    entity gets a span.
+    Document frequencies are over all of docs. A pair counts only if least_texts different texts have it: more
+    than 1 asks for repeated evidence, and then values of a single text are disclosed by nothing. Every
+    occurrence in a document that holds the entity gets a span.
     """
     total = docs.count()
     text = docs.where("text is not null").select(_copy(F.col("text")), "text")
@@ -141,14 +142,14 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, least_texts: int = 3, gen
     return spans.withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise"))
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
+def find_personal_data(docs: DataFrame, least_texts: int = 1, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
     """Every row of docs with its spans: doc_id, base (array of spans of the patterns), spans (base and terms).
 
-    A span is struct<start, kind_no, end, kind, action>. A null text counts as empty and has none; rows that
+    Terms are judged as disclosing_terms says. A span is struct<start, kind, end, name, action>. A null text counts as empty and has none; rows that
     repeat have the same spans each; an empty table gives an empty one. Extra columns are ignored.
     """
     hits = staged(find(docs), "hits")
-    terms = disclosing_terms(docs, hits)
+    terms = disclosing_terms(docs, hits, least_texts, generalise, remove)
     kinds = F.array(*map(F.lit, NAMES))
     span = lambda action: F.struct("start", "kind", "end", F.element_at(kinds, F.col("kind") + 1).alias("name"), action.alias("action"))
     base = hits.select("rid", "doc_id", F.when(F.col("valid"), span(F.lit("replace"))).alias("span"))
