@@ -16,25 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
+
 #: Licence phrases with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Fixed values: (label, key phrase, notice) of well-known licences.
-TEMPLATES = (
-    ("mit", "mit license", "released under the mit license"),
-    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "apache license", "licensed under the apache license version 2 0"),
-    ("apache", "apache license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("gpl", "general public license", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "lesser general public license", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "creative commons attribution", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("unlicense", "unencumbered software", "this is free and unencumbered software released into the public domain"),
-)
-
 #: A-Z to a-z, what is no word character to a space, all else as it is.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -57,7 +43,7 @@ class Scanner:
     """Templates and phrases with their postings, given the corpus frequencies of licence words."""
 
     def __init__(self, frequency: dict[bytes, int], documents: int, least_votes: int, least_share: float):
-        self.templates = [(label, key.encode().split(), notice.encode().split()) for label, key, notice in TEMPLATES]
+        self.templates = [(label, words_of(key), words_of(notice)) for label, key, notice in TEMPLATES]
         self.phrases = {p: (p.encode().split(), label) for p, label in PHRASES.items()}
         weight = {w: math.log((documents + 1) / n) for w, n in frequency.items() if n}
         #: By template: its voting words, each with its places in the notice, and the votes a place needs.
@@ -107,7 +93,7 @@ class Scanner:
 
 def _frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
     """Documents that hold each licence word, and all documents: as many rows as the templates have words."""
-    vocabulary = {w for _, _, notice in TEMPLATES for w in notice.encode().split()}
+    vocabulary = {w for _, _, notice in TEMPLATES for w in words_of(notice)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = defaultdict(int)
@@ -128,8 +114,9 @@ def scan_licenses(docs: DataFrame, least_votes: int = 3, least_share: float = 0.
 
     Base labels come from PHRASES wherever their words stand side by side; labels adds every template whose
     key phrase and least_share of whose words stand at one place. least_votes is how many of a template's
-    rarest words must agree on a place before it is verified; it changes the work, not the result. score is the largest such share; 0 without a label. A null or empty text has no words
-    and no labels; an empty table gives an empty one; repeated rows are scanned each.
+    rarest words must agree on a place before it is verified; it changes the work, not the result. score is
+    the largest such share; 0 without a label. A null or empty text has no words and no labels; an empty
+    table gives an empty one; repeated rows are scanned each; other columns are ignored.
     """
     frequency, documents = _frequencies(docs)
     options = (frequency, documents, least_votes, least_share)
