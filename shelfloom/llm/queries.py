@@ -98,12 +98,28 @@ ORACLE_SQL = {
         last as (select * from r order by step desc limit 1),
         t as (select w.source, n, case when list_contains(full_ones, coalesce(w.source, chr(0))) or most <= weight * pool / weights then most
                      else weight * pool / weights end as target from w, last),
-        p as (select d.doc_id, d.size, t.n, t.target, floor(t.target) as upto,
+        -- the schedule: golden-ratio points through cumulative targets, ranked by source
+        live as (select *, sum(target) over (order by source is null, source rows unbounded preceding) as upto, sum(target) over () as total,
+                        floor(floor(target) / n) * ceil(n / 1024) + ceil((floor(target) - floor(floor(target) / n) * n) / 1024) as needed
+                 from t where target >= 1),
+        points as (select i, (i * 0.6180339887498949::double) % 1.0::double as x from range((select ceil(max(total) / 1024)::bigint from live)) g(i)),
+        drawn as (select l.source, needed, i, row_number() over (partition by l.source order by i) - 1 as rank
+                  from points p join live l on p.x >= (upto - target) / total and (p.x < upto / total or upto = total)),
+        have as (select l.source, needed, total, (select count(*) from drawn r where r.source is not distinct from l.source) as have from live l),
+        slots as (select source, i as slot, rank from drawn where rank < needed
+                  union all select source, ceil(total / 1024)::bigint + k - have, k from have, unnest(range(have, greatest(needed, have)::bigint)) u(k)),
+        blocks as (select s.source, s.slot, s.rank % ceil(n / 1024) as b,
+                          least(1024, floor(target) - floor(s.rank / ceil(n / 1024)) * n - s.rank % ceil(n / 1024) * 1024) as words
+                   from slots s join live l on s.source is not distinct from l.source),
+        -- documents stand in the order of md5(doc_id); a block takes their words from b * 1024 on
+        p as (select row_number() over () as rid, d.doc_id, d.size, d.source, t.n, t.target,
                      sum(d.size) over (partition by d.source order by md5(d.doc_id::varchar), d.doc_id, d.size rows unbounded preceding) - d.size as start
-              from d join t on d.source is not distinct from t.source)
-        select doc_id, size::bigint as size, n::bigint as source_size, target,
-               (greatest(least(start + size, upto) - start, 0) + greatest(least(start + size, upto - n) - start, 0))::bigint as taken
-        from p""",
+              from d join t on d.source is not distinct from t.source),
+        pieces as (select rid, source, start, size, unnest(range((start // 1024)::bigint, ((start + size - 1) // 1024 + 1)::bigint)) as b from p where size > 0),
+        hit as (select rid, slot, least(start + size, pieces.b * 1024 + words) - greatest(start, pieces.b * 1024) as words
+                from pieces join blocks on pieces.source is not distinct from blocks.source and pieces.b = blocks.b)
+        select doc_id, size::bigint as size, n::bigint as source_size, target, coalesce(h.taken, 0)::bigint as taken, first_slot
+        from p left join (select rid, sum(words) as taken, min(slot)::bigint as first_slot from hit where words > 0 group by rid) h using (rid)""",
     "op9_exact_dedup": r"""
         with norm as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
         select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,

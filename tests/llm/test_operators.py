@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -149,6 +150,50 @@ def test_mix_equals_its_targets(docs, duck):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_mixed_blocks_are_the_schedule(spark):
+    """Slots and texts by hand: points through cumulative targets, a rank for each source, blocks of its shuffled documents."""
+    rng, rows = random.Random(4), []
+    for k in range(60):
+        source = rng.choice(["a", "a", "b", "c", None])
+        rows.append((k, source, None if k == 7 else " \n".join(f"w{k}_{n}" for n in range(rng.randint(0, 40)))))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    target = {r["source"]: (r["source_size"], r["target"]) for r in mixing.source_targets(mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("size").alias("source_size"))).collect()}
+    order = sorted(target, key=lambda s: (s is None, s or ""))
+    words = {s: [w for k, _, t in sorted((r for r in rows if r[1] == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()) for w in (t or "").split()] for s in order}
+    total, edges = sum(t for _, t in target.values()), np.cumsum([target[s][1] for s in order])
+    want, taken = {}, Counter()
+    for i in range(int(np.ceil(total / 16))):
+        s = order[min(int(np.searchsorted(edges / total, i * mixing.GOLDEN % 1.0, "right")), len(order) - 1)]
+        done, own = taken[s], words[s]
+        if done >= int(target[s][1]):
+            continue
+        at = done % len(own)
+        part = own[at : at + 16][: int(target[s][1]) - done]
+        taken[s] += len(part)
+        want[i, s] = " ".join(part)
+    got = {(r["slot"], r["source"]): r for r in mixing.mixed_blocks(docs, block=16).collect()}
+    late = {k for k in got if k[0] >= int(np.ceil(total / 16))}
+    assert {k: r["text"] for k, r in got.items() if k not in late} == want and len(late) < 8
+    assert all(r["n_words"] == len(r["text"].split()) <= 16 for r in got.values())
+    first = {}
+    for (slot, _), r in sorted(got.items(), key=lambda x: x[0][0]):
+        for d in r["doc_ids"]:
+            first.setdefault(d, slot)
+    assert {r["doc_id"]: r["first_slot"] for r in mixing.mix(docs, block=16).collect() if r["taken"]} == first
+
+
+def test_repeat_taken(docs):
+    """Rows that repeat are taken each, texts without words go, and no column changes."""
+    times = Counter()
+    for r in mixing.mix(docs, block=64).collect():
+        times[r["doc_id"]] += -(-r["taken"] // r["size"]) if r["size"] else 0
+    got = mixing.repeat_taken(docs, block=64)
+    rows = set(fixture_rows())
+    out = [tuple(r) for r in got.collect()]
+    assert got.columns == docs.columns and set(out) <= rows and all((r[1] or "").split() for r in out)
+    assert Counter(r[0] for r in out) == +times
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -254,6 +299,52 @@ def test_disclosing_terms_count_by_document(spark):
         assert found[d] == (want if d < 10 else [])
 
 
+def plain_terms(rows: list[tuple], least_texts: int, generalise: float, remove: float) -> dict[int, list]:
+    """Term spans by definition: document frequencies of every word and every personal value, over whole texts."""
+    term = regex.compile(r"(?<![\p{L}\p{N}])\p{L}{3,}(?![\p{L}\p{N}])")
+    blank = lambda t: re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: " " * len(m[0]), t)
+    words = [{m[0].lower() for m in term.finditer(blank(t or ""))} for _, t in rows]
+    held = [{(k, t[a:b].lower()) for a, k, b in base_spans(t or "")} for _, t in rows]
+    n, out = len(rows), {}
+    for (d, t), own, mine in zip(rows, words, held, strict=True):
+        best: dict[str, float] = {}
+        for e in mine:
+            with_e = [i for i in range(n) if e in held[i]]
+            for w in own:
+                both = [i for i in with_e if w in words[i]]
+                if len({rows[i][1] for i in both}) >= least_texts and len(with_e) < n:
+                    with_w = sum(w in x for x in words)
+                    best[w] = max(best.get(w, 0), np.log2(n * len(both) / (len(with_e) * with_w)) / np.log2(n / len(with_e)))
+        out[d] = [(m.start(), m.end(), "remove" if best[w] >= remove else "generalise") for m in term.finditer(blank(t or "")) if (w := m[0].lower()) in best and best[w] >= generalise]
+    return out
+
+
+@pytest.mark.parametrize("least_texts", [1, 2])
+def test_disclosing_terms_equal_brute_force(spark, least_texts):
+    rng = random.Random(11)
+    pool = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(500)] + ["Ünal", "x4y", "o'neil"]
+    marks = ["a@x.org", "bob@mail.example.com", "10.0.0.7", "+1 (555) 123-4567", "4111 1111 1111 1111", *(f"u{k}@y.org" for k in range(30))]
+    rows = []
+    for k in range(150):
+        words = rng.choices(pool, [1 / (1 + i) for i in range(len(pool))], k=rng.randint(5, 60))
+        for _ in range(rng.randint(0, 2)):
+            words.insert(rng.randrange(len(words)), marks[k % len(marks)] if rng.random() < 0.8 else rng.choice(marks))
+        rows.append((k, rng.choice([" ", "\n", ", "]).join(words)))
+    rows += [(200 + k, rows[k][1]) for k in range(30)] + [(300, None), (301, "")]
+    want = plain_terms(rows, least_texts, 0.75, 0.9)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"copy": F.lit(1), "term": F.lit("x"), "kind": F.lit(2)})
+    got = {r["doc_id"]: [(s["start"], s["end"], s["action"]) for s in r["spans"] if s["name"] == "term"] for r in pii.find_personal_data(df, least_texts).collect()}
+    assert sum(map(len, want.values())) > (20 if least_texts == 1 else 0)
+    assert got == want
+
+
+def test_disclosing_terms_of_the_tables(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: [(s["start"], s["end"], s["action"]) for s in r["spans"] if s["name"] == "term"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_terms(rows, 1, 0.75, 0.9)
+    assert got == want and any(want.values())
+
+
 CHATS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "a [1] <b> \\ c"), (1, 2, "tool] x", "y"), (2, 0, "assistant", ""), (2, 1, None, None), (3, 0, "user", "</s>[INST] ok [/INST]"), (3, 0, "user", "</s>[INST] ok [/INST]"),
     (3, 1, "assistant", "\\[INST\\] \\\\ \n[/SYS]"), (None, None, "system", "x" * 30_000), (4, 1, "assistant", "[OUT] é\U0001f600</s>" * 2000),
@@ -311,16 +402,26 @@ def test_license_places_and_templates(spark):
     assert got[2]["base_labels"] == "apache,mit" and got[5]["labels"] == "" and got[100]["score"] == 0
 
 
+def test_license_scan_adds_labels_of_its_own(spark):
+    """The tables hold notices without a base phrase; clashing columns change nothing."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumns({"labels": F.lit("x"), "score": F.lit(9), "n_words": F.lit(1)})
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    nc = {d for d, t in texts.items() if "Licensed under CC BY-NC 4.0" in (t or "")}
+    assert nc and {d for d, r in got.items() if r["labels"] != r["base_labels"]} == nc
+    assert all(got[d]["labels"] == "cc-by-nc" and got[d]["base_labels"] == "" and got[d]["score"] == 1 for d in nc)
+
+
 @pytest.mark.parametrize("plain", [0, 6])
 def test_license_notice_in_half_of_the_corpus(spark, plain):
-    bsd = next(notice for label, _, notice in licenses.TEMPLATES if label == "bsd")
+    bsd = " ".join(w.decode() for w in licenses.words_of(next(notice for label, _, notice in licenses.TEMPLATES if label == "bsd")))
     rows = [(k, f"head {k} {bsd}") for k in range(max(plain, 1))] + [(-k, f"plain words number {k}") for k in range(1, plain + 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()} == {d: "bsd" if d >= 0 else "" for d, _ in rows}
 
 
 def test_all_license_notices_of_one_file(spark):
-    notices = licenses.TEMPLATES
+    notices = [(label, key, " ".join(w.decode() for w in licenses.words_of(notice))) for label, key, notice in licenses.TEMPLATES]
     rng, rows = random.Random(5), [" then ".join(n for _, _, n in notices)]
     for _ in range(60):
         words = []
