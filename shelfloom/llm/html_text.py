@@ -1,13 +1,15 @@
 """Main text of web pages by two passes of block rules.
 
-The first pass decides blocks by stop-word density, length and link density, and by the elements they
-stand in; short blocks that it can't decide inherit in the second pass from the nearest decided blocks.
+Elements and class names only say what surrounds an article. Of what is left, the first pass decides blocks
+by link density, length and stop-word density, inside an article as elsewhere; short and doubtful ones
+inherit in the second pass from the nearest blocks that are decided.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +35,12 @@ AROUND = set(
     "subscribe subscription signup login share sharing social sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead header comment comments "
     "reply replies respond disqus related recommended recommendations widget pagination pager search toolbar contentinfo complementary".split()
 )
+#: Words of class names with which `header` means an article's own head.
+OWN_HEAD = set("article post entry story content section page".split())
+#: Elements that end where the next of their group starts.
+SIBLINGS = [set(group.split()) for group in ("li", "dt dd", "tr", "td th", "option", "thead tbody tfoot")]
+#: First pass: share of linked characters above which a block is bad, characters below which it is short, from which it is long, share of stop words that makes a block good.
+LINKED, SHORT, LONG, STOPS = 0.4, 60, 200, 0.15
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z|(?=<))|([^<]+|<)", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
@@ -48,34 +56,63 @@ class Block:
 
 
 def _surrounds(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element holds what surrounds an article."""
     if name in OUTSIDE and not (name == "header" and inside):
         return True
     if not attributes or name in INSIDE | {"body", "html"}:
         return False
     parts = {p for m in NAMED.finditer(attributes) for p in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(parts & AROUND) or bool(HIDDEN.search(attributes))
+    around = parts & AROUND
+    if inside or parts & OWN_HEAD:
+        around = around - {"header"}
+    return bool(around) or bool(HIDDEN.search(attributes))
+
+
+class Frame:
+    """An open element that ends blocks, with the inline elements open in it."""
+
+    __slots__ = ("count", "inline", "inside", "link", "name", "outside")
+
+    def __init__(self, name: str, outside: bool, inside: bool):
+        self.name, self.outside, self.inside = name, outside, inside
+        self.inline: list[tuple[str, bool]] = []  # name, whether its text is left out
+        self.count: Counter[str] = Counter()
+
+    def hides(self) -> bool:
+        return bool(self.inline) and self.inline[-1][1]
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text, in order, with character references decoded and white space collapsed."""
+    """The page's blocks of text, in order, with character references decoded and white space collapsed.
+
+    Time is in proportion to the page, however deep or badly nested its elements are: an end tag looks for
+    its element only if one is open.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, outside, inside
+    frames, opened = [Frame("", False, False)], Counter()
     parts: list[str] = []
-    in_link, linked, at = 0, 0, 0
-    end = len(page)
+    linked, at, end = 0, 0, len(page)
 
     def flush() -> None:
         nonlocal linked
         if parts and (text := " ".join(html.unescape("".join(parts)).split())):
-            out.append(Block(text, linked, bool(stack) and stack[-1][2], bool(stack) and stack[-1][1]))
+            out.append(Block(text, linked, frames[-1].inside, frames[-1].outside))
         parts.clear()
         linked = 0
 
+    def leave(name: str) -> None:
+        while True:
+            closed = frames.pop()
+            opened[closed.name] -= 1
+            if closed.name == name:
+                return
+
     while at < end and (m := TOKEN.match(page, at)):
-        at = m.end()
+        at, top = m.end(), frames[-1]
         if m[5] is not None:
-            parts.append(m[5])
-            linked += len(m[5].strip()) if in_link else 0
+            if not top.hides() and not (m[5] == "<" and at == end):  # a page may be cut inside a tag
+                parts.append(m[5])
+                linked += len(m[5].strip()) if top.count["a"] else 0
             continue
         if m[2] is None:
             continue
@@ -83,64 +120,84 @@ def blocks_of(page: str) -> list[Block]:
         if name in RAW and not closes:
             close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
-        elif name == "a":
-            in_link = 0 if closes else 1
         elif name == "br":
             parts.append(" ")
         elif name in BLOCKS:
             flush()
-            in_link = 0
-            if name in VOID or name == "p" or name == "li":
-                continue
             if closes:
-                if any(e[0] == name for e in stack):
-                    while stack.pop()[0] != name:
-                        pass
-            elif not m[3].endswith("/"):
-                was_outside, was_inside = stack[-1][1:] if stack else (False, False)
-                around = _surrounds(name, m[3], was_inside)
-                stack.append((name, was_outside or around, (was_inside or name in INSIDE) and not around))
+                if opened[name]:
+                    leave(name)
+                continue
+            if top.name == "p":
+                leave("p")
+            group = next((g for g in SIBLINGS if name in g and frames[-1].name in g), None)
+            if group:
+                leave(frames[-1].name)
+            if name not in VOID and not m[3].endswith("/"):
+                was = frames[-1]
+                around = _surrounds(name, m[3], was.inside)
+                frames.append(Frame(name, was.outside or was.hides() or around, (was.inside or name in INSIDE) and not around))
+                opened[name] += 1
+        elif name not in VOID and (closes or not m[3].endswith("/")):
+            # an end tag ends inline elements of its own block only; a new link ends an open one
+            if (closes or name == "a") and top.count[name]:
+                while True:
+                    ended = top.inline.pop()[0]
+                    top.count[ended] -= 1
+                    if ended == name:
+                        break
+            if not closes and (name != "a" or "href" in m[3].lower()):
+                top.inline.append((name, top.hides() or _surrounds(name, m[3], top.inside)))
+                top.count[name] += 1
     flush()
     return out
 
 
-def _first_pass(block: Block, has_article: bool) -> str:
-    """good, bad, or one of the undecided classes near and short."""
+def first_pass(block: Block) -> str:
+    """good or bad by densities; near or short if they don't decide."""
     links = block.linked / block.chars
     stops = sum(w.strip(".,;:!?").lower() in WORDS for w in block.words) / len(block.words)
-    if block.outside or (has_article and not block.inside):
+    if links > LINKED:
         return "bad"
-    if block.inside:
-        if links > 0.5:
-            return "bad"
-        return "good" if block.chars >= 40 or stops >= 0.3 else "near"
-    if links > 0.33:
-        return "bad"
-    if block.chars < 70:
-        return "bad" if links > 0 else "short"
-    if stops >= 0.3:
-        return "good" if block.chars > 200 else "near"
-    return "near" if stops >= 0.15 or block.chars > 200 else "bad"
+    if block.chars < SHORT:
+        return "short"
+    if stops >= STOPS or (block.inside and block.chars >= LONG):
+        return "good"
+    return "near" if block.inside or stops >= STOPS / 2 or block.chars >= LONG else "bad"
+
+
+def second_pass(first: list[str], inside: bool) -> list[str]:
+    """Undecided blocks with the class of the nearest decided one.
+
+    Where both sides are as near and differ, a block of an article or of some length is good, a short one goes
+    with what follows, as headings do. Where none is decided, all are good.
+    """
+    nearest: list[list[tuple[int, str]]] = [[], []]
+    for found, order in zip(nearest, (first, first[::-1]), strict=True):
+        last = (0, "")
+        for kind in order:
+            last = (0, kind) if kind in ("good", "bad") else (last[0] + 1, last[1])
+            found.append(last)
+    out = []
+    for kind, a, b in zip(first, nearest[0], nearest[1][::-1], strict=True):
+        if kind in ("near", "short"):
+            (near, one), (far, other) = sorted((a, b), key=lambda x: (not x[1], x[0]))
+            if not one:
+                kind = "good"
+            elif near == far and other and one != other:
+                kind = "good" if inside or kind == "near" else b[1]
+            else:
+                kind = one
+        out.append(kind)
+    return out
 
 
 def main_blocks(page: str) -> list[str]:
-    blocks = blocks_of(page)
-    has_article = any(b.inside and not b.outside for b in blocks)
-    first = [_first_pass(b, has_article) for b in blocks]
-    kinds = list(first)
-    for inside in (True, False):  # a block's neighbours are those on its side of the article's bounds
-        own = [k for k, b in enumerate(blocks) if b.inside == inside]
-        nearest: list[list[tuple[int, str]]] = [[], []]
-        for found, order in zip(nearest, (own, own[::-1]), strict=True):
-            last = (len(blocks), "")
-            for k in order:
-                last = (0, first[k]) if first[k] in ("good", "bad") else (last[0] + 1, last[1])
-                found.append(last)
-        for k, a, b in zip(own, nearest[0], nearest[1][::-1], strict=True):
-            if first[k] in ("near", "short"):
-                tie = "good" if inside or first[k] == "near" else "bad"
-                (near, kind), (far, other) = sorted((x for x in (a, b)), key=lambda x: (not x[1], x[0]))
-                kinds[k] = tie if not kind or (near == far and kind != other and other) else kind
+    blocks = [b for b in blocks_of(page) if not b.outside]
+    inside = any(b.inside for b in blocks)
+    if inside:
+        blocks = [b for b in blocks if b.inside]
+    kinds = second_pass([first_pass(b) for b in blocks], inside)
     return [b.text for b, kind in zip(blocks, kinds, strict=True) if kind == "good"]
 
 
