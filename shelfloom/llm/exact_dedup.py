@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import staged, unused
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -82,11 +82,10 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fi
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, of which exact_groups keeps one for each text."""
-    groups = exact_groups(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    names = docs.columns
-    rows = docs.withColumn("__sha", F.sha2(normalised(F.col(text)).cast("binary"), 256)).withColumn("__keep", F.col(doc_id).cast("long"))
-    same = [rows["__keep"].eqNullSafe(groups["__keep"]), rows["__sha"] == groups["__sha"]]
-    kept = rows.join(groups, same, "left_semi")
-    order = Window.partitionBy("__keep", "__sha").orderBy(F.lit(1))
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*names)
+    """The rows of docs, all columns as they are, of which exact_groups keeps one for each text."""
+    keep, sha, n = (unused(name, docs.columns) for name in ("keep", "sha", "n"))
+    groups = exact_groups(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    rows = docs.withColumns({sha: F.sha2(normalised(F.col(text)).cast("binary"), 256), keep: F.col(doc_id).cast("long")})
+    kept = rows.join(groups, rows[keep].eqNullSafe(groups["kept_id"]) & (rows[sha] == groups["kept_sha"]), "left_semi")
+    order = Window.partitionBy(keep, sha).orderBy(F.lit(1))
+    return kept.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*docs.columns)

@@ -24,13 +24,50 @@ def _own_dir(application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix="shelfloom-")
 
 
+#: Folders of tables that staged() wrote and nobody has deleted yet, by application.
+_written: dict[str, set[str]] = {}
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and read it back, so that later jobs neither recompute it nor depend on an executor."""
+    """Write df once and read it back, so that later jobs neither recompute it nor depend on an executor.
+
+    The table stays until discard() or release(): results are read lazily and may still need it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _written[spark.sparkContext.applicationId].discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: a loop's last round, once the next one is written."""
+    for df in tables:
+        own = _written.get(df.sparkSession.sparkContext.applicationId, set())
+        _delete(df.sparkSession, {path for path in own if any(f"{path}/" in f for f in df.inputFiles())})
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that this session's operators staged and still lies there, after their results are written; how many tables."""
+    paths = set(_written.get(spark.sparkContext.applicationId, set()))
+    _delete(spark, paths)
+    return len(paths)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

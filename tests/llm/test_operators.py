@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -73,6 +74,21 @@ def test_exact_groups(docs):
     assert {norm(r["text"]) for r in kept.collect()} == set(groups)
 
 
+def test_drop_copies_leaves_other_columns_alone(spark):
+    """Columns whose names the operators might want for themselves keep their values; repeated rows of blanks stay."""
+    names = ["__n", "__sha", "__keep", "__key", "__doc", "__id", "__of", "digit", "rid", "first", "lead", "text_key"]
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "same text"), (2, "same  text"), (3, base), (4, base + " more"), (5, "  "), (5, "  "), (6, None), (6, None), (7, "same text"), (3, base), (None, ""), (None, "")]
+    full = [(d, t, *(f"{name}{d}" for name in names)) for d, t in rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    exact = exact_dedup.drop_exact_copies(docs)
+    assert exact.columns == docs.columns
+    assert Counter(map(tuple, exact.collect())) == Counter([full[0], full[2], full[3], full[4], full[6]])
+    near = near_dedup.drop_near_copies(docs)
+    assert near.columns == docs.columns
+    assert Counter(map(tuple, near.collect())) == Counter([full[0], full[2], *full[4:8], *full[10:]])
+
+
 def components(rows: list[tuple], size: int) -> dict:
     sets = []
     for r in rows:
@@ -376,6 +392,62 @@ def test_main_text():
     assert html_text.main_text(f"<body><div><a href=x>Home</a> <a href=y>About</a></div><p>{long * 2}</p><p>Short one of it</p><p>{long * 2}</p></body>").count("\n") == 2
 
 
+PROSE = "The of and to a in is that for it as was with be by on not he his but at are this have from or had an they which you were her all. "
+
+
+def test_each_pass_of_the_page_rules_decides():
+    """Link density takes link lists out of an article; short blocks go with the nearest decided blocks, inside an article and without one."""
+    links = "".join(f"<li><a href=x{k}>Some linked story title {k}</a></li>" for k in range(4))
+    page = f"<article><h1>T</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p><ul><li><a href=a>One more story</a><li>or so<li><a href=b>And another story</a></ul></article>"
+    assert html_text.main_text(page).split("\n") == ["T", PROSE.strip(), "Short.", PROSE.strip()]
+    page = f"<body><ul>{links}</ul><div>Posted by me</div><ul>{links}</ul><div>A title</div><div>{PROSE}</div><div>Ok.</div><div>{PROSE}</div><ul>{links}</ul>"
+    assert html_text.main_text(page).split("\n") == ["A title", PROSE.strip(), "Ok.", PROSE.strip()]
+    blocks = html_text.blocks_of(page)
+    assert [html_text.first_pass(b) for b in blocks] == ["bad"] * 4 + ["short"] + ["bad"] * 4 + ["short", "good", "short", "good"] + ["bad"] * 4
+    assert html_text.second_pass(["good", "short", "bad"], False) == ["good", "bad", "bad"] and html_text.second_pass(["bad", "short", "good"], False)[1] == "good" and html_text.second_pass(["good", "short", "bad"], True)[1] == "good"
+
+
+def test_second_pass_equals_plain_search():
+    rng = random.Random(6)
+    for _ in range(300):
+        first, inside = rng.choices(["good", "bad", "near", "short"], k=rng.randint(1, 12)), rng.random() < 0.5
+        want = []
+        for k, kind in enumerate(first):
+            if kind in ("near", "short"):
+                decided = [(abs(i - k), x) for i, x in enumerate(first) if x in ("good", "bad")]
+                near = {x for d, x in decided if d == min(decided)[0]}
+                tie = "good" if not near or inside or kind == "near" else next((x for x in first[k:] if x in ("good", "bad")), "")
+                kind = near.pop() if len(near) == 1 else tie
+            want.append(kind)
+        assert html_text.second_pass(first, inside) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p class='advert'>Buy {PROSE}</p><p>{PROSE}</p><ul><li class=share>Share {PROSE}</li><li>{PROSE}</ul></article>", f"{PROSE}\n{PROSE}"),
+        (f"<article><p>{PROSE}<span class='ad'>Buy <b>this</b> now</span>Then more</p></article>", f"{PROSE}Then more"),
+        (f"<article><div class='article-header'><h1>The title</h1></div><p>{PROSE}</p></article>", f"The title\n{PROSE}"),
+        ("<body><nav><a href=x>Home</a></nav><p>One short paragraph.</p><footer>F</footer>", "One short paragraph."),
+        (f"<article><p class=ad>Buy<p>{PROSE}<p>Ok<div hidden><p>No</div></article><p>{PROSE}", f"{PROSE}\nOk"),
+        (f"<article><p><a name=top>{PROSE}</p><p><i>a<b>b</i>c</b></p></article>", f"{PROSE}\nabc"),
+        ("<article><p>" + "\u6587" * 300 + "</p><ul><li><a href=x>linked list entry</a></ul></article>", "\u6587" * 300),
+    ],
+)
+def test_pages_with_marked_elements(page, want):
+    assert html_text.main_text(page) == want.replace(" \n", "\n").strip()
+
+
+def test_long_and_deep_pages_take_time_in_proportion():
+    n = 60_000
+    start = time.time()
+    assert html_text.main_text("<div>" * n + "</section>" * n + "x") == "x"
+    assert html_text.main_text("<p>" + "<b>" * n + "</i>" * n + "x") == "x"
+    assert html_text.main_text("<i><div>" + "<b>" * n + "</i>" * n + "x") == "x"
+    assert html_text.main_text("<p><a href=x>" * n + "</a>x") == "x" and html_text.main_text(f"<article><p>{PROSE * 20_000}").count(" ") == len(PROSE.split()) * 20_000 - 1
+    assert time.time() - start < 20
+
+
 def test_pages_of_the_tables(spark):
     rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op4_html(spark, SF).collect():
@@ -544,3 +616,14 @@ def test_empty_tables(spark, empty):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id % 20 = 0").count() == 0
     for f in (quality.keep_good, exact_dedup.drop_exact_copies, near_dedup.drop_near_copies, mixing.repeat_taken):
         assert f(empty).columns == empty.columns and f(empty).count() == 0
+
+
+def test_staged_tables_are_deleted(spark, tmp_path):
+    from shelfloom.llm import storage
+
+    storage.release(spark)
+    one, two = (storage.staged(spark.range(5), name) for name in ("one", "two"))
+    storage.discard(one)
+    assert two.count() == 5 and storage.release(spark) == 1 and storage.release(spark) == 0
+    with pytest.raises(Exception, match="two"):
+        spark.read.parquet(two.inputFiles()[0]).count()
