@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.text import holds
+from ..sources.files import cut
 
 
 def rating_cache(books: DataFrame, user_books: DataFrame) -> DataFrame:
@@ -111,36 +112,75 @@ def friend_feed(
     return page.join(books.select(F.col("id").alias("book_id"), "title"), "book_id").select("reader", "place", "id", "type", "username", "title", "created_at", "more")
 
 
+def _rank(*first: Column) -> list[Column]:
+    """The order of recommended books, after the columns given."""
+    return [*first, F.desc("ratings_count"), F.col("average_rating").desc_nulls_last(), F.col("publication_year").desc_nulls_last(), F.asc("book_id")]
+
+
+def _book_classes(books: DataFrame, book_genres: DataFrame) -> DataFrame:
+    """Books with their class, the genres (as `set` and as an array) and author that alone decide a score, and their place in it."""
+    genres = book_genres.where("genre is not null").groupBy("book_id").agg(F.array_sort(F.collect_list("genre")).alias("genres"))
+    rows = books.select(F.col("id").alias("book_id"), "author", F.coalesce(F.lower(F.trim("author")), F.lit("\0")).alias("author_key"), "ratings_count", "average_rating", "publication_year")
+    rows = rows.join(genres, "book_id", "left").withColumn("genres", F.coalesce("genres", F.array().cast("array<string>")))
+    rows = rows.withColumn("set", F.array_join("genres", "\x1f"))
+    return rows.withColumn("in_class", F.row_number().over(Window.partitionBy("set", "author_key").orderBy(*_rank())))
+
+
+def _profiles(mine: DataFrame, books: DataFrame, book_genres: DataFrame, least_ratings: int) -> DataFrame:
+    """One row a reader with enough ratings: likes (points by genre), known (authors on the shelf, with points and books)."""
+    enough = mine.groupBy("user_id").agg(F.count("user_rating").alias("n")).where(F.col("n") >= least_ratings).select("user_id")
+    shelf = mine.join(enough, "user_id").select("user_id", "book_id", "user_rating")
+    genre_points = F.when(F.col("user_rating") == 5, 2).when(F.col("user_rating") == 4, 1)
+    author_points = F.element_at(F.array(*map(F.lit, (-3, -2, 0, 2, 3))), F.col("user_rating").cast("int"))
+    likes = shelf.withColumn("points", genre_points).where("points > 0").join(book_genres.where("genre is not null"), "book_id")
+    likes = likes.groupBy("user_id", "genre").agg(F.sum("points").alias("points"))
+    likes = likes.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("genre", "points"))).alias("likes"))
+    known = shelf.join(books.select("book_id", "author_key"), "book_id").groupBy("user_id", "author_key")
+    known = known.agg(F.coalesce(F.sum(F.when(F.col("user_rating").isNotNull() & (F.col("author_key") != "\0"), author_points)), F.lit(0)).alias("points"), F.count("*").alias("books"))
+    known = known.groupBy("user_id").agg(F.collect_list(F.struct("author_key", "points", "books")).alias("known"))
+    none = F.create_map().cast("map<string,bigint>")
+    return known.join(likes, "user_id", "left").withColumn("likes", F.coalesce("likes", none))
+
+
 def top_picks(user_books: DataFrame, books: DataFrame, book_genres: DataFrame, *, reader: int | None = None, limit: int = 6, per_author: int = 2, least_ratings: int = 3) -> DataFrame:
     """Books for each reader by the genres and authors that they rate highly.
 
-    books has average_rating and ratings_count. Candidates come from the reader's genres and authors with a
-    positive affinity, so that no reader meets a book that can't score.
+    books has average_rating and ratings_count. A score depends on a book's genres and author alone, so
+    readers meet classes of books: those of authors on their shelf, and the sets of genres that hold one they
+    like. A reader's classes are cut at a score that `limit` books of different authors surely reach; only
+    then are the best books of the classes looked up, with as many to spare as stand on the shelf already.
     """
     mine = user_books if reader is None else user_books.where(F.col("user_id") == reader)
-    rated = mine.where("user_rating is not null")
-    enough = rated.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_ratings).select("user_id")
-    rated = rated.join(enough, "user_id").select("user_id", "book_id", "user_rating")
-    authors = books.select(F.col("id").alias("book_id"), F.lower(F.trim("author")).alias("author_key"))
-    genre_points = F.when(F.col("user_rating") == 5, 2).when(F.col("user_rating") == 4, 1)
-    author_points = F.element_at(F.array(*map(F.lit, (-3, -2, 0, 2, 3))), F.col("user_rating").cast("int"))
-    likes = rated.withColumn("points", genre_points).where("points > 0").join(book_genres, "book_id").groupBy("user_id", "genre").agg(F.sum("points").alias("points"))
-    knows = rated.withColumn("points", author_points).join(authors, "book_id").groupBy("user_id", "author_key").agg(F.sum("points").alias("points"))
-    by_genre = likes.join(book_genres, "genre").groupBy("user_id", "book_id").agg(
-        F.sum("points").alias("genre_score"), F.min(F.struct(-F.col("points"), "genre")).alias("best")
-    )
-    by_author = knows.where("points > 0").join(authors, "author_key").select("user_id", "book_id")
-    pairs = by_genre.select("user_id", "book_id").union(by_author).distinct()
-    pairs = pairs.join(by_genre, ["user_id", "book_id"], "left").join(authors, "book_id").join(knows.withColumnRenamed("points", "author_score"), ["user_id", "author_key"], "left")
-    pairs = pairs.withColumns({"genre_score": F.coalesce("genre_score", F.lit(0)), "author_score": F.coalesce("author_score", F.lit(0))})
-    pairs = pairs.withColumn("score", F.col("genre_score") + F.col("author_score")).where("score > 0")
-    pairs = pairs.join(mine.select("user_id", "book_id"), ["user_id", "book_id"], "left_anti")
-    facts = books.select(F.col("id").alias("book_id"), "title", "author", "ratings_count", "average_rating", "publication_year")
-    rank = [F.desc("score"), F.desc("ratings_count"), F.col("average_rating").desc_nulls_last(), F.col("publication_year").desc_nulls_last(), F.asc("book_id")]
-    out = pairs.join(facts, "book_id")
-    out = out.withColumn("of_author", F.row_number().over(Window.partitionBy("user_id", "author_key").orderBy(*rank))).where(F.col("of_author") <= per_author)
-    out = out.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(*rank))).where(F.col("place") <= limit)
-    by = F.when(F.col("author_score") > 0, F.struct(F.lit("author").alias("type"), F.col("author").alias("label"))).otherwise(F.struct(F.lit("genre").alias("type"), F.col("best.genre").alias("label")))
+    classes = cut(_book_classes(books, book_genres), "classes")
+    profiles = cut(_profiles(mine, classes, book_genres, least_ratings), "profiles")
+    per_class = classes.groupBy("author_key", "set").agg(F.first("genres").alias("genres"), F.count("*").alias("n"))
+    points = F.aggregate("genres", F.lit(0).cast("bigint"), lambda total, g: total + F.coalesce(F.col("likes")[g], F.lit(0)))
+    of_known = profiles.select("user_id", "likes", F.explode("known").alias("k")).select("user_id", "likes", "k.*").join(per_class, "author_key")
+    of_known = of_known.select("user_id", "author_key", "set", "books", "n", F.col("points").alias("author_score"), (points + F.col("points")).alias("score")).where("score > 0")
+    sets = per_class.groupBy("set").agg(F.first("genres").alias("genres"), F.count("*").alias("authors"))
+    liked = profiles.select("user_id", F.size("known").alias("n_known"), F.explode("likes").alias("genre", "points"))
+    liked = liked.join(sets.select("set", "authors", F.explode("genres").alias("genre")), "genre")
+    of_sets = liked.groupBy("user_id", "set").agg(F.sum("points").alias("score"), F.first("authors").alias("authors"), F.first("n_known").alias("n_known"))
+    # scores that `limit` books of as many authors reach: by known authors with a book to spare, and by new authors of one set
+    best = of_known.where("n > books").groupBy("user_id", "author_key").agg(F.max("score").alias("best"))
+    best = best.groupBy("user_id").agg(F.get(F.sort_array(F.collect_list("best"), asc=False), F.lit(limit - 1)).alias("least"))
+    single = of_sets.where(F.col("authors") - F.col("n_known") >= limit).groupBy("user_id").agg(F.max("score").alias("least"))
+    least = cut(best.union(single).groupBy("user_id").agg(F.greatest(F.max("least"), F.lit(1)).alias("least")), "least")
+    reaching = lambda rows: rows.join(least, "user_id", "left").where(F.col("least").isNull() | (F.col("score") >= F.col("least")))
+    facts = ["book_id", "author", "ratings_count", "average_rating", "publication_year"]
+    a = reaching(of_known).select("user_id", "author_key", "set", "books", "author_score", "score").join(classes, ["author_key", "set"]).where(F.col("in_class") <= per_author + F.col("books"))
+    a = a.select("user_id", "author_key", "genres", "author_score", "score", *facts).join(mine.select("user_id", "book_id"), ["user_id", "book_id"], "left_anti")
+    listed = classes.where(F.col("in_class") <= per_author).withColumn("in_set", F.row_number().over(Window.partitionBy("set").orderBy(*_rank())))
+    b = reaching(of_sets).select("user_id", "set", "score", "n_known").join(listed, "set").where(F.col("in_set") <= limit + per_author * F.col("n_known"))
+    known = profiles.select("user_id", F.explode("known.author_key").alias("author_key"))
+    b = b.select("user_id", "author_key", "genres", F.lit(0).cast("bigint").alias("author_score"), "score", *facts).join(known, ["user_id", "author_key"], "left_anti")
+    out = a.unionByName(b)
+    order = _rank(F.desc("score"))
+    out = out.withColumn("of_author", F.row_number().over(Window.partitionBy("user_id", "author_key").orderBy(*order))).where(F.col("of_author") <= per_author)
+    out = out.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).where(F.col("place") <= limit)
+    out = out.join(profiles.select("user_id", "likes"), "user_id")
+    own = F.transform(F.filter("genres", lambda g: F.map_contains_key("likes", g)), lambda g: F.struct((-F.col("likes")[g]).alias("points"), g.alias("genre")))
+    by = F.when(F.col("author_score") > 0, F.struct(F.lit("author").alias("type"), F.col("author").alias("label"))).otherwise(F.struct(F.lit("genre").alias("type"), F.array_min(own)["genre"].alias("label")))
     return out.select("user_id", "place", "book_id", "score", by["type"].alias("reason"), by["label"].alias("label"))
 
 
@@ -158,22 +198,25 @@ def genre_vectors(user_books: DataFrame, book_genres: DataFrame, least_books: in
 def reader_suggestions(user_books: DataFrame, book_genres: DataFrame, friendships: DataFrame, users: DataFrame, *, readers: DataFrame, limit: int = 12) -> DataFrame:
     """Readers to befriend for each of `readers` (user_id): 0.60 genres + 0.25 ratings + 0.15 shared books.
 
-    Genres and ratings are compared on equal keys, so pairs that share nothing never meet.
+    Genres and ratings are compared on equal keys, so pairs that share nothing never meet. Pairs carry sums
+    only; the genres that a pair shares are looked up for the pairs that are shown.
     """
     entries, weights, norms = genre_vectors(user_books, book_genres)
+    entries, weights = cut(entries, "entries"), cut(weights, "weights")
+    norms = cut(weights.groupBy("user_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")), "norms")
     asking = lambda df: df.join(readers.select("user_id"), "user_id", "left_semi")
     left = asking(weights).select(F.col("user_id").alias("reader"), "genre", F.col("weight").alias("mine"))
-    shared = left.join(weights.select(F.col("user_id").alias("other"), "genre", "weight"), "genre").where("reader <> other")
-    best = F.slice(F.array_sort(F.collect_list(F.struct(-(F.col("mine") + F.col("weight")), "genre"))), 1, 2)
-    dots = shared.groupBy("reader", "other").agg(F.sum(F.col("mine") * F.col("weight")).alias("dot"), F.transform(best, lambda x: x["genre"]).alias("genres"))
+    right = weights.select(F.col("user_id").alias("other"), "genre", "weight")
+    shared = left.join(right, "genre").where("reader <> other")
+    dots = shared.groupBy("reader", "other").agg(F.sum(F.col("mine") * F.col("weight")).alias("dot"))
     a = asking(entries).select(F.col("user_id").alias("reader"), "book_id", F.col("user_rating").alias("mine"))
     b = entries.select(F.col("user_id").alias("other"), "book_id", F.col("user_rating").alias("theirs"))
     agreement = 1 - F.abs(F.col("mine") - F.col("theirs")) / 4
     overlap = a.join(b, "book_id").where("reader <> other").groupBy("reader", "other").agg(F.count("*").alias("shared_books"), F.count(agreement).alias("both_rated"), F.avg(agreement).alias("agreement"))
     pairs = dots.join(overlap, ["reader", "other"], "full")
     sizes = entries.select("user_id", "books").distinct()
-    pairs = pairs.join(norms.select(F.col("user_id").alias("reader"), F.col("norm").alias("n1")), "reader", "left").join(norms.select(F.col("user_id").alias("other"), F.col("norm").alias("n2")), "other", "left")
-    pairs = pairs.join(sizes.select(F.col("user_id").alias("reader"), F.col("books").alias("b1")), "reader").join(sizes.select(F.col("user_id").alias("other"), F.col("books").alias("b2")), "other")
+    facts = sizes.join(norms, "user_id", "left")
+    pairs = pairs.join(facts.select(F.col("user_id").alias("reader"), F.col("norm").alias("n1"), F.col("books").alias("b1")), "reader").join(facts.select(F.col("user_id").alias("other"), F.col("norm").alias("n2"), F.col("books").alias("b2")), "other")
     pairs = pairs.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("shared_books", "both_rated")})
     pairs = pairs.withColumns({
         "similarity": F.coalesce(F.col("dot") / (F.col("n1") * F.col("n2")), F.lit(0.0)),
@@ -187,8 +230,12 @@ def reader_suggestions(user_books: DataFrame, book_genres: DataFrame, friendship
     reason = F.when(F.col("similarity") > 0, "genres").when(F.col("ratings") > 0, "ratings").otherwise("shared_books")
     order = Window.partitionBy("reader").orderBy(F.desc("score"), F.desc(F.round("similarity", 7)), F.desc("shared_books"), "username", "other")
     out = pairs.withColumns({"place": F.row_number().over(order), "reason": reason}).where(F.col("place") <= limit)
-    genres = F.when(F.col("reason") == "genres", F.array_join("genres", ",")).otherwise("")
-    return out.select("reader", "place", "other", "score", "reason", genres.alias("genres"), "both_rated", "shared_books")
+    out = cut(out.select("reader", "place", "other", "score", "reason", "both_rated", "shared_books"), "suggested")
+    best = F.slice(F.array_sort(F.collect_list(F.struct(-(F.col("mine") + F.col("weight")), "genre"))), 1, 2)
+    genres = out.where("reason = 'genres'").select("reader", "other").join(left, "reader").join(right, ["other", "genre"])
+    genres = genres.groupBy("reader", "other").agg(F.array_join(F.transform(best, lambda x: x["genre"]), ",").alias("genres"))
+    out = out.join(genres, ["reader", "other"], "left")
+    return out.select("reader", "place", "other", "score", "reason", F.coalesce("genres", F.lit("")).alias("genres"), "both_rated", "shared_books")
 
 
 def _first_finishes(activities: DataFrame) -> DataFrame:
