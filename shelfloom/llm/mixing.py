@@ -19,8 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
 #: Points are matched with cumulative weights within so many equal parts of [0, 1), or one a source if there are more sources.
 PARTS = 4096
-#: Slots of a source are ranked in runs of the schedule.
-RUN_SLOTS = 1 << 14
 #: A source's documents are summed in runs by the first four hexadecimal digits of their key, and these by the first two.
 LOW, HIGH = 4, 2
 
@@ -83,16 +81,13 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
     covers = F.sequence(F.floor(F.col("low") * parts), F.least(F.floor(F.col("high") * parts), F.lit(parts - 1)))
     own = ["place", "source", "source_size", "target", "needed"]
     spans = live.select(*own, "low", "high", F.explode(covers).alias("part"))
-    drawn = points.join(spans, "part").where("x >= low and x < high").select(*own, "slot", F.floor(F.col("slot") / RUN_SLOTS).alias("run"))
-    counts = drawn.groupBy("place", "run").count()
-    before = Window.partitionBy("p").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    runs = counts.select(F.col("place").alias("p"), F.col("run").alias("r"), "count").withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    ranked = drawn.withColumn("n", F.row_number().over(Window.partitionBy("place", "run").orderBy("slot")))
-    ranked = ranked.join(runs, (ranked["place"] == runs["p"]) & (ranked["run"] == runs["r"])).withColumn("rank", F.col("n") - 1 + F.col("before"))
+    drawn = points.join(spans, "part").where("x >= low and x < high").select(F.col("place").alias("nth"), *own[1:], "slot")
+    numbered = staged(_numbered(drawn, F.col("nth"), F.col("slot")), "numbered")
+    counts = numbered.groupBy("nth").agg(F.min("place").alias("first"), F.count("*").alias("have"))
+    ranked = numbered.join(counts, "nth").withColumn("rank", F.col("place") - F.col("first"))
     out = ["source", "source_size", "target", "slot", "rank"]
     slots = ranked.where(F.col("rank") < F.col("needed")).select(*out)
-    have = counts.groupBy("place").agg(F.sum("count").alias("have"))
-    short = live.join(have, "place", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < needed")
+    short = live.join(counts.select(F.col("nth").alias("place"), "have"), "place", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < needed")
     short = short.select("source", "source_size", "target", "have", F.explode(F.sequence(F.col("have"), F.col("needed") - 1)).alias("rank"))
     return slots.union(short.withColumn("slot", F.lit(length) + F.col("rank") - F.col("have")).select(*out))
 
