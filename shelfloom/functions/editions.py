@@ -19,13 +19,20 @@ def format_bucket(value: Column) -> Column:
     )
 
 
+#: A year or range of years, what ends a calendar's title, and the three shapes of such titles.
+YEAR_RANGE, CALENDAR_SUFFIX = r"\d{4}(?:[-–]\d{4})?", r"(?:\s*[:;(]|$)"
+CALENDAR_TITLES = (
+    r"\b(?:advent|wall|desk|engagement|pocket|perpetual|daily|page-a-day|day-to-day)[\s-]+calendars?\b",
+    rf"\b{YEAR_RANGE}[\s-]+(?:wall[\s-]+|desk[\s-]+)?calendars?{CALENDAR_SUFFIX}",
+    rf"\bcalendars?[\s-]+{YEAR_RANGE}{CALENDAR_SUFFIX}",
+)
 #: Kinds of products that are no plain book, in the order of the test; patterns on format and on title.
 PRODUCTS = (
     ("audiobook", r"\b(?:audiobook|audio\s*cd|sound\s+recording|compact\s+disc|cassette|audio\s+cassette|mp3(?:\s*cd)?|spoken\s+word)\b", r"\b(?:audiobook|audio\s*cd|sound\s+recording|audio\s+cassette|spoken\s+word)\b"),
     ("ebook", r"\b(?:ebook|e-book|electronic|digital|kindle|epub|pdf|mobi|online\s+resource|nook)\b", r"\b(?:ebook|e-book|electronic\s+resource|kindle\s+edition)\b"),
     ("large_print", r"\b(?:large\s+print|giant\s+print|lp)\b", r"\b(?:large\s+print|giant\s+print)\b"),
     ("boxed_set", r"\b(?:boxed\s+set|box\s+set|slipcase|pack|bundle|boxset)\b", r"\b(?:boxed\s+set|box\s+set|boxset|\d+\s+books?\s+set|\d+\s+volumes?\s+set|collection\s+set)\b"),
-    ("calendar", r"\bcalendar\b", r"\b(?:advent|wall|desk|engagement|pocket|perpetual|daily|page-a-day|day-to-day)[\s-]+calendars?\b|\b\d{4}(?:[-–]\d{4})?[\s-]+(?:wall[\s-]+|desk[\s-]+)?calendars?(?:\s*[:;(]|$)|\bcalendars?[\s-]+\d{4}(?:[-–]\d{4})?(?:\s*[:;(]|$)"),
+    ("calendar", r"\bcalendar\b", "|".join(CALENDAR_TITLES)),
     ("journal", r"\b(?:journal|diary|blank\s+book|notebook|dayplanner|agenda)\b", r"\b(?:blank\s+journal|ruled\s+journal|lined\s+journal|day\s+planner|guided\s+journal)\b"),
     ("cards", r"\b(?:cards?|flashcards?|deck|tarot|playing\s+cards)\b", r"\b(?:card\s+deck|tarot\s+deck|flash\s*cards?|playing\s+cards)\b"),
     ("non_book", r"\b(?:puzzle|game|board\s+game|toy|doll|kit|poster|stationery|merchandise|accessory)\b", r"\b(?:jigsaw\s+puzzle|board\s+game|coloring\s+poster|plush\s+toy)\b"),
@@ -169,12 +176,12 @@ CATEGORY_RULES = (
     ("contemporary", r"\bcontemporary\b", ("contemporary",), None),
     ("romance", r"\bromance\b|\bromantic\b", ("romance",), None),
     ("mystery", r"\bmystery\b|\bdetective\b|\bwhodunit\b", ("mystery",), None),
-    ("thriller", r"\bthriller\b|\bsuspense\b", ("thriller",), None),
+    ("thriller", r"\bthriller\b|\bsuspense\b|\bpsychological\s*thriller\b", ("thriller",), None),
     ("crime", r"\btrue\s*crime\b", ("true-crime",), None),
     ("crime", r"\bcrime\b|\bnoir\b", ("crime",), None),
-    ("horror", r"\bhorror\b|\bghost\b", ("horror",), None),
+    ("horror", r"\bhorror\b|\bghost\b|\bsupernatural\s*horror\b", ("horror",), None),
     ("classics", r"\bclassics?\b|\bclassical\s*literature\b", ("classics",), None),
-    ("adventure", r"\badventure\b", ("adventure",), None),
+    ("adventure", r"\baction\s*&\s*adventure\b|\badventure\b", ("adventure",), None),
     ("young", r"\byoung\s*adult\b|\bya\b|\bteen\b", ("young-adult",), None),
     ("children", r"\bchildren\b|\bjuvenile\b|\bmiddle\s*grade\b", ("children",), None),
     ("memoir", r"\bmemoir\b|\bautobiograph\w*\b", ("memoir",), None),
@@ -196,6 +203,11 @@ CATEGORY_RULES = (
 )
 
 
+def category_text(description: Column, uri: Column, menu: Column) -> Column:
+    """A publisher's category as one lower-case text of its description, address and menu entry, without empty ones."""
+    return F.lower(F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in (description, uri, menu))))
+
+
 def category_genres(categories: Column, most: int = 3) -> Column:
     """Up to three genres of a list of category texts, in the order in which rules name them."""
 

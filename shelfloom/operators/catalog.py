@@ -167,7 +167,7 @@ def import_reason(title: Column, author: Column) -> Column:
 
 
 def plan_import(report: DataFrame, books: DataFrame, limit: int) -> DataFrame:
-    """New candidates of a report (place, work_key, title, author, isbn, status) with the action on each.
+    """New candidates of a report (place, work_key, title, author, isbn, status; format where known) with the action on each.
 
     In the report's order: rows that are not new, can't be shown, or whose work or ISBN the catalogue has
     are skipped; of rows with one ISBN the first is taken; rows after the first `limit` eligible ones wait.
@@ -175,12 +175,15 @@ def plan_import(report: DataFrame, books: DataFrame, limit: int) -> DataFrame:
     known_works = books.select("work_key", F.lit(True).alias("has_work")).distinct()
     known_isbns = books.where("isbn is not null").select("isbn", F.lit(True).alias("has_isbn")).distinct()
     rows = report.join(known_works, "work_key", "left").join(known_isbns, "isbn", "left")
+    kind = ed.product_kind(F.col("format") if "format" in report.columns else F.lit(None).cast("string"), F.col("title"), F.lit(None).cast("string"))
+    ineligible = F.coalesce(import_reason(F.col("title"), F.col("author")), kind)
     reason = first_reason([
-        ("existing", F.col("status") == "existing"), ("ambiguous", F.col("status") == "ambiguous"), ("ineligible", import_reason(F.col("title"), F.col("author")).isNotNull()),
+        ("existing", F.col("status") == "existing"), ("ambiguous", F.col("status") == "ambiguous"), ("ineligible", ineligible.isNotNull()),
         ("duplicate_work_key", F.col("has_work")), ("duplicate_isbn", F.col("has_isbn")),
     ])
-    rows = rows.withColumn("reason", reason)
-    first = F.row_number().over(Window.partitionBy("isbn", F.col("reason").isNull()).orderBy("place"))
+    rows = rows.withColumn("reason", F.when(reason == "ineligible", ineligible).otherwise(reason))
+    # rows without an ISBN are dealt by place, not into one task
+    first = F.row_number().over(Window.partitionBy("isbn", F.col("reason").isNull(), F.when(F.col("isbn").isNull(), F.col("place"))).orderBy("place"))
     rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & F.col("isbn").isNotNull() & (first > 1), "duplicate_isbn").otherwise(F.col("reason")))
     # the limit is on places of eligible rows, so only its last place has to be known
     last = rows.where("reason is null").select("place").orderBy("place").limit(limit).agg(F.max("place"), F.count("*")).first()
@@ -189,6 +192,63 @@ def plan_import(report: DataFrame, books: DataFrame, limit: int) -> DataFrame:
     return rows.select("place", "work_key", "isbn", F.when(F.col("reason").isNull(), "insert").otherwise("skip").alias("action"), "reason")
 
 
+#: Why an import leaves a row out, in the order of its summary.
+IMPORT_REASONS = (
+    "existing", "ambiguous", "missing_title", "missing_author", "unsupported_script", "audiobook", "ebook", "large_print", "boxed_set",
+    "calendar", "journal", "cards", "non_book", "duplicate_work_key", "duplicate_isbn", "limit", "not_attempted",
+)
+
+
+def import_summary(plan: DataFrame) -> DataFrame:
+    """(action, reason, n) of a plan: inserted rows, and skipped ones for every reason there is, zeros included."""
+    spark = plan.sparkSession
+    names = spark.createDataFrame([("insert", None), *(("skip", r) for r in IMPORT_REASONS)], "action string, reason string")
+    counts = plan.groupBy("action", "reason").agg(F.count("*").alias("n")).select(F.col("action").alias("a"), F.col("reason").alias("r"), "n")
+    out = names.join(counts, (names["action"] == counts["a"]) & names["reason"].eqNullSafe(counts["r"]), "left")
+    return out.select("action", "reason", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def apply_import(plan: DataFrame, rows: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The books after a plan, and the plan with what became of it.
+
+    rows: work_key, isbn, title, author of the planned rows. A row whose work or ISBN books has by now is not
+    inserted and gets the reason it would have had; books are only added, none changes.
+    """
+    has_work = books.where("work_key is not null").select("work_key", F.lit(True).alias("has_work")).distinct()
+    has_isbn = books.where("isbn is not null").select("isbn", F.lit(True).alias("has_isbn")).distinct()
+    checked = plan.join(has_work, "work_key", "left").join(has_isbn, "isbn", "left")
+    late = F.when(F.col("has_work"), "duplicate_work_key").when(F.col("has_isbn"), "duplicate_isbn")
+    open_row = F.col("action") == "insert"
+    reason = F.when(open_row, late).otherwise(F.col("reason"))
+    done = checked.select("place", "work_key", "isbn", F.when(open_row & late.isNull(), "insert").otherwise("skip").alias("action"), reason.alias("reason"))
+    new = done.where("action = 'insert'").select("work_key").join(rows.select("work_key", "isbn", "title", "author"), "work_key")
+    return books.select("work_key", "isbn", "title", "author").unionByName(new.select("work_key", "isbn", "title", "author")), done
+
+
+def isbn_groups(candidates: DataFrame, columns: list[str]) -> DataFrame:
+    """candidates (isbn13 and columns) by ISBN: rows, different records, and whether they are duplicates or conflict."""
+    record = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+    # rows are counted per record first, so that a common ISBN arrives as few rows
+    each = candidates.where("isbn13 is not null").groupBy("isbn13", record.alias("record")).agg(F.count("*").alias("rows"))
+    groups = each.groupBy("isbn13").agg(F.sum("rows").alias("rows"), F.count("*").alias("records"))
+    return groups.withColumns({"duplicate": F.col("rows") > 1, "conflicting": F.col("records") > 1})
+
+
+def snapshot_counts(groups: DataFrame) -> DataFrame:
+    """Counts over isbn_groups: rows read, records kept, repeated records, duplicate and conflicting ISBNs."""
+    return groups.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("input"), F.coalesce(F.sum("records"), F.lit(0)).alias("accepted"), F.coalesce(F.sum(F.col("rows") - F.col("records")), F.lit(0)).alias("duplicate_records"),
+        F.count_if("duplicate").alias("duplicate_isbns"), F.count_if("conflicting").alias("conflicting_isbns"),
+    )
+
+
+def in_candidate_order(candidates: DataFrame, columns: list[str]) -> DataFrame:
+    """Different candidates by ISBN, title, authors and record digest, as a snapshot lists them."""
+    record = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+    once = candidates.withColumn("record_key", F.concat(F.lit("sha256:"), record)).dropDuplicates(["record_key"])
+    return once.orderBy("isbn13", "title", F.array_join("authors", "\u0001"), "record_key")
+
+
 def upsert_books(books: DataFrame, updates: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """books after updates by key: non-null fields replace, unknown keys are added; action says which."""
     a, b = books.alias("a"), updates.alias("b")

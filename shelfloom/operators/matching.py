@@ -76,8 +76,8 @@ def author_agrees(match: Column) -> Column:
 
 #: What an edition's evidence weighs.
 WEIGHTS = {
-    "preferred_isbn": 40, "title_exact": 35, "title_subtitle_omitted": 32, "title_token_exact": 30, "title_strong_tokens": 25, "author_exact": 25,
-    "author_strong_name": 20, "english": 10, "trade_format": 8, "cover": 5, "description": 4, "publication_year": 3, "library_binding": -12, "large_print": -8,
+    "preferred_isbn": 40, "title_exact": 35, "title_subtitle_omitted": 32, "title_token_exact": 30, "title_strong_tokens": 25, "title_inherited_work": 20, "author_exact": 25,
+    "author_strong_name": 20, "author_inherited": 15, "english": 10, "trade_format": 8, "cover": 5, "description": 4, "publication_year": 3, "library_binding": -12, "large_print": -8,
 }
 LEAST_SCORE, LEAST_MARGIN = 55, 8
 
@@ -86,8 +86,11 @@ def score_editions(pairs: DataFrame) -> DataFrame:
     """pairs of a source and a candidate edition with reject_reason, evidence and score.
 
     Columns read: source_title, source_author, preferred_isbn, isbn, title, subtitle, author, format,
-    languages, has_cover, has_description, year.
+    languages, has_cover, has_description, year; and work_matches where given: whether the edition's work
+    is known to be the source's, so that an edition without title or authors inherits them.
     """
+    inherits = F.coalesce(F.col("work_matches"), F.lit(False)) if "work_matches" in pairs.columns else F.lit(False)
+    no_title, no_author = (F.coalesce(F.trim(c), F.lit("")) == "" for c in ("title", "author"))
     full = F.concat_ws(" ", "title", "subtitle")
     rows = pairs.withColumns({
         "_a": title_key(F.col("source_title")), "_b": title_key(F.col("title")), "_base": base_title_key(F.col("source_title")), "_x": author_key(F.col("source_author")),
@@ -98,13 +101,13 @@ def score_editions(pairs: DataFrame) -> DataFrame:
     reason = F.coalesce(
         first_reason([("missing_valid_isbn", F.col("isbn").isNull())]), ed.other_variant(F.col("_asked"), F.col("_named")),
         first_reason([
-            ("audio_only", ed.audio_only(F.col("format"), full)), ("non_english", (F.size("languages") > 0) & ~english), ("title_mismatch", ~title_agrees(F.col("t"))),
-            ("missing_author_evidence", F.coalesce(F.trim("author"), F.lit("")) == ""), ("author_mismatch", ~author_agrees(F.col("a"))),
+            ("audio_only", ed.audio_only(F.col("format"), full)), ("non_english", (F.size("languages") > 0) & ~english), ("title_mismatch", ~title_agrees(F.col("t")) & ~(inherits & no_title)),
+            ("author_mismatch", ~no_author & ~author_agrees(F.col("a"))), ("missing_author_evidence", no_author & ~inherits),
         ]),
     )
     evidence = {
         "preferred_isbn": F.col("isbn") == F.col("preferred_isbn"), **{f"title_{k}": F.col("t.kind") == k for k in ("exact", "subtitle_omitted", "token_exact", "strong_tokens")},
-        **{f"author_{k}": F.col("a.kind") == k for k in ("exact", "strong_name")}, "english": english, "trade_format": ed.trade_format(F.col("format")), "cover": F.col("has_cover"),
+        "title_inherited_work": inherits & no_title & ~title_agrees(F.col("t")), **{f"author_{k}": F.col("a.kind") == k for k in ("exact", "strong_name")}, "author_inherited": inherits & no_author, "english": english, "trade_format": ed.trade_format(F.col("format")), "cover": F.col("has_cover"),
         "description": F.col("has_description"), "publication_year": F.col("year").isNotNull(), "library_binding": ed.library_binding(F.col("format")), "large_print": ed.large_print(F.col("format")),
     }
     holds = {k: F.coalesce(c, F.lit(False)) for k, c in evidence.items()}
@@ -128,6 +131,22 @@ def completeness(columns: list[Column]) -> Column:
     return sum((F.when(c, 1).otherwise(0) for c in columns), F.lit(0))
 
 
+#: List columns that make an edition complete, one point each; and those of a work, compared one after another.
+EDITION_PARTS = ("authors", "languages", "publishers", "formats", "covers", "descriptions", "years", "subjects")
+WORK_PARTS = ("isbns", "languages", "covers", "subjects", "years", "descriptions")
+
+
+def edition_quality() -> Column:
+    """How many of an edition's eight lists (EDITION_PARTS) hold something: 0 to 8."""
+    return completeness([F.coalesce(F.size(c), F.lit(0)) > 0 for c in EDITION_PARTS])
+
+
+def work_quality() -> Column:
+    """A work's quality in seven parts: 2 for an edition id (column edition_id), then the sizes of WORK_PARTS; compared in that order."""
+    sizes = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(c) for c in WORK_PARTS)
+    return F.struct(F.when(F.col("edition_id").isNotNull(), 2).otherwise(0).alias("edition"), *sizes)
+
+
 def best_of_group(rows: DataFrame, key: list[str], quality: Column, tie: list[Column]) -> DataFrame:
     """One row a group: the most complete, ties by `tie`; members counts the group."""
     order = Window.partitionBy(*key).orderBy(quality.desc(), *tie)
@@ -137,7 +156,7 @@ def best_of_group(rows: DataFrame, key: list[str], quality: Column, tie: list[Co
 
 def first_seen(rows: DataFrame, key: Column, line: str = "line") -> DataFrame:
     """rows with first_line, the first line that has the same key; null keys have none."""
-    window = Window.partitionBy("_key")
+    window = Window.partitionBy("_key", F.when(F.col("_key").isNull(), F.col(line)))
     out = rows.withColumn("_key", key).withColumn("first_line", F.min(line).over(window))
     return out.withColumn("first_line", F.when(F.col("_key").isNotNull(), F.col("first_line"))).drop("_key")
 
@@ -155,7 +174,8 @@ def match_by_priority(entries: DataFrame, books: DataFrame) -> DataFrame:
     rows = mine.join(by_isbn, "isbn", "left").join(by_work, "identity", "left")
     book = F.when(F.col("isbn_id").isNotNull(), F.when(F.col("isbn_identity").eqNullSafe(F.col("identity")), F.col("isbn_id"))).when(F.col("n") == 1, F.col("work_id"))
     rows = rows.withColumn("book_id", book)
-    claim = F.row_number().over(Window.partitionBy("book_id").orderBy("line"))
+    # entries without a book are dealt by line, not into one task
+    claim = F.row_number().over(Window.partitionBy("book_id", F.when(F.col("book_id").isNull(), F.col("line"))).orderBy("line"))
     outcome = (
         F.when(F.col("isbn_id").isNotNull() & F.col("book_id").isNull(), "identity_conflict")
         .when(F.col("isbn_id").isNull() & (F.col("n") > 1), "ambiguous_work_match")

@@ -36,15 +36,25 @@ def broken_rules(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFr
 
 
 def duplicate_groups(rows: DataFrame, key: Column, member: str) -> DataFrame:
-    """(value, members): keys that more than one row has, with those rows in order."""
-    groups = rows.where(key.isNotNull()).groupBy(key.alias("value")).agg(F.array_sort(F.collect_list(member)).alias("members"))
-    return groups.where(F.size("members") > 1)
+    """(value, member, n): a row for each row whose key others have too, with how many they are.
+
+    Counts are combined before the shuffle and joined back, so that a common key is never one task's array.
+    """
+    keyed = rows.where(key.isNotNull()).select(key.alias("value"), F.col(member).alias("member"))
+    counts = keyed.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    return keyed.join(counts, "value")
+
+
+def language_digest(works: DataFrame, snapshot: str) -> DataFrame:
+    """One digest over a snapshot's name and each work (work_key, languages) with its languages in order, whatever the order of the rows."""
+    rows = works.select("work_key", F.array_sort(F.coalesce("languages", F.array().cast("array<string>"))).alias("languages"))
+    return fingerprint(rows, "work_key", ["work_key", "languages"]).select(F.sha2(F.concat_ws("\n", F.lit(snapshot), "fingerprint"), 256).alias("digest"))
 
 
 def fingerprint(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """One digest of all rows, whatever their order: digests of rows, sorted by key, digested in blocks of a key prefix."""
+    """One digest of all rows, whatever their order: digests of rows, sorted by key, digested in blocks by the first digits of the key's digest."""
     each = F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
-    blocks = rows.select(F.col(key).alias("key"), each.alias("digest")).groupBy(F.pmod(F.xxhash64("key"), F.lit(4096)).alias("block"))
+    blocks = rows.select(F.col(key).alias("key"), each.alias("digest")).groupBy(F.substring(F.sha2(F.col("key").cast("string"), 256), 1, 4).alias("block"))
     blocks = blocks.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("digest"))
     total = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"]), "\n")
     return blocks.agg(F.sha2(total, 256).alias("fingerprint"))

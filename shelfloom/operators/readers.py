@@ -312,6 +312,24 @@ def releases(books: DataFrame, as_of: str, limit: int) -> DataFrame:
     return a.unionByName(soon.orderBy("publication_date", "id").limit(limit).select(*columns("upcoming")))
 
 
+def latest_books(books: DataFrame, limit: int = 30) -> DataFrame:
+    """The books of the latest years, then by title and id; books without a year are none of them."""
+    return books.where("publication_year is not null").orderBy(F.desc("publication_year"), "title", "id").limit(limit)
+
+
+def verified_releases(books: DataFrame, sources: DataFrame, first: str, last: str) -> DataFrame:
+    """Books of a range of days whose date is the one that a source (book_id, provider, source_url, verified_publication_date) vouches for."""
+    s = sources.select(F.col("book_id").alias("id"), "provider", "source_url", F.col("verified_publication_date").alias("publication_date"))
+    dated = books.where(F.col("publication_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return dated.join(s, ["id", "publication_date"])
+
+
+def genre_sets_equal(a: Column, b: Column) -> Column:
+    """Whether two lists name the same genres, in whatever order and however often."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.coalesce(a, none))) == F.array_sort(F.array_distinct(F.coalesce(b, none)))
+
+
 def release_calendar(books: DataFrame, month: str) -> DataFrame:
     """The 42 days of a month's grid, each with its releases."""
     grid = books.sparkSession.range(1).select(F.explode(dates.month_grid(F.lit(month).cast("date"))).alias("day"))

@@ -111,7 +111,8 @@ def bridge(report: DataFrame, kept: DataFrame, editions: DataFrame, *, limit: in
     scored = cut(matching.score_editions(cut(shaped, "contenders")), "scored")
     best = matching.select_winner(scored, "work_key", [F.asc("isbn")])
     best = best.withColumn("identity", work_identity(F.col("source_title"), F.col("source_author")))
-    twice = F.count("*").over(Window.partitionBy("identity")) > 1
+    # works without an identity are dealt by key, not into one task
+    twice = F.count("*").over(Window.partitionBy("identity", F.when(F.col("identity").isNull(), F.col("work_key")))) > 1
     best = best.withColumn("status", F.when((F.col("status") == "selected") & F.col("identity").isNotNull() & twice, "duplicate_identity").otherwise(F.col("status")))
     cover = F.when(F.col("cover") > 0, F.col("cover")).otherwise(F.col("work_cover"))
     out = rows.join(best.select("work_key", "isbn", "score", "status", cover.alias("cover")), "work_key", "left")
@@ -187,7 +188,8 @@ def pilot_plan(sources: DataFrame, candidates: DataFrame) -> DataFrame:
     links = matching.candidate_lookup(sources, candidates)
     s = sources.select("key", F.col("isbn").alias("preferred_isbn"), F.col("title").alias("source_title"), F.col("author").alias("source_author"))
     pairs = links.select("key", "record").join(s, "key").join(candidates, "record").withColumns({"subtitle": F.lit(None).cast("string"), "has_description": F.lit(False)})
-    scored = matching.score_editions(pairs)
+    # cut, as in bridge: the plan of match and score is too deep to be optimized with the choice
+    scored = cut(matching.score_editions(cut(pairs, "pairs")), "scored")
     kind = ed.product_kind(F.col("format"), F.col("title"), F.lit(None).cast("string"))
     scored = scored.withColumn("reject_reason", F.coalesce(kind, "reject_reason"))
     live = scored.where("reject_reason is null").groupBy("key").agg(F.count_distinct("work_id").alias("works"))

@@ -298,7 +298,7 @@ def first_seen(t: Tables) -> DataFrame:
     "plan_import",
     """select place, work_key, isbn, case when reason is null then 'insert' else 'skip' end as action, reason from (select *, case when reason is null and sum((reason is null)::int) over (order by place rows unbounded preceding) > 300 then 'limit' else reason end as final from
         (select place, work_key, isbn, case when reason is null and row_number() over (partition by isbn, reason is null order by place) > 1 then 'duplicate_isbn' else reason end as reason from
-         (select r.*, case when status = 'existing' then 'existing' when trim(title) = '' then 'ineligible' when r.work_key in (select work_key from theirs) then 'duplicate_work_key' when r.isbn in (select isbn from theirs) then 'duplicate_isbn' end as reason from report r)))""".replace("reason is null then 'insert' else 'skip' end as action, reason from", "final is null then 'insert' else 'skip' end as action, final as reason from"),
+         (select r.*, case when status = 'existing' then 'existing' when trim(title) = '' then 'missing_title' when r.work_key in (select work_key from theirs) then 'duplicate_work_key' when r.isbn in (select isbn from theirs) then 'duplicate_isbn' end as reason from report r)))""".replace("reason is null then 'insert' else 'skip' end as action, reason from", "final is null then 'insert' else 'skip' end as action, final as reason from"),
     *HALVES,
     ("report", "select id as place, work_key, case when id % 13 = 0 then ' ' else title end as title, author, case when id % 6 = 0 then isbn when id % 5 = 0 then '9780000000002' else 'n' || isbn end as isbn, case when id % 11 = 0 then 'existing' else 'new' end as status from books"),
 )
@@ -452,15 +452,9 @@ def repair_plan(t: Tables) -> DataFrame:
     return manifest.select("id", "old_isbn").join(out, "old_isbn").select("id", "action")
 
 
-@query("candidate_lookup", "select a.id as key, b.id as record, a.isbn = b.isbn as exact_isbn from books a join books b on lower(a.title) = lower(b.title) and lower(a.author) = lower(b.author) where a.id % 10 = 0")
+@query("candidate_lookup", "select a.id as key, b.id as record, a.isbn = b.isbn as exact_isbn from books a join books b on lower(a.title) = lower(b.title) and lower(a.author) = lower(b.author)")
 def candidate_lookup(t: Tables) -> DataFrame:
-    sources = t.books.where("id % 10 = 0").select(F.col("id").alias("key"), "isbn", "title", "author")
-    return matching.candidate_lookup(sources, t.books.select(F.col("id").alias("record"), "isbn", "title", "author"))
-
-
-@query("candidate_lookup_all", "select a.id as key, b.id as record, a.isbn = b.isbn as exact_isbn from books a join books b on lower(a.title) = lower(b.title) and lower(a.author) = lower(b.author)")
-def candidate_lookup_all(t: Tables) -> DataFrame:
-    """The same over all books as sources."""
+    """Every book as a source."""
     return matching.candidate_lookup(t.books.select(F.col("id").alias("key"), "isbn", "title", "author"), t.books.select(F.col("id").alias("record"), "isbn", "title", "author"))
 
 

@@ -73,7 +73,22 @@ def like_state(t: Tables) -> DataFrame:
     return cmd.like_state(log, t.reviews)
 
 
-@query("request_state")
+@query(
+    "request_state",
+    """select a, b, arg_max(state, n) as state, nullif(arg_max(coalesce(asker, -1), n), -1) as requested_by from walk group by a, b""",
+    (
+        "steps",
+        """select least(actor, target) as a, greatest(actor, target) as b, actor, action, row_number() over (partition by least(actor, target), greatest(actor, target) order by ts, command_id) as n from
+           (select ts, event_id as command_id, user_id as actor, user_id + 1 + event_id % 2 as target, case when event_type in ('view', 'click') then 'request' when event_type = 'error' then 'remove' else 'accept' end as action from events)""",
+    ),
+    (
+        "walk",
+        """with recursive w as (select distinct a, b, 0::bigint as n, 'none' as state, null::bigint as asker from steps
+           union all select s.a, s.b, s.n, case when action = 'request' and state = 'none' then 'pending' when action = 'accept' and state = 'pending' and actor <> asker then 'accepted' when action = 'remove' and state <> 'none' then 'none' else state end,
+                  case when action = 'request' and state = 'none' then actor when action = 'remove' and state <> 'none' then null else asker end
+           from w join steps s on s.a = w.a and s.b = w.b and s.n = w.n + 1) select * from w""",
+    ),
+)
 def request_state(t: Tables) -> DataFrame:
     e = t.raw("events")
     action = F.when(F.col("event_type").isin("view", "click"), "request").when(F.col("event_type") == "error", "remove").otherwise("accept")
@@ -82,13 +97,21 @@ def request_state(t: Tables) -> DataFrame:
 
 @query(
     "corrected_finishes",
-    """select user_id, book_id, case when n = 1 and new_day is not null then new_day else finished_on end as finished_on, false as historical from
-       (select a.*, c.new_day, row_number() over (partition by a.user_id, a.book_id order by created_at desc, a.id desc) as n from activities a left join corrections c on c.user_id = a.user_id and c.book_id = a.book_id where type = 'finished_reading')
-       union all select user_id, book_id, new_day, true from corrections c where not exists (select 1 from activities a where type = 'finished_reading' and a.user_id = c.user_id and a.book_id = c.book_id)""",
-    ("corrections", "select user_id, event_id % 20 as book_id, arg_max(cast(ts as date), ts) as new_day from events where event_type = 'error' group by 1, 2"),
+    """select a.user_id, a.book_id, coalesce(c.new_day, a.finished_on) as finished_on, false as historical from finishes a left join corrected c on c.user_id = a.user_id and c.book_id = a.book_id and c.target = a.id
+       union all select user_id, book_id, new_day, true from corrected where target is null""",
+    ("finishes", "select * from activities where type = 'finished_reading'"),
+    ("fixes", "select event_id as command_id, user_id, event_id % 20 as book_id, cast(ts as date) as day, case when event_id % 2 = 0 then ts else ts - interval 26 year end as moment from events where event_type = 'error'"),
+    (
+        "aimed",
+        """select f.command_id, f.user_id, f.book_id, f.day, f.moment, arg_max(a.id, (a.created_at, a.id)) filter (a.id is not null) as target from fixes f
+           left join finishes a on a.user_id = f.user_id and a.book_id = f.book_id and a.created_at <= f.moment group by all""",
+    ),
+    ("corrected", "select user_id, book_id, target, arg_max(day, (moment, command_id)) as new_day from aimed group by all"),
 )
 def corrected_finishes(t: Tables) -> DataFrame:
-    fixes = t.raw("events").where("event_type = 'error'").select("user_id", (F.col("event_id") % 20).alias("book_id"), "ts", F.to_date("ts").alias("finished_on"))
+    """Half of the corrections are moved among the finishes, so that some come before a finish and some after."""
+    at = F.when(F.col("event_id") % 2 == 0, F.col("ts")).otherwise(F.col("ts") - F.expr("interval 26 year"))
+    fixes = t.raw("events").where("event_type = 'error'").select(F.col("event_id").alias("command_id"), "user_id", (F.col("event_id") % 20).alias("book_id"), F.to_date("ts").alias("finished_on"), at.cast("timestamp").alias("ts"))
     return cmd.corrected_finishes(t.activities.where("type = 'finished_reading'"), fixes)
 
 

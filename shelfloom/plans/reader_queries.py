@@ -286,10 +286,9 @@ def constraint_report(t: Tables) -> DataFrame:
     return quality.broken_rules(t.user_books, [("rating_range", ~F.col("user_rating").between(1, 5))]).union(books)
 
 
-@query("duplicate_works", "select lower(title) || '|' || lower(author) as value, array_to_string(list_sort(list(id)), ',') as members from books group by 1 having count(*) > 1")
+@query("duplicate_works", "select * from (select lower(title) || '|' || lower(author) as value, id as member, count(*) over (partition by lower(title) || '|' || lower(author)) as n from books) where n > 1")
 def duplicate_works(t: Tables) -> DataFrame:
-    found = quality.duplicate_groups(t.books, F.concat(F.lower("title"), F.lit("|"), F.lower("author")), "id")
-    return found.select("value", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    return quality.duplicate_groups(t.books, F.concat(F.lower("title"), F.lit("|"), F.lower("author")), "id")
 
 
 @query("sorted_extract", "select id, title, author, isbn from books")
@@ -297,6 +296,10 @@ def sorted_extract(t: Tables) -> DataFrame:
     return t.books.select("id", "title", "author", "isbn").orderBy("isbn", "title", "author", "id")
 
 
-@query("users_fingerprint")
+FINGERPRINT = """select sha256(string_agg(digest, chr(10) order by block)) as fingerprint from
+       (select substr(sha256(key::varchar), 1, 4) as block, sha256(string_agg(sha256(row), chr(10) order by key)) as digest from rows group by 1)"""
+
+
+@query("users_fingerprint", FINGERPRINT, ("rows", """select id as key, '{"bio":"' || bio || '","id":' || id || ',"username":"' || username || '"}' as row from users"""))
 def users_fingerprint(t: Tables) -> DataFrame:
     return quality.fingerprint(t.users, "id", ["id", "username", "bio"])

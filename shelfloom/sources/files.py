@@ -82,17 +82,36 @@ def write_index(rows: DataFrame, path: str, key: str, parts: int = 64) -> None:
 
 
 def publish(rows: DataFrame, path: str, expected: int | None = None) -> int:
-    """Write a new version beside the old one, read it back, and only then replace the old one."""
-    spark, draft = rows.sparkSession, f"{path}.next"
-    rows.write.mode("overwrite").parquet(draft)
-    written = spark.read.schema(rows.schema).parquet(draft)
-    n = written.count()
+    """Write a new version beside the others, read it back, and only then name it the current one.
+
+    A version is current once its line is in the folder of current versions, which is written as one
+    commit: a job that dies before leaves the version before it in place.
+    """
+    spark, version = rows.sparkSession, uuid.uuid4().hex
+    rows.write.parquet(f"{path}/versions/{version}")
+    n = spark.read.schema(rows.schema).parquet(f"{path}/versions/{version}").count()
     if expected is not None and n != expected:
-        raise ValueError(f"{n} rows were written to {draft}, not {expected}; {path} stays as it was")
-    written.write.mode("overwrite").parquet(path)
+        raise ValueError(f"{n} rows were written to {path}/versions/{version}, not {expected}; the version before stays current")
+    line = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published_at"), F.lit(n).alias("n"))
+    line.coalesce(1).write.mode("append").parquet(f"{path}/current")
     return n
 
 
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of what publish() wrote."""
+    last = spark.read.parquet(f"{path}/current").agg(F.max_by("version", F.struct("published_at", "version"))).first()[0]
+    return spark.read.parquet(f"{path}/versions/{last}")
+
+
+def write_report(rows: DataFrame, path: str) -> int:
+    """Rows as JSON lines, read back and compared; how many. Nulls are written, so that every line has every field."""
+    rows.write.option("ignoreNullFields", False).json(path)
+    wrong = differences(rows, rows.sparkSession.read.schema(rows.schema).json(path)).count()
+    if wrong:
+        raise ValueError(f"{wrong} rows of {path} are not as they were written")
+    return rows.sparkSession.read.text(path).count()
+
+
 def differences(plan: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of the plan that are missing and rows that it doesn't have; empty after a complete run."""
     missing = plan.exceptAll(found.select(plan.columns)).withColumn("side", F.lit("missing"))

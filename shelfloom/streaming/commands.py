@@ -45,15 +45,21 @@ def shelf_state(commands: DataFrame) -> DataFrame:
 
 
 def corrected_finishes(finishes: DataFrame, corrections: DataFrame) -> DataFrame:
-    """finishes (id, user_id, book_id, finished_on, created_at) after corrections (user_id, book_id, ts, finished_on).
+    """finishes (id, user_id, book_id, finished_on, created_at) after corrections (command_id, user_id, book_id, ts, finished_on).
 
-    The last correction rewrites the latest finish before it, or adds a historical one where there is none.
+    A correction rewrites the latest finish before it, by created_at and id, or where there is none a
+    historical one, which the first such correction adds. Of corrections of one finish the last holds, by
+    ts and command_id.
     """
-    latest = corrections.groupBy("user_id", "book_id").agg(F.max_by("finished_on", "ts").alias("new_day"), F.max("ts").alias("at"))
-    newest = F.row_number().over(Window.partitionBy("user_id", "book_id").orderBy(F.desc("created_at"), F.desc("id")))
-    rows = finishes.withColumn("n", newest).join(latest, ["user_id", "book_id"], "left")
-    kept = rows.select("user_id", "book_id", F.when((F.col("n") == 1) & F.col("new_day").isNotNull(), F.col("new_day")).otherwise(F.col("finished_on")).alias("finished_on"), F.lit(False).alias("historical"))
-    added = latest.join(finishes, ["user_id", "book_id"], "left_anti").select("user_id", "book_id", F.col("new_day").alias("finished_on"), F.lit(True).alias("historical"))
+    key = ["user_id", "book_id"]
+    facts = finishes.select(*key, "id", F.lit(None).cast("date").alias("day"), F.col("created_at").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("command_id"))
+    fixes = corrections.select(*key, F.lit(None).cast("string").alias("id"), F.col("finished_on").alias("day"), F.col("ts").alias("at"), F.lit(1).alias("kind"), F.col("command_id").cast("bigint").alias("command_id"))
+    upto = Window.partitionBy(*key).orderBy("at", "kind", "id", "command_id").rowsBetween(Window.unboundedPreceding, 0)
+    aimed = facts.unionByName(fixes).withColumn("target", F.last("id", ignorenulls=True).over(upto)).where("kind = 1")
+    last = aimed.groupBy(*key, "target").agg(F.max_by("day", F.struct("at", "command_id")).alias("new_day"))
+    own = last.select(*key, F.col("target").alias("id"), "new_day")
+    kept = finishes.join(own, [*key, "id"], "left").select(*key, F.coalesce("new_day", "finished_on").alias("finished_on"), F.lit(False).alias("historical"))
+    added = last.where("target is null").select(*key, F.col("new_day").alias("finished_on"), F.lit(True).alias("historical"))
     return kept.unionByName(added)
 
 
@@ -129,17 +135,19 @@ def live_feed(activities: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def upsert_batches(stream: DataFrame, path: str, checkpoint: str, key: str | list[str]):
-    """Write every batch's rows over those of the same key in a table of numbered versions; returns the running query."""
+    """Write every batch's rows over those of the same key in a table of numbered versions; returns the running query.
+
+    A batch starts from the last version before it, so that a batch that is run again gives the same
+    version; if there is none although there were batches before, it fails rather than begin anew.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            before = spark.read.parquet(f"{path}/version={number - 1}") if number else None
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            before = None
-        rows = batch if before is None else before.join(batch, key, "left_anti").unionByName(batch)
+        spark, rows = batch.sparkSession, batch
+        if number:
+            last = spark.read.parquet(path).where(F.col("version") < number).agg(F.max("version")).first()[0]
+            if last is None:
+                raise ValueError(f"{path} has no version before batch {number}")
+            rows = spark.read.parquet(f"{path}/version={last}").join(batch, key, "left_anti").unionByName(batch)
         rows.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
