@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import datetime
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,8 +58,58 @@ def test_publish_keeps_the_old_version_if_counts_differ(spark, tmp_path):
     files.publish(spark.range(3), path, 3)
     with pytest.raises(ValueError, match="stays"):
         files.publish(spark.range(5), path, 4)
-    assert spark.read.parquet(path).count() == 3
-    assert files.differences(spark.range(3), spark.read.parquet(path)).isEmpty()
+    assert files.differences(spark.range(3), files.published(spark, path)).isEmpty()
+    files.publish(spark.range(7), path, 7)
+    assert files.published(spark, path).count() == 7
+    # a job that dies before the last commit leaves the version before it
+    spark.range(9).write.parquet(f"{path}/versions/half")
+    assert files.published(spark, path).count() == 7
+
+
+def test_corrections_rewrite_the_latest_finish_before_them(spark):
+    day = lambda n: datetime.date(2024, 1, n)
+    at = lambda n: datetime.datetime(2024, 2, n)
+    finishes = [("a", 1, 1, day(1), at(5)), ("b", 1, 1, day(2), at(10)), ("c", 1, 2, day(3), at(5)), ("d", 1, 3, day(4), at(20))]
+    fixes = [
+        (1, 1, 1, at(7), day(11)), (2, 1, 1, at(8), day(12)),  # both of a: the later holds
+        (3, 1, 1, at(12), day(13)),  # of b
+        (4, 1, 2, at(6), day(14)), (5, 1, 2, at(6), day(15)),  # at one time: the later command holds
+        (6, 1, 3, at(1), day(16)), (7, 1, 3, at(2), day(17)),  # before any finish: one historical row, rewritten
+        (8, 2, 9, at(1), day(18)),
+    ]
+    df = spark.createDataFrame(finishes, "id string, user_id long, book_id long, finished_on date, created_at timestamp")
+    log = spark.createDataFrame(fixes, "command_id long, user_id long, book_id long, ts timestamp, finished_on date")
+    got = sorted((r["user_id"], r["book_id"], r["finished_on"].day, r["historical"]) for r in cmd.corrected_finishes(df, log).collect())
+    assert got == [(1, 1, 12, False), (1, 1, 13, False), (1, 2, 15, False), (1, 3, 4, False), (1, 3, 17, True), (2, 9, 18, True)]
+
+
+def test_a_lost_version_stops_the_upserts(spark, tmp_path):
+    source, table, state = (str(tmp_path / n) for n in ("in", "table", "state"))
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v long").coalesce(1)
+    run = lambda: cmd.upsert_batches(spark.readStream.schema("k long, v long").parquet(source), table, state, "k")
+    # an update-mode aggregate is what such a table takes; a plain stream gives its new rows
+    rows((1, 1), (2, 2)).write.parquet(source)
+    run().awaitTermination()
+    rows((2, 5), (3, 3)).write.mode("append").parquet(source)
+    run().awaitTermination()
+    found = spark.read.parquet(f"{table}/version=1")
+    assert {(r["k"], r["v"]) for r in found.collect()} == {(1, 1), (2, 5), (3, 3)}
+    shutil.rmtree(table)
+    rows((4, 4)).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="version|PATH_NOT_FOUND"):
+        run().awaitTermination()
+
+
+def test_editions_inherit_from_a_work_that_matches(spark):
+    schema = "source_title string, source_author string, preferred_isbn string, isbn string, title string, subtitle string, author string, format string, languages array<string>, has_cover boolean, has_description boolean, year int, work_matches boolean"
+    base = ("A Tale", "Ann Lee", None, "9780306406157")
+    rows = [
+        (*base, None, None, "Ann Lee", None, ["en"], False, False, None, True), (*base, "A Tale", None, None, None, ["en"], False, False, None, True), (*base, None, None, "Ann Lee", None, ["en"], False, False, None, False),
+        (*base, "A Tale", None, " ", None, ["en"], False, False, None, None), (*base, "Else", None, None, None, ["en"], False, False, None, True), (*base, "A Tale", None, "Bob Ray", None, ["en"], False, False, None, True),
+    ]
+    got = [(r["reject_reason"], r["score"], r["reasons"]) for r in matching.score_editions(spark.createDataFrame(rows, schema)).collect()]
+    assert got[0] == (None, 55, "title_inherited_work,author_exact,english") and got[1] == (None, 60, "title_exact,author_inherited,english")
+    assert [g[0] for g in got[2:]] == ["title_mismatch", "missing_author_evidence", "title_mismatch", "author_mismatch"]
 
 
 def test_fingerprint_ignores_order(spark):
