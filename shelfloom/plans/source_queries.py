@@ -13,14 +13,16 @@ from .reader_queries import FINGERPRINT
 from .registry import query
 from .views import Tables
 
-I = F.col("id")  # noqa: E741
+def nth() -> Column:
+    """The number of a book."""
+    return F.col("id")
 
 
 def by_rest(n: int, cases: dict[int, object], otherwise: object) -> Column:
     """A value by id % n."""
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for rest, value in cases.items():
-        out = out.when(I % n == rest, value)
+        out = out.when(nth() % n == rest, value)
     return out.otherwise(otherwise)
 
 
@@ -44,8 +46,8 @@ def errors_sql(rules: list[tuple[str, str]], rows: str) -> str:
 def csv_catalog_errors(t: Tables) -> DataFrame:
     """Books written as CSV with faults, with hyphens in good ISBNs, and read back."""
     path = files.scratch_dir(t.spark, "csv")
-    code = F.when(I % 11 == 3, "").when(I % 3 == 0, F.concat(F.left("isbn", F.lit(11)), F.lit("xx"))).otherwise(F.concat(F.left("isbn", F.lit(3)), F.lit("-"), F.substring("isbn", 4, 20)))
-    rows = t.books.select(F.when(I % 7 == 1, " ").otherwise(F.concat("title", F.lit(', "x"'))).alias("title"), F.when(I % 5 != 2, F.col("author")).alias("author"), code.alias("isbn"))
+    code = F.when(nth() % 11 == 3, "").when(nth() % 3 == 0, F.concat(F.left("isbn", F.lit(11)), F.lit("xx"))).otherwise(F.concat(F.left("isbn", F.lit(3)), F.lit("-"), F.substring("isbn", 4, 20)))
+    rows = t.books.select(F.when(nth() % 7 == 1, " ").otherwise(F.concat("title", F.lit(', "x"'))).alias("title"), F.when(nth() % 5 != 2, F.col("author")).alias("author"), code.alias("isbn"))
     rows.write.option("header", True).option("escape", '"').csv(path)
     return counts(files.catalog_errors(files.read_csv(t.spark, path, ["title", "author", "isbn"])))
 
@@ -56,8 +58,8 @@ def csv_catalog_errors(t: Tables) -> DataFrame:
 )
 def csv_date_errors(t: Tables) -> DataFrame:
     path = files.scratch_dir(t.spark, "csv")
-    day = F.when(I % 5 == 0, "2025-02-30").otherwise(F.col("publication_date").cast("string"))
-    rows = t.books.select(F.when(I % 3 == 0, "978").otherwise(F.col("isbn")).alias("isbn"), day.alias("publicationDate"), F.when(I % 7 == 0, "http://x.org/a").otherwise(F.concat(F.lit("https://x.org/"), "isbn")).alias("sourceUrl"))
+    day = F.when(nth() % 5 == 0, "2025-02-30").otherwise(F.col("publication_date").cast("string"))
+    rows = t.books.select(F.when(nth() % 3 == 0, "978").otherwise(F.col("isbn")).alias("isbn"), day.alias("publicationDate"), F.when(nth() % 7 == 0, "http://x.org/a").otherwise(F.concat(F.lit("https://x.org/"), "isbn")).alias("sourceUrl"))
     rows.write.option("header", True).csv(path)
     return counts(files.publication_date_errors(files.read_csv(t.spark, path, ["isbn", "publicationDate", "sourceUrl"])))
 
@@ -74,10 +76,10 @@ RELEASE = ["title", "author", "isbn", "publicationDate", "coverImageUrl", "genre
 )
 def csv_release_errors(t: Tables) -> DataFrame:
     path = files.scratch_dir(t.spark, "csv")
-    day = F.when(I % 5 == 0, "soon").when(I % 3 == 0, "2024-12-31").otherwise("2026-05-01")
+    day = F.when(nth() % 5 == 0, "soon").when(nth() % 3 == 0, "2024-12-31").otherwise("2026-05-01")
     rows = t.books.select(
-        F.when(I % 13 != 0, F.col("title")).alias("title"), "author", "isbn", day.alias("publicationDate"), F.when(I % 7 == 0, "cover.png").otherwise("https://x.org/c.png").alias("coverImageUrl"),
-        F.when(I % 11 == 0, "a;b;c;d").when(I % 11 == 1, "a; a").otherwise("a;b").alias("genres"), F.lit("https://x.org/").alias("sourceUrl"),
+        F.when(nth() % 13 != 0, F.col("title")).alias("title"), "author", "isbn", day.alias("publicationDate"), F.when(nth() % 7 == 0, "cover.png").otherwise("https://x.org/c.png").alias("coverImageUrl"),
+        F.when(nth() % 11 == 0, "a;b;c;d").when(nth() % 11 == 1, "a; a").otherwise("a;b").alias("genres"), F.lit("https://x.org/").alias("sourceUrl"),
     )
     rows.write.option("header", True).csv(path)
     return counts(files.release_errors(files.read_csv(t.spark, path, RELEASE)))
@@ -97,7 +99,7 @@ def ndjson_strict(t: Tables) -> DataFrame:
 def ndjson_permissive(t: Tables) -> DataFrame:
     """Every ninth line is broken; it comes back as an error row."""
     path = files.scratch_dir(t.spark, "ndjson")
-    t.books.select(F.when(I % 9 == 0, F.concat(F.lit('{"id": '), I.cast("string"), F.lit(", broken"))).otherwise(F.to_json(F.struct("id", "title"))).alias("value")).write.text(path)
+    t.books.select(F.when(nth() % 9 == 0, F.concat(F.lit('{"id": '), nth().cast("string"), F.lit(", broken"))).otherwise(F.to_json(F.struct("id", "title"))).alias("value")).write.text(path)
     return files.read_ndjson(t.spark, path, NDJSON, strict=False).select("id", F.col("_corrupt").alias("bad"))
 
 
@@ -113,7 +115,7 @@ def artifact_rows(t: Tables) -> DataFrame:
 @query("exclusion_keys", "select distinct case when id % 10 = 0 then 'OL' || id else work_key end as work_key, case when id % 10 = 0 then 'invalid_key' end as reject_reason from books")
 def exclusion_keys(t: Tables) -> DataFrame:
     path = files.scratch_dir(t.spark, "keys")
-    line = F.when(I % 10 == 0, F.concat(F.lit("OL"), I.cast("string"))).when(I % 7 == 0, F.concat(F.lit("﻿"), "work_key", F.lit(" "))).otherwise(F.col("work_key"))
+    line = F.when(nth() % 10 == 0, F.concat(F.lit("OL"), nth().cast("string"))).when(nth() % 7 == 0, F.concat(F.lit("﻿"), "work_key", F.lit(" "))).otherwise(F.col("work_key"))
     t.books.select(F.explode(F.array(line, F.lit(""), line)).alias("value")).write.text(path)
     return dumps.exclusion_keys(dumps.read_lines(t.spark, path))
 
@@ -122,7 +124,7 @@ def exclusion_keys(t: Tables) -> DataFrame:
 def line_numbers(t: Tables) -> DataFrame:
     """Lines of one sorted file: each has a number of its own, and numbers rise as the lines do."""
     path = files.scratch_dir(t.spark, "lines")
-    t.books.select("id", F.lpad(I.cast("string"), 12, "0").alias("value")).orderBy("id").select("value").write.text(path)
+    t.books.select("id", F.lpad(nth().cast("string"), 12, "0").alias("value")).orderBy("id").select("value").write.text(path)
     lines = dumps.read_lines(t.spark, path).withColumn("file", F.col("_metadata.file_name"))
     before = F.lag("value").over(Window.partitionBy("file").orderBy("line_no"))
     return lines.withColumn("wrong", before > F.col("value")).agg(F.count("*").alias("lines"), F.count_distinct("line_no").alias("numbers"), F.count_if("wrong").cast("int").alias("out_of_order"))
@@ -155,21 +157,21 @@ def published_books(t: Tables) -> DataFrame:
 def report_lines(t: Tables) -> DataFrame:
     """A report as JSON lines that is read back and compared."""
     path = files.scratch_dir(t.spark, "report")
-    n = files.write_report(t.books.select("id", "title", F.when(I % 5 != 0, F.col("isbn")).alias("isbn")), path)
+    n = files.write_report(t.books.select("id", "title", F.when(nth() % 5 != 0, F.col("isbn")).alias("isbn")), path)
     return t.spark.read.text(path).agg(F.count("*").alias("lines")).withColumn("n", F.lit(n).cast("bigint"))
 
 
 @query("apply_differences", "select id, case when id % 8 = 0 then 'missing' else 'unexpected' end as side from books where id % 8 = 0 or id % 9 = 0 and id % 8 <> 0 union all select -id, 'missing' from books where id % 9 = 0 and id % 8 <> 0")
 def apply_differences(t: Tables) -> DataFrame:
     """A plan against what is found after it: every eighth row is missing, every ninth came out under its own id instead of the negative one."""
-    plan = t.books.select(F.when((I % 9 == 0) & (I % 8 != 0), -I).otherwise(I).alias("id"))
+    plan = t.books.select(F.when((nth() % 9 == 0) & (nth() % 8 != 0), -nth()).otherwise(nth()).alias("id"))
     return files.differences(plan, t.books.where("id % 8 <> 0").select("id"))
 
 
 @query("canonical_isbns", "select isbn from books where id % 4 <> 0")
 def canonical_isbns(t: Tables) -> DataFrame:
     """The set of valid ISBNs of a file, hyphens or not."""
-    given = t.books.select(F.when(I % 4 == 0, F.left("isbn", F.lit(12))).otherwise(F.concat(F.left("isbn", F.lit(3)), F.lit("-"), F.substring("isbn", 4, 20))).alias("isbn"))
+    given = t.books.select(F.when(nth() % 4 == 0, F.left("isbn", F.lit(12))).otherwise(F.concat(F.left("isbn", F.lit(3)), F.lit("-"), F.substring("isbn", 4, 20))).alias("isbn"))
     return given.union(given).select(isbn.isbn13(F.col("isbn")).alias("isbn")).where("isbn is not null").distinct()
 
 
@@ -182,8 +184,8 @@ def canonical_isbns(t: Tables) -> DataFrame:
 )
 def isbn_lists(t: Tables) -> DataFrame:
     """A repeated and a broken number, a ten-digit one, and none that is valid."""
-    thirteen = F.when(I % 3 == 0, F.array("isbn", "isbn", F.lit("9780306406158"))).when(I % 3 == 1, F.array("isbn")).otherwise(F.array(F.lit("x")))
-    ten = F.when(I % 3 == 1, F.array(F.lit("0-306-40615-2"))).otherwise(F.array().cast("array<string>"))
+    thirteen = F.when(nth() % 3 == 0, F.array("isbn", "isbn", F.lit("9780306406158"))).when(nth() % 3 == 1, F.array("isbn")).otherwise(F.array(F.lit("x")))
+    ten = F.when(nth() % 3 == 1, F.array(F.lit("0-306-40615-2"))).otherwise(F.array().cast("array<string>"))
     return t.books.select("id", F.array_join(isbn.valid_isbns(thirteen, ten), ",").alias("isbns"), isbn.invalid_isbns(thirteen, ten).alias("invalid"))
 
 
@@ -193,9 +195,9 @@ WORK_PAYLOAD = """{"title":"%s","authors":[{"author":{"key":"/authors/OL%sA"}},{
 @query("unique_lists", "select id, '/authors/OL' || id || 'A' as authors, 'b,a' as subjects, (id + 5)::varchar as covers from books")
 def unique_lists(t: Tables) -> DataFrame:
     """Keys, texts and cover ids of a dump's works: each once, in the order of their first place."""
-    number = I.cast("string")
-    payload = F.format_string(WORK_PAYLOAD, F.col("title"), number, number, (I + 5).cast("string"), (I + 5).cast("string"))
-    lines = t.books.select(I.alias("line_no"), F.concat_ws("\t", F.lit("/type/work"), "work_key", F.lit("1"), F.lit("2020"), payload).alias("value"))
+    number = nth().cast("string")
+    payload = F.format_string(WORK_PAYLOAD, F.col("title"), number, number, (nth() + 5).cast("string"), (nth() + 5).cast("string"))
+    lines = t.books.select(nth().alias("line_no"), F.concat_ws("\t", F.lit("/type/work"), "work_key", F.lit("1"), F.lit("2020"), payload).alias("value"))
     rows = dumps.work_rows(dumps.dump_rows(lines)).where("reject_reason is null")
     return rows.select(F.col("line_no").alias("id"), F.array_join("author_keys", ",").alias("authors"), F.array_join("subjects", ",").alias("subjects"), F.array_join(F.transform("cover_ids", lambda x: x.cast("string")), ",").alias("covers"))
 
@@ -208,14 +210,14 @@ def cover_urls(t: Tables) -> DataFrame:
 @query("single_years", "select id, case id % 4 when 0 then publication_year when 1 then null when 2 then publication_year else null end as year from books")
 def single_years(t: Tables) -> DataFrame:
     year = F.col("publication_year").cast("string")
-    text = F.when(I % 4 == 0, F.concat(F.lit("c. "), year)).when(I % 4 == 1, F.concat(F.lit("1950, again "), year)).when(I % 4 == 2, F.concat_ws(" / ", year, year)).otherwise("1499")
+    text = F.when(nth() % 4 == 0, F.concat(F.lit("c. "), year)).when(nth() % 4 == 1, F.concat(F.lit("1950, again "), year)).when(nth() % 4 == 2, F.concat_ws(" / ", year, year)).otherwise("1499")
     return t.books.select("id", dates.single_year(text, 2030).alias("year"))
 
 
 @query("years_agree", "select id, case id % 3 when 0 then false else true end as agrees from books")
 def years_agree(t: Tables) -> DataFrame:
     year = F.year("publication_date")
-    return t.books.select("id", dates.year_agrees(F.col("publication_date"), F.when(I % 3 == 0, year - 1).when(I % 3 == 1, year)).alias("agrees"))
+    return t.books.select("id", dates.year_agrees(F.col("publication_date"), F.when(nth() % 3 == 0, year - 1).when(nth() % 3 == 1, year)).alias("agrees"))
 
 
 @query("subject_labels", "select id, case id % 4 when 0 then 'Fantasy,History' when 1 then 'Mystery,Romance' when 2 then 'Poetry' else '' end as genres from books")
@@ -223,7 +225,7 @@ def subject_labels(t: Tables) -> DataFrame:
     lists = {0: ("World History", " FANTASY fiction "), 1: ("love stories", "mystery fiction", "cookery"), 2: ("poetry", "Poetry")}
     subjects = F.when(F.lit(False), F.array(F.lit("")))
     for rest, names in lists.items():
-        subjects = subjects.when(I % 4 == rest, F.array(*map(F.lit, names)))
+        subjects = subjects.when(nth() % 4 == rest, F.array(*map(F.lit, names)))
     return t.books.select("id", F.array_join(editions.subject_genres(subjects.otherwise(F.array(F.lit("cookery")))), ",").alias("genres"))
 
 
@@ -238,7 +240,7 @@ def category_labels(t: Tables) -> DataFrame:
     """Genres of a publisher's categories, each given by description, address and menu entry."""
     kind = T.StructType.fromDDL("k int, description string, uri string, menu string")
     texts = t.spark.createDataFrame([(k, *c) for k, c in enumerate(CATEGORIES)], kind)
-    rows = t.books.select("id", (I % 7).cast("int").alias("k")).join(F.broadcast(texts), "k")
+    rows = t.books.select("id", (nth() % 7).cast("int").alias("k")).join(F.broadcast(texts), "k")
     text = editions.category_text(F.replace("description", F.lit("-"), F.lit(" ")), F.replace("uri", F.lit("-"), F.lit(" ")), F.col("menu"))
     return rows.select("id", F.array_join(editions.category_genres(F.array(text)), ",").alias("genres"))
 
@@ -248,12 +250,12 @@ VOLUME_SQL = """select case when id % 13 <> 0 then 'v' || id end as record_id, c
 
 
 def volumes(t: Tables) -> DataFrame:
-    links = F.when(I % 3 == 0, F.create_map(F.lit("small"), F.lit("http://books.google.com/small"), F.lit("large"), F.lit("http://books.google.com/big"))).when(
-        I % 3 == 1, F.create_map(F.lit("large"), F.lit("https://evil.example/x"), F.lit("medium"), F.lit("https://books.google.com/no-cover.png"), F.lit("small"), F.lit("http://books.google.com/small"))
+    links = F.when(nth() % 3 == 0, F.create_map(F.lit("small"), F.lit("http://books.google.com/small"), F.lit("large"), F.lit("http://books.google.com/big"))).when(
+        nth() % 3 == 1, F.create_map(F.lit("large"), F.lit("https://evil.example/x"), F.lit("medium"), F.lit("https://books.google.com/no-cover.png"), F.lit("small"), F.lit("http://books.google.com/small"))
     )
     ids = F.array(F.struct(F.lit("ISBN_13").alias("type"), F.col("isbn").alias("identifier")), F.struct(F.lit("ISBN_10").alias("type"), F.lit("x").alias("identifier")))
-    info = F.struct(F.when(I % 11 != 0, F.col("title")).alias("title"), F.array("author", "author").alias("authors"), F.lit("en").alias("language"), F.concat(F.col("publication_year").cast("string"), F.lit("-05")).alias("publishedDate"), ids.alias("industryIdentifiers"), links.alias("imageLinks"))
-    payload = F.to_json(F.struct(F.when(I % 13 != 0, F.concat(F.lit("v"), I.cast("string"))).alias("id"), info.alias("volumeInfo")))
+    info = F.struct(F.when(nth() % 11 != 0, F.col("title")).alias("title"), F.array("author", "author").alias("authors"), F.lit("en").alias("language"), F.concat(F.col("publication_year").cast("string"), F.lit("-05")).alias("publishedDate"), ids.alias("industryIdentifiers"), links.alias("imageLinks"))
+    payload = F.to_json(F.struct(F.when(nth() % 13 != 0, F.concat(F.lit("v"), nth().cast("string"))).alias("id"), info.alias("volumeInfo")))
     return providers.volume_rows(t.books.select(F.parse_json(payload).alias("payload")), 2030)
 
 
@@ -382,7 +384,7 @@ REPORT_SQL = """select place, work_key, isbn, case when final is null then 'inse
 def import_plan(t: Tables) -> DataFrame:
     title = by_rest(16, {2: F.lit(" "), 4: F.lit("книга")}, F.col("title"))
     report = t.books.select(
-        I.alias("place"), "work_key", title.alias("title"), F.when(I % 16 != 3, F.col("author")).alias("author"), "isbn", F.when(I % 10 == 0, "existing").when(I % 10 == 1, "ambiguous").otherwise("new").alias("status"),
+        nth().alias("place"), "work_key", title.alias("title"), F.when(nth() % 16 != 3, F.col("author")).alias("author"), "isbn", F.when(nth() % 10 == 0, "existing").when(nth() % 10 == 1, "ambiguous").otherwise("new").alias("status"),
         by_rest(27, {k: F.lit(name) for k, (name, _) in KINDS.items()}, "Paperback").alias("format"),
     )
     return catalog.plan_import(report, known_books(t), 300)
@@ -391,8 +393,8 @@ def import_plan(t: Tables) -> DataFrame:
 def known_books(t: Tables) -> DataFrame:
     """Some of the report's works, and some of its ISBNs under other works."""
     some = t.books.where("id % 25 in (3, 8)")
-    key = F.when(I % 25 == 3, F.col("work_key")).otherwise("else")
-    return some.select(key.alias("work_key"), F.when(I % 25 == 8, F.col("isbn")).otherwise(F.concat(F.lit("other"), "isbn")).alias("isbn"), "title", "author")
+    key = F.when(nth() % 25 == 3, F.col("work_key")).otherwise("else")
+    return some.select(key.alias("work_key"), F.when(nth() % 25 == 8, F.col("isbn")).otherwise(F.concat(F.lit("other"), "isbn")).alias("isbn"), "title", "author")
 
 
 @query("import_plan_reasons", REPORT_SQL)
@@ -461,7 +463,7 @@ def mapping_errors(t: Tables) -> DataFrame:
     """An ISBN-to-genres file against taxonomy and catalogue, both ways."""
     names = t.book_genres.select(F.col("genre").alias("slug")).distinct()
     word = F.lower(F.split_part("title", F.lit(" "), F.lit(1)))
-    text = F.when(I % 5 == 0, "").when(I % 7 == 0, F.concat_ws(";", word, word)).when(I % 11 == 0, "nope").otherwise(word)
+    text = F.when(nth() % 5 == 0, "").when(nth() % 7 == 0, F.concat_ws(";", word, word)).when(nth() % 11 == 0, "nope").otherwise(word)
     rows = t.books.where("id % 3 <> 2").select("isbn", text.alias("genres"), "id")
     rows = rows.union(rows.where("id % 17 = 0")).select("isbn", "genres")
     return counts(genres.mapping_rows(rows, names, t.books.where("id % 13 <> 0")))
@@ -480,7 +482,7 @@ MATCHES = (
 
 
 def matches(t: Tables) -> DataFrame:
-    entries = t.books.select(F.when(I % 4 == 0, F.col("isbn")).otherwise(F.concat(F.lit("x"), "isbn")).alias("isbn"), F.when(I % 4 == 3, "nothing like it").otherwise(F.col("title")).alias("title"), "author")
+    entries = t.books.select(F.when(nth() % 4 == 0, F.col("isbn")).otherwise(F.concat(F.lit("x"), "isbn")).alias("isbn"), F.when(nth() % 4 == 3, "nothing like it").otherwise(F.col("title")).alias("title"), "author")
     return genres.match_books(entries, t.books.where("id % 3 <> 0"))
 
 
@@ -517,7 +519,7 @@ def genre_audit(t: Tables) -> DataFrame:
 
 @query("genre_sets_equal", "select id, id % 3 <> 2 as same from books")
 def genre_sets_equal(t: Tables) -> DataFrame:
-    given = F.when(I % 3 == 0, F.array("author", "title")).when(I % 3 == 1, F.array("title", "author", "title")).otherwise(F.array("title"))
+    given = F.when(nth() % 3 == 0, F.array("author", "title")).when(nth() % 3 == 1, F.array("title", "author", "title")).otherwise(F.array("title"))
     return t.books.select("id", readers.genre_sets_equal(given, F.array("title", "author")).alias("same"))
 
 
@@ -532,9 +534,9 @@ JUDGED = (
 
 def judged(t: Tables) -> DataFrame:
     titles = t.books.select(
-        "id", F.when(I % 17 != 0, F.col("title")).alias("title"), "author", F.when(I % 13 == 0, "978").otherwise(F.col("isbn")).alias("isbn"), F.when(I % 11 == 0, "FR").when(I % 2 == 0, "EN").alias("language"), F.lit(None).cast("string").alias("language_description"),
-        F.when(I % 7 == 0, "EB").when(I % 3 == 0, "HC").otherwise("TR").alias("format"), F.lit("").alias("format_description"), F.when(I % 19 == 0, "soon").otherwise(F.concat(F.col("publication_date").cast("string"), F.lit("T00:00"))).alias("onsale"),
-        F.when(I % 23 != 0, F.concat(F.lit("books/"), I.cast("string"))).alias("path"), F.when(I % 29 == 0, "https://p.example/placeholder.png").otherwise("https://p.example/c.png").alias("cover_url"), F.when(I % 5 != 0, I - I % 2).alias("work_id"),
+        "id", F.when(nth() % 17 != 0, F.col("title")).alias("title"), "author", F.when(nth() % 13 == 0, "978").otherwise(F.col("isbn")).alias("isbn"), F.when(nth() % 11 == 0, "FR").when(nth() % 2 == 0, "EN").alias("language"), F.lit(None).cast("string").alias("language_description"),
+        F.when(nth() % 7 == 0, "EB").when(nth() % 3 == 0, "HC").otherwise("TR").alias("format"), F.lit("").alias("format_description"), F.when(nth() % 19 == 0, "soon").otherwise(F.concat(F.col("publication_date").cast("string"), F.lit("T00:00"))).alias("onsale"),
+        F.when(nth() % 23 != 0, F.concat(F.lit("books/"), nth().cast("string"))).alias("path"), F.when(nth() % 29 == 0, "https://p.example/placeholder.png").otherwise("https://p.example/c.png").alias("cover_url"), F.when(nth() % 5 != 0, nth() - nth() % 2).alias("work_id"),
     )
     return publisher.judge_titles(titles, "https://p.example/", "p.example")
 
@@ -562,8 +564,8 @@ def publisher_discovery(t: Tables) -> DataFrame:
 
 @query("verified_releases", "select id, publication_date, 'feed' as provider from books where publication_date between date '1998-03-01' and date '1998-09-30' and id % 3 <> 0")
 def verified_releases(t: Tables) -> DataFrame:
-    day = F.when(I % 3 == 0, F.date_add("publication_date", 1)).otherwise(F.col("publication_date"))
-    sources = t.books.select(I.alias("book_id"), F.lit("feed").alias("provider"), F.lit("https://p.example/").alias("source_url"), day.alias("verified_publication_date"))
+    day = F.when(nth() % 3 == 0, F.date_add("publication_date", 1)).otherwise(F.col("publication_date"))
+    sources = t.books.select(nth().alias("book_id"), F.lit("feed").alias("provider"), F.lit("https://p.example/").alias("source_url"), day.alias("verified_publication_date"))
     return readers.verified_releases(t.books, sources, "1998-03-01", "1998-09-30").select("id", "publication_date", "provider")
 
 
