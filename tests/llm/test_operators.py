@@ -627,3 +627,60 @@ def test_staged_tables_are_deleted(spark, tmp_path):
     assert two.count() == 5 and storage.release(spark) == 1 and storage.release(spark) == 0
     with pytest.raises(Exception, match="two"):
         spark.read.parquet(two.inputFiles()[0]).count()
+
+
+def plain_votes(text: str | None) -> list[int]:
+    """Votes by definition, word after word."""
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode()) if w]
+    n = len(words)
+    if not n:
+        return [0] * 8
+    stop = {w.encode() for t in html_text.STOP_WORDS.values() for w in t.split()}
+    symbol, again = set(b"#$%&*!@^~|=+<>_\\{}"), [k > 0 and words[k].lower() == words[k - 1].lower() for k in range(n)]
+    share = lambda f: sum(bool(f(w, r)) for w, r in zip(words, again, strict=True)) / n
+    symbols = share(lambda w, r: w[-1] in symbol and (len(w) == 1 or w[-2] in symbol))
+    capitals = share(lambda w, r: len(w) > 1 and w[:2].isalpha() and w[:2].isupper())
+    stops, marks = share(lambda w, r: w.lower() in stop and not r), share(lambda w, r: w[-1:] in b".," and not r)
+    letters, variety = sum(map(len, words)) / n, len({w.lower() for w in words}) / n**0.8
+    return [
+        -(symbols > 0.1), -(capitals > 0.25 and n > 15), -(sum(again) / n > 0.12 and n > 5), -(share(lambda w, r: w == b"|") > 0.08), -1 if stops < 0.04 and n > 15 else int(stops > 0.12),
+        -1 if n > 40 and (marks > 0.7 or marks < 0.005) else int(0.02 < marks < 0.4 and n > 15), -(variety < 0.3 and n > 30), -((letters < 1.8 or letters > 16) and n > 15),
+    ]
+
+
+def test_quality_equals_brute_force(spark):
+    """Votes word by word, estimation document by document, and scores as plain sums over words."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(9000 + k, t) for k, t in enumerate([None, "", " \n", "one", "| " * 50, "A B " * 30, "é È ÀB", "same same same same same same same", "x" * 5000, "#$ ok %% !! " * 9])]
+    votes = np.array([plain_votes(t) for _, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_words": F.lit("x"), "probability": F.lit(7), "label": F.lit(None).cast("string")})
+    counts = quality.pattern_counts(docs)
+    assert counts == Counter(quality.pattern_number(votes).tolist())
+    accuracy, prior = np.full(8, 0.8), 0.7
+    for _ in range(100):
+        good = []
+        for v in votes:
+            odds = prior / (1 - prior) * np.prod([(a / (1 - a)) ** x for a, x in zip(accuracy, v, strict=True)])
+            good.append(odds / (1 + odds))
+        good = np.array(good)
+        for k in range(8):
+            right = sum(g if v[k] == 1 else 1 - g for g, v in zip(good, votes, strict=True) if v[k])
+            accuracy[k] = min(max((right + 0.8) / ((votes[:, k] != 0).sum() + 1), 0.55), 0.99)
+        prior = min(max((good.sum() + 1) / (len(votes) + 2), 0.05), 0.95)
+    posterior, found, p = quality.estimate(counts)
+    assert np.allclose(found, accuracy) and np.isclose(p, prior)
+    weights = quality.fit(docs)
+    scored = {r["doc_id"]: r for r in quality.score_documents(docs).collect()}
+    low, mask = lambda w: int(quality.Words([w]).number[0]), (1 << quality.PLACES_BITS) - 1
+    for d, text in rows:
+        words = [w for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode()) if w]
+        x = 0.0
+        for k, w in enumerate(words):
+            ends = [w[0], w[min(1, len(w) - 1)], w[-1], w[max(len(w) - 2, 0)]]
+            with np.errstate(over="ignore"):
+                shape = int(quality.mixed(sum(quality.CLASS[[e]] * quality.PLACES[j] for j, e in enumerate(ends)))[0])
+            x += weights[low(w) & mask] + weights[shape & mask] + weights[int(k > 0 and w.lower() == words[k - 1].lower())]
+        x = x / (len(words) + quality.EXTRA) + weights[-1]
+        want = 1 / (1 + np.exp(-np.clip(x, -30, 30))) if words else 0.0
+        r = scored[d]
+        assert r["n_words"] == len(words) and abs(r["probability"] - want) < 2e-3 and r["kept"] == (r["probability"] >= 0.5)
