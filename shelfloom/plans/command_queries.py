@@ -79,19 +79,20 @@ def like_state(t: Tables) -> DataFrame:
     (
         "steps",
         """select least(actor, target) as a, greatest(actor, target) as b, actor, action, row_number() over (partition by least(actor, target), greatest(actor, target) order by ts, command_id) as n from
-           (select ts, event_id as command_id, user_id as actor, user_id + 1 + event_id % 2 as target, case when event_type in ('view', 'click') then 'request' when event_type = 'error' then 'remove' else 'accept' end as action from events)""",
+           (select ts, event_id as command_id, user_id as actor, user_id + 1 + event_id % 2 as target, case when event_type in ('view', 'click') then 'request' when event_type = 'error' and event_id % 3 = 0 then 'decline' when event_type = 'error' then 'remove' else 'accept' end as action from events)""",
     ),
     (
         "walk",
         """with recursive w as (select distinct a, b, 0::bigint as n, 'none' as state, null::bigint as asker from steps
-           union all select s.a, s.b, s.n, case when action = 'request' and state = 'none' then 'pending' when action = 'accept' and state = 'pending' and actor <> asker then 'accepted' when action = 'remove' and state <> 'none' then 'none' else state end,
-                  case when action = 'request' and state = 'none' then actor when action = 'remove' and state <> 'none' then null else asker end
+           union all select s.a, s.b, s.n, case when action = 'request' and state = 'none' then 'pending' when action = 'accept' and state = 'pending' and actor <> asker then 'accepted' when action = 'decline' and state = 'pending' or action = 'remove' and state = 'accepted' then 'none' else state end,
+                  case when action = 'request' and state = 'none' then actor when action = 'decline' and state = 'pending' or action = 'remove' and state = 'accepted' then null else asker end
            from w join steps s on s.a = w.a and s.b = w.b and s.n = w.n + 1) select * from w""",
     ),
 )
 def request_state(t: Tables) -> DataFrame:
     e = t.raw("events")
-    action = F.when(F.col("event_type").isin("view", "click"), "request").when(F.col("event_type") == "error", "remove").otherwise("accept")
+    ends = F.when(F.col("event_id") % 3 == 0, "decline").otherwise("remove")
+    action = F.when(F.col("event_type").isin("view", "click"), "request").when(F.col("event_type") == "error", ends).otherwise("accept")
     return cmd.request_state(e.select("ts", F.col("event_id").alias("command_id"), F.col("user_id").alias("actor"), (F.col("user_id") + 1 + F.col("event_id") % 2).alias("target"), action.alias("action")))
 
 

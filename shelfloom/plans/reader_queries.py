@@ -297,7 +297,8 @@ def sorted_extract(t: Tables) -> DataFrame:
 
 
 FINGERPRINT = """select sha256(string_agg(digest, chr(10) order by block)) as fingerprint from
-       (select substr(sha256(key::varchar), 1, 4) as block, sha256(string_agg(sha256(row), chr(10) order by key)) as digest from rows group by 1)"""
+       (select substr(part, 1, 4) as block, sha256(string_agg(digest, chr(10) order by part)) as digest from
+        (select substr(sha256(key::varchar), 1, 8) as part, sha256(string_agg(sha256(row), chr(10) order by key)) as digest from rows group by 1) group by 1)"""
 
 
 @query("users_fingerprint", FINGERPRINT, ("rows", """select id as key, '{"bio":"' || bio || '","id":' || id || ',"username":"' || username || '"}' as row from users"""))

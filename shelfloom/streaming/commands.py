@@ -79,26 +79,36 @@ def like_state(commands: DataFrame, reviews: DataFrame) -> DataFrame:
     return owned.groupBy("review_id").agg(F.count("*").alias("likes"), F.count_if(F.col("owner") != F.col("user_id")).alias("notified"))
 
 
+#: What a step makes of a pair's states: 0 none, 1 and 2 pending, 3 and 4 friends, asked by a and by b. A step that isn't legal leaves a state as it is.
+REQUEST_STATES = ("none", "pending", "pending", "accepted", "accepted")
+REQUEST_STEPS = {
+    "none": (0, 1, 2, 3, 4), "request_a": (1, 1, 2, 3, 4), "request_b": (2, 1, 2, 3, 4), "accept_a": (0, 1, 4, 3, 4), "accept_b": (0, 3, 2, 3, 4),
+    "decline": (0, 0, 0, 3, 4), "remove": (0, 1, 2, 0, 0),
+}
+
+
 def request_state(commands: DataFrame) -> DataFrame:
     """commands (ts, command_id, actor, target, action) to each pair's state by legal steps only.
 
-    request makes a pending pair of nothing, accept by the other side makes friends of it, decline or remove
-    makes nothing of either. A pair's steps are folded in order; a step that isn't legal changes nothing.
+    request makes a pending pair of nothing, accept by the other side makes friends of it; decline takes back
+    what is pending, remove ends a friendship. Any other step, or one of a reader with itself, changes nothing.
+    Steps are dealt by range of pair and time, so that a long log is many runs; a run becomes a map from the
+    state before it to the state after it, and a pair's few maps are applied in order.
     """
-    pair = commands.select(F.least("actor", "target").alias("a"), F.greatest("actor", "target").alias("b"), F.struct("ts", "command_id", "actor", "action").alias("step"))
-    steps = pair.groupBy("a", "b").agg(F.array_sort(F.collect_list("step")).alias("steps"))
-    start = F.struct(F.lit("none").alias("state"), F.lit(None).cast("bigint").alias("by"))
-
-    def move(s: Column, x: Column) -> Column:
-        to = lambda state, by: F.struct(F.lit(state).alias("state"), by.alias("by"))
-        return (
-            F.when((x["action"] == "request") & (s["state"] == "none"), to("pending", x["actor"]))
-            .when((x["action"] == "accept") & (s["state"] == "pending") & (x["actor"] != s["by"]), to("accepted", s["by"]))
-            .when((x["action"] == "remove") & (s["state"] != "none"), to("none", F.lit(None).cast("bigint")))
-            .otherwise(s)
-        )
-
-    return steps.select("a", "b", F.aggregate("steps", start, move).alias("s")).select("a", "b", "s.state", F.col("s.by").alias("requested_by"))
+    table = lambda values: F.array(*map(F.lit, values))
+    a, b, side = F.least("actor", "target"), F.greatest("actor", "target"), F.when(F.col("actor") == F.least("actor", "target"), "_a").otherwise("_b")
+    name = F.when(~F.coalesce(a < b, F.lit(False)), "none").when(F.col("action").isin("request", "accept"), F.concat("action", side)).when(F.col("action").isin("decline", "remove"), F.col("action"))
+    step = F.array_position(table(REQUEST_STEPS), F.coalesce(name, F.lit("none"))).cast("int")
+    log = commands.select(a.alias("a"), b.alias("b"), "ts", "command_id", step.alias("step")).repartitionByRange("a", "b", "ts", "command_id")
+    moves = F.array(*map(table, REQUEST_STEPS.values()))
+    after = lambda states, move: F.transform(states, lambda s: F.get(move, s))
+    start = table(REQUEST_STEPS["none"])
+    runs = log.withColumn("run", F.spark_partition_id()).groupBy("a", "b", "run").agg(F.array_sort(F.collect_list(F.struct("ts", "command_id", "step"))).alias("steps"))
+    runs = runs.select("a", "b", "run", F.aggregate("steps", start, lambda states, x: after(states, F.element_at(moves, x["step"]))).alias("move"))
+    pairs = runs.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("run", "move"))).alias("runs"))
+    pairs = pairs.select("a", "b", F.get(F.aggregate("runs", start, lambda states, x: after(states, x["move"])), F.lit(0)).alias("s"))
+    asked = F.when(F.col("s").isin(1, 3), F.col("a")).when(F.col("s").isin(2, 4), F.col("b"))
+    return pairs.select("a", "b", F.get(table(REQUEST_STATES), F.col("s")).alias("state"), asked.alias("requested_by"))
 
 
 def first_reads(reads: DataFrame) -> DataFrame:

@@ -123,22 +123,27 @@ def test_fingerprint_ignores_order(spark):
 
 def test_request_state_equals_a_fold(spark):
     rng = random.Random(4)
-    log = [(k, rng.randint(0, 4), rng.randint(0, 4), rng.choice(["request", "accept", "remove"])) for k in range(400)]
-    log = [x for x in log if x[1] != x[2]]
+    log = [(k, rng.randint(0, 4), rng.randint(0, 4), rng.choice(["request", "accept", "decline", "remove", "wave"])) for k in range(800)]
     state: dict = {}
     for _, actor, target, action in log:
         pair = (min(actor, target), max(actor, target))
         now, by = state.get(pair, ("none", None))
-        if action == "request" and now == "none":
+        if actor == target:
+            state[pair] = ("none", None)
+        elif action == "request" and now == "none":
             state[pair] = ("pending", actor)
         elif action == "accept" and now == "pending" and by != actor:
             state[pair] = ("accepted", by)
-        elif action == "remove" and now != "none":
+        elif (action, now) in (("decline", "pending"), ("remove", "accepted")):
             state[pair] = ("none", None)
         else:
             state.setdefault(pair, (now, by))
     df = spark.createDataFrame(log, "command_id long, actor long, target long, action string").withColumn("ts", F.col("command_id"))
-    assert {(r["a"], r["b"]): (r["state"], r["requested_by"]) for r in cmd.request_state(df).collect()} == state
+    got = cmd.request_state(df)
+    assert {(r["a"], r["b"]): (r["state"], r["requested_by"]) for r in got.collect()} == state
+    assert got.select("state").distinct().count() == 3
+    empty = cmd.request_state(df.where("false")).collect()
+    assert empty == []
 
 
 def test_shelf_events_equal_a_fold(spark):
