@@ -133,25 +133,39 @@ def edition_candidates(editions: DataFrame, authors: DataFrame, latest_year: int
     return out.select("key", "title", "authors", "language", "publication_year", "format", F.explode_outer("isbns").alias("isbn13"), "reject_reason")
 
 
+#: How a candidate meets a book, in the order in which a match is named.
+METHODS = ("work_key", "isbn", "title_author")
+
+
+def _asked(rows: DataFrame, key: str, isbns: Column) -> DataFrame:
+    """rows (key, work_key, title, author and isbns) to (key, method, value): a row for each value that it can be met by."""
+    identity = work_identity(F.col("title"), F.col("author"))
+    tagged = lambda method: lambda x: F.struct(F.lit(method).alias("method"), x.alias("value"))
+    values = (F.array("work_key"), F.coalesce(isbns, F.array().cast("array<string>")), F.array(identity))
+    each = F.concat(*(F.transform(v, tagged(k)) for k, v in enumerate(values)))
+    return rows.select(F.col(key).alias("key"), F.inline(each)).where("value is not null")
+
+
 def dedup_check(candidates: DataFrame, books: DataFrame) -> DataFrame:
-    """Candidates against the catalogue by work key, ISBN, and title with author.
+    """Candidates against the catalogue by work key, ISBN, and title with author: status, first_id and last_id of the books met, matched_by.
 
     candidates: work_key, title, author, isbns. books: id, work_key, isbn, title, author. The first method
-    that matches names the match; it is ambiguous if it gives several books or another method gives others.
+    that matches names the match; it is ambiguous if more than one book is met by any of them. Books of one
+    value come as their smallest and largest id, so that a common title makes no pairs; dedup_members has all.
     """
-    mine = candidates.select("work_key", "isbns", work_identity(F.col("title"), F.col("author")).alias("identity"))
-    theirs = books.withColumn("identity", work_identity(F.col("title"), F.col("author")))
-    by_key = mine.join(theirs.select("work_key", "id"), "work_key").select("work_key", "id", F.lit(1).alias("method"))
-    by_isbn = mine.select("work_key", F.explode("isbns").alias("isbn")).join(theirs.select("isbn", "id"), "isbn").select("work_key", "id", F.lit(2).alias("method"))
-    by_name = mine.select("work_key", "identity").join(theirs.select("identity", "id"), "identity").select("work_key", "id", F.lit(3).alias("method"))
-    hits = by_key.union(by_isbn).union(by_name).distinct()
-    methods = hits.groupBy("work_key", "method").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    grouped = methods.groupBy("work_key").agg(F.min(F.struct("method", "ids")).alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("every"))
-    out = candidates.select("work_key", "title").join(grouped, "work_key", "left")
-    ambiguous = (F.size("first.ids") > 1) | (F.size("every") > F.size("first.ids"))
-    status = F.when(F.col("first").isNull(), "new").when(ambiguous, "ambiguous").otherwise("existing")
-    names = F.array(F.lit("work_key"), F.lit("isbn"), F.lit("title_author"))
-    return out.select("work_key", "title", status.alias("status"), F.coalesce("every", F.array().cast("array<bigint>")).alias("matched_ids"), F.when(F.col("first").isNotNull(), F.element_at(names, F.col("first.method"))).alias("matched_by"))
+    theirs = _asked(books, "id", F.array("isbn")).groupBy("method", "value").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    hits = _asked(candidates, "work_key", F.col("isbns")).join(theirs, ["method", "value"])
+    met = hits.groupBy(F.col("key").alias("work_key")).agg(F.min("method").alias("method"), F.min("low").alias("first_id"), F.max("high").alias("last_id"))
+    status = F.when(F.col("method").isNull(), "new").when(F.col("first_id") < F.col("last_id"), "ambiguous").otherwise("existing")
+    by = F.get(F.array(*map(F.lit, METHODS)), F.col("method"))
+    return candidates.select("work_key", "title").join(met, "work_key", "left").select("work_key", "title", status.alias("status"), "first_id", "last_id", by.alias("matched_by"))
+
+
+def dedup_members(candidates: DataFrame, books: DataFrame) -> DataFrame:
+    """(matched_by, value, id): the books that candidates meet, a row for each value by which one is met."""
+    wanted = _asked(candidates, "work_key", F.col("isbns")).select("method", "value").distinct()
+    found = _asked(books, "id", F.array("isbn")).join(wanted, ["method", "value"], "left_semi").distinct()
+    return found.select(F.get(F.array(*map(F.lit, METHODS)), F.col("method")).alias("matched_by"), "value", F.col("key").alias("id"))
 
 
 def import_reason(title: Column, author: Column) -> Column:

@@ -58,9 +58,12 @@ def isbn_policy() -> Column:
 
 
 def report_faults(report: DataFrame) -> DataFrame:
-    """Report rows whose number of matches doesn't fit their status, or whose method is unknown."""
-    n = F.size("matched_ids")
-    fits = F.when(F.col("status") == "new", (n == 0) & F.col("matched_by").isNull()).when(F.col("status") == "existing", n == 1).when(F.col("status") == "ambiguous", n >= 2)
+    """Report rows whose matches (none, one, or more books from first_id to last_id) don't fit their status, or whose method is unknown."""
+    low, high = F.col("first_id"), F.col("last_id")
+    fits = (
+        F.when(F.col("status") == "new", low.isNull() & high.isNull() & F.col("matched_by").isNull())
+        .when(F.col("status") == "existing", low == high).when(F.col("status") == "ambiguous", low < high)
+    )
     known = F.col("matched_by").isNull() | F.col("matched_by").isin("work_key", "isbn", "title_author")
     return report.where(~F.coalesce(fits & known, F.lit(False)))
 

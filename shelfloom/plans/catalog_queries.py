@@ -243,18 +243,31 @@ def halves(t: Tables) -> tuple[DataFrame, DataFrame]:
     return t.books.where("id % 2 = 1"), theirs
 
 
+MEETINGS = (
+    "meetings",
+    f"""select m.work_key as key, t.id, 'work_key' as how, m.work_key as value from mine m join theirs t on t.work_key = m.work_key
+        union all select m.work_key, t.id, 'isbn', m.isbn from mine m join theirs t on t.isbn = m.isbn
+        union all select m.work_key, t.id, 'title_author', {TITLE_KEY.format('m.title')} || '|' || lower(m.author) from mine m join theirs t on {TITLE_KEY.format('m.title')} = {TITLE_KEY.format('t.title')} and lower(m.author) = lower(t.author)""",
+)
+
+
 @query(
     "dedup_check",
-    f"""select m.work_key, title, case when every is null then 'new' when n1 > 1 or len(every) > n1 then 'ambiguous' else 'existing' end as status, coalesce(array_to_string(every, ','), '') as matched_ids, how as matched_by from mine m left join
-        (select key, list_sort(list_distinct(flatten(list(ids)))) as every, arg_min(len(ids), method) as n1, arg_min(case method when 1 then 'work_key' else 'title_author' end, method) as how from
-         (select key, method, list(distinct id) as ids from (select m.work_key as key, t.id, 1 as method from mine m join theirs t on t.work_key = m.work_key
-          union all select m.work_key, t.id, 3 from mine m join theirs t on {TITLE_KEY.format('m.title')} = {TITLE_KEY.format('t.title')} and lower(m.author) = lower(t.author)) group by 1, 2) group by 1) h on h.key = m.work_key""",
-    *HALVES,
-)
+    """select m.work_key, title, case when low is null then 'new' when low < high then 'ambiguous' else 'existing' end as status, low as first_id, high as last_id, how as matched_by from mine m left join
+        (select key, min(id) as low, max(id) as high, case when count(*) filter (how = 'work_key') > 0 then 'work_key' when count(*) filter (how = 'isbn') > 0 then 'isbn' else 'title_author' end as how
+         from meetings group by 1) h on h.key = m.work_key""",
+    *HALVES, MEETINGS,
+)
 def dedup_check(t: Tables) -> DataFrame:
     mine, theirs = halves(t)
-    out = catalog.dedup_check(mine.withColumn("isbns", F.array("isbn")), theirs)
-    return out.select("work_key", "title", "status", F.array_join(F.transform("matched_ids", lambda x: x.cast("string")), ",").alias("matched_ids"), "matched_by")
+    return catalog.dedup_check(mine.withColumn("isbns", F.array("isbn")), theirs)
+
+
+@query("dedup_members", "select how as matched_by, count(distinct value) as n_values, count(distinct id) as n_books, min(id) as first_id, max(id) as last_id from meetings group by 1", *HALVES, MEETINGS)
+def dedup_members(t: Tables) -> DataFrame:
+    mine, theirs = halves(t)
+    members = catalog.dedup_members(mine.withColumn("isbns", F.array("isbn")), theirs)
+    return members.groupBy("matched_by").agg(F.count_distinct("value").alias("n_values"), F.count_distinct("id").alias("n_books"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 MATCHED = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfloom.functions.text import author_key, title_key, work_identity
-from shelfloom.operators import matching, quality, readers, resolution
+from shelfloom.operators import catalog, matching, quality, readers, resolution
 from shelfloom.sources import dumps, files
 from shelfloom.streaming import commands as cmd
 
@@ -233,3 +233,20 @@ def test_release_calendar_takes_three_a_day_before_the_shuffle(spark):
     got = {str(r["day"]): (r["n"], r["first_ids"]) for r in out.collect()}
     assert len(got) == 42 and (got["1998-06-15"], got["1998-06-16"], got["1998-06-17"]) == ((50, "1,2,3"), (2, "100"), (1, ""))
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dedup_check_makes_no_pairs_of_a_common_title(spark):
+    mine = spark.createDataFrame(
+        [("w1", "One", "A B", ["i1"]), ("w2", "Same", "A B", None), ("w3", "Other", "C D", ["i9", "i8"]), ("w4", "New", "C D", []), (None, "Same", "A B", ["i1"])],
+        "work_key string, title string, author string, isbns array<string>",
+    )
+    books = spark.createDataFrame(
+        [(1, "w1", "i1", "One", "A B"), (2, None, None, "Same", "A B"), (3, "w9", "i7", "Same", "A B"), (4, None, "i8", "Else", "C D"), (5, "w1", None, "Two", "C D")],
+        "id long, work_key string, isbn string, title string, author string",
+    )
+    got = {r["work_key"]: tuple(r)[2:] for r in catalog.dedup_check(mine, books).collect() if r["work_key"]}
+    assert got == {"w1": ("ambiguous", 1, 5, "work_key"), "w2": ("ambiguous", 2, 3, "title_author"), "w3": ("existing", 4, 4, "isbn"), "w4": ("new", None, None, None)}
+    members = {(r["matched_by"], r["id"]) for r in catalog.dedup_members(mine, books).collect()}
+    assert members == {("work_key", 1), ("work_key", 5), ("isbn", 1), ("isbn", 4), ("title_author", 1), ("title_author", 2), ("title_author", 3)}
+    assert catalog.dedup_check(mine.where("false"), books).collect() == []
+    assert {r["status"] for r in catalog.dedup_check(mine, books.where("false")).collect()} == {"new"}
