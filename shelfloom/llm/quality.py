@@ -1,7 +1,7 @@
 """Quality classifier from overlapping heuristic labellers.
 
 Labellers vote good, bad or nothing on every document. Expectation-maximisation over the counts of vote
-patterns in the whole corpus estimates how each labeller votes on either class; the posterior of a
+patterns in the whole corpus estimates how often each labeller that votes is right; the posterior of a
 document's pattern is its soft label. A bounded sample of soft-labelled documents trains a linear scorer
 on hashed words and word shapes, which then scores every document.
 """
