@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, html_text, licenses, mixing, near_dedup, pii, quality, simhash
+from . import ann, bpe, chat, exact_dedup, hard_negatives, html_text, licenses, mixing, near_dedup, pii, quality, simhash, whitening
 from .storage import table
 
 
@@ -59,6 +59,15 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(hard_negatives.quantised(table(spark, sf_dir, "embeddings"), label), "vec_id % 100 = 0")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_pii": op2_pii,
@@ -71,6 +80,8 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
     "op11_simhash": op11_simhash,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
@@ -130,4 +141,18 @@ ORACLE_SQL = {
         select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
                doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
         from norm""",
+    "op12_hard_negatives": r"""
+        with fine as (select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                      [floor(256 * x::double) for x in embedding] as v
+            from embeddings where label is not null and embedding is not null and list_count(embedding) = len(embedding)
+                and len([x for x in embedding if not isfinite(x)]) = 0),
+        a as (select * from fine where vec_id % 100 = 0),
+        scored as (select a.rid as anchor, a.vec_id as anchor_id, f.rid, f.vec_id, a.label = f.label as same, list_dot_product(a.v, f.v)::bigint as score
+            from a, fine f where a.rid <> f.rid),
+        p as (select anchor, anchor_id, vec_id as positive_id, score as positive_score from scored where same
+            qualify row_number() over (partition by anchor order by score desc, vec_id, rid) <= 5)
+        select p.anchor_id, positive_id, row_number() over (partition by p.anchor, positive_id order by score desc, vec_id, rid)::int as rank,
+               vec_id as negative_id, positive_score, score as negative_score
+        from p join scored s on p.anchor = s.anchor and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+        qualify rank <= 10""",
 }
