@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +26,8 @@ def _own_dir(application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix="shelfloom-")
 
 
-#: Folders of tables that staged() wrote and nobody has deleted yet, by application.
-_written: dict[str, set[str]] = {}
+#: Folders of tables that staged() wrote and nobody has deleted yet, by application, each with the table that reads it.
+_written: dict[str, dict[str, DataFrame]] = {}
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -35,28 +37,41 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    own = _written.setdefault(spark.sparkContext.applicationId, {})
+    own[path] = df
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own[path] = spark.read.schema(df.schema).parquet(path)
+    return own[path]
 
 
 def _delete(spark: SparkSession, paths: set[str]) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _written[spark.sparkContext.applicationId].discard(path)
+        _written[spark.sparkContext.applicationId].pop(path, None)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more: a loop's last round, once the next one is written."""
     for df in tables:
-        own = _written.get(df.sparkSession.sparkContext.applicationId, set())
-        _delete(df.sparkSession, {path for path in own if any(f"{path}/" in f for f in df.inputFiles())})
+        own = _written.get(df.sparkSession.sparkContext.applicationId, {})
+        _delete(df.sparkSession, {path for path, table in own.items() if table is df})
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end: for a step whose result is written inside, so that nothing needs it any more."""
+    own = _written.setdefault(spark.sparkContext.applicationId, {})
+    before = set(own)
+    try:
+        yield
+    finally:
+        _delete(spark, set(own) - before)
 
 
 def release(spark: SparkSession) -> int:
     """Delete all that this session's operators staged and still lies there, after their results are written; how many tables."""
-    paths = set(_written.get(spark.sparkContext.applicationId, set()))
+    paths = set(_written.get(spark.sparkContext.applicationId, {}))
     _delete(spark, paths)
     return len(paths)
 
