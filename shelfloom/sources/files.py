@@ -128,6 +128,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_tree(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of whatever file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(rows: DataFrame, name: str) -> DataFrame:
     """rows written once to the shared folder and read back: what follows is planned on its own."""
     path = scratch_dir(rows.sparkSession, name)

@@ -5,8 +5,11 @@ The batch functions fold whole logs with windows; the streaming ones use the sam
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..sources.keyed import KeyedTable
 
 
 def _by(*keys: str) -> Window:
@@ -32,18 +35,6 @@ def shelf_events(commands: DataFrame) -> DataFrame:
     return rows.withColumns({"type": kind, "finished_on": finished}).where("type is not null").select("command_id", "ts", "user_id", "book_id", "type", "finished_on", F.when(F.col("type") == "rated_book", F.col("rating")).alias("rating"))
 
 
-def shelf_state(commands: DataFrame) -> DataFrame:
-    """commands with `removes` to the current shelf: a removal clears the status, and the row goes unless it is rated."""
-    last = F.max_by(F.col("removes"), F.struct("ts", "command_id"))
-    at = F.struct("ts", "command_id")
-    set_status = F.max_by("status", F.when(F.col("status").isNotNull() & ~F.col("removes"), at))
-    last_set, last_removed = F.max(F.when(F.col("status").isNotNull() & ~F.col("removes"), at)), F.max(F.when(F.col("removes"), at))
-    rating = F.max_by("rating", F.when(F.col("rating").isNotNull() & ~F.col("removes"), at))
-    state = commands.groupBy("user_id", "book_id").agg(set_status.alias("status"), rating.alias("rating"), last_set.alias("s"), last_removed.alias("r"), last.alias("gone"))
-    status = F.when(F.col("r").isNull() | (F.col("s") > F.col("r")), F.col("status"))
-    return state.select("user_id", "book_id", status.alias("status"), "rating", "gone").where(~F.col("gone") | F.col("rating").isNotNull()).drop("gone")
-
-
 def corrected_finishes(finishes: DataFrame, corrections: DataFrame) -> DataFrame:
     """finishes (id, user_id, book_id, finished_on, created_at) after corrections (command_id, user_id, book_id, ts, finished_on).
 
@@ -63,15 +54,6 @@ def corrected_finishes(finishes: DataFrame, corrections: DataFrame) -> DataFrame
     return kept.unionByName(added)
 
 
-def review_log(writes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """writes (command_id, ts, user_id, book_id, rating, text) to current reviews and to one event each, with the first text."""
-    at = F.struct("ts", "command_id")
-    state = writes.groupBy("user_id", "book_id").agg(F.max_by("rating", at).alias("rating"), F.max_by("text", at).alias("text"), F.min("ts").alias("created_at"))
-    first = F.row_number().over(_by("user_id", "book_id"))
-    events = writes.withColumn("n", first).where("n = 1").select("command_id", "user_id", "book_id", F.lit("reviewed_book").alias("type"), "rating", F.col("text").alias("snapshot"))
-    return state, events
-
-
 def like_state(commands: DataFrame, reviews: DataFrame) -> DataFrame:
     """commands (ts, command_id, user_id, review_id, liked) to likes per review and how many notify another owner."""
     last = commands.groupBy("user_id", "review_id").agg(F.max_by("liked", F.struct("ts", "command_id")).alias("liked")).where("liked")
@@ -111,9 +93,70 @@ def request_state(commands: DataFrame) -> DataFrame:
     return pairs.select("a", "b", F.get(table(REQUEST_STATES), F.col("s")).alias("state"), asked.alias("requested_by"))
 
 
-def first_reads(reads: DataFrame) -> DataFrame:
-    """reads (notification_id, ts) to when each was first read."""
-    return reads.groupBy("notification_id").agg(F.min("ts").alias("read_at"))
+#: What a stream remembers of a pair, and what each command came to.
+PAIR = "state string, requested_by long"
+ANSWERED = "command_id long, ts timestamp, a long, b long, outcome string, state string, requested_by long, note string"
+
+
+def request_step(state: tuple | None, c: dict) -> tuple[tuple | None, tuple]:
+    """The rules of request_state for one command of a pair (a, b): its state after it (None: nothing) and its ANSWERED row.
+
+    note says what becomes of the request's notification: made by a request, gone once it is accepted or taken back.
+    """
+    now, by = state or ("none", None)
+    actor, action, outcome, note = c["actor"], c["action"], None, None
+    if actor == c["target"]:
+        outcome = "cannot_friend_self"
+    elif action == "request":
+        outcome = {"accepted": "already_friends", "pending": "request_pending"}.get(now)
+        if outcome is None:
+            now, by, note = "pending", actor, "made"
+    elif action == "accept":
+        outcome = {"none": "request_not_found", "accepted": "invalid_request_status"}.get(now) or ("forbidden" if actor == by else None)
+        if outcome is None:
+            now, note = "accepted", "gone"
+    elif action == "decline":
+        outcome = {"none": "request_not_found", "accepted": "invalid_request_status"}.get(now)
+        if outcome is None:
+            now, by, note = "none", None, "gone"
+    elif action == "remove":
+        outcome = {"none": "friendship_not_found", "pending": "invalid_friendship_status"}.get(now)
+        if outcome is None:
+            now, by = "none", None
+    else:
+        outcome = "unknown_command"
+    return (None if now == "none" else (now, by)), (c["command_id"], c["ts"], c["a"], c["b"], outcome, now, by, note)
+
+
+def request_notifications(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, state, requested_by) to the notifications that stand: those of pending requests, to whom was asked."""
+    other = F.when(F.col("requested_by") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    return pairs.where("state = 'pending'").select(other.alias("recipient_id"), F.col("requested_by").alias("actor_id"))
+
+
+#: Parts that one recipient's notifications are dealt into.
+READ_PARTS = 16
+
+
+def first_reads(notifications: DataFrame, commands: DataFrame, parts: int = READ_PARTS) -> DataFrame:
+    """notifications (id, recipient_id, created_at, read_at) with the time at which each was first read, or null.
+
+    commands (ts, user_id, notification_id): one notification of the user's own, or with a null id all that
+    the user has by then. A command at the time of a notification comes after it; who has read stays read.
+    The first mark-all after a notification is found by one ordered pass over both; a recipient's
+    notifications are dealt into parts, each of which gets all of the recipient's (far fewer) mark-alls.
+    """
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    notes = notifications.select("id", "recipient_id", F.col("created_at").alias("at"), "read_at", F.lit(0).alias("mark"), part.alias("part"))
+    marks = commands.where("notification_id is null").select(F.col("user_id").alias("recipient_id"), F.col("ts").alias("at")).distinct()
+    marks = marks.withColumns({"id": F.lit(None).cast(notifications.schema["id"].dataType), "read_at": F.lit(None).cast("timestamp"), "mark": F.lit(1), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    later = Window.partitionBy("recipient_id", "part").orderBy(F.desc("at"), F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
+    next_all = F.last(F.when(F.col("mark") == 1, F.col("at")), ignorenulls=True).over(later)
+    found = notes.unionByName(marks).withColumn("by_all", next_all).where("mark = 0")
+    single = commands.where("notification_id is not null").groupBy(F.col("notification_id").alias("id"), F.col("user_id").alias("recipient_id"))
+    single = single.agg(F.min("ts").alias("by_one"))
+    out = found.join(single, ["id", "recipient_id"], "left")
+    return out.select("id", "recipient_id", F.coalesce("read_at", F.least("by_all", "by_one")).alias("read_at"))
 
 
 def backfilled(activities: DataFrame, zone: str) -> DataFrame:
@@ -123,9 +166,48 @@ def backfilled(activities: DataFrame, zone: str) -> DataFrame:
     return activities.withColumn("finished_on", F.when(fix, F.to_date("created_at")).otherwise(F.col("finished_on")))
 
 
-def running_ratings(ratings: DataFrame) -> DataFrame:
-    """A stream (or table) of ratings (book_id, rating) to the running mean and count; write with outputMode update."""
-    return ratings.groupBy("book_id").agg(F.avg("rating").alias("average_rating"), F.count("*").alias("ratings_count"))
+RATED = "book_id long, user_id long, rating int, ts timestamp, command_id long"
+CACHE = "book_id long, rating_sum long, ratings_count long"
+
+
+def running_ratings(changes: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> tuple[StreamingQuery, KeyedTable]:
+    """A stream of rating changes (command_id, ts, user_id, book_id, rating; null: cleared) to each book's running sum and count.
+
+    The last rating of every reader and book is kept in a keyed table, so that a changed or cleared rating
+    becomes a difference to the book's sum and count, and a change older than the one kept becomes none.
+    Both tables rewrite only the buckets of a batch; a batch that runs again gives the same versions.
+    """
+    spark = changes.sparkSession
+    rated = KeyedTable(spark, f"{path}/rated", RATED, ["book_id", "user_id"], buckets)
+    cache = KeyedTable(spark, f"{path}/cache", CACHE, ["book_id"], buckets)
+    at = F.struct("ts", "command_id")
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("book_id", "user_id").agg(F.max_by(F.struct("rating", "ts", "command_id"), at).alias("r")).select("book_id", "user_id", "r.*")
+
+    def add(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.unionByName(new).groupBy("book_id").agg(F.sum("rating_sum").alias("rating_sum"), F.sum("ratings_count").alias("ratings_count"))
+
+    def fold(batch: DataFrame, number: int) -> None:
+        before = rated.last_version(number)
+        if number and before is None:
+            raise ValueError(f"{path} has no version before batch {number}")
+        rated.upsert(batch.select(*rated.columns), lambda old, new: newest(old.unionByName(new)), number)
+        # what the touched readers' ratings were and are
+        gone = batch.select("book_id", "user_id").distinct()
+        only = rated.touched(gone)
+        sides = [(rated.read(number, only), 1)] + ([(rated.read(before, only), -1)] if before is not None else [])
+        parts = [t.join(gone, ["book_id", "user_id"], "left_semi").select("book_id", (F.coalesce("rating", F.lit(0)) * sign).cast("long").alias("rating_sum"), (F.col("rating").isNotNull().cast("long") * sign).alias("ratings_count")) for t, sign in sides]
+        moved = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        cache.upsert(moved.groupBy("book_id").agg(F.sum("rating_sum").alias("rating_sum"), F.sum("ratings_count").alias("ratings_count")), add, number)
+
+    query = changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return query, cache
+
+
+def cached_ratings(cache: DataFrame) -> DataFrame:
+    """book_id, average_rating (null without ratings), ratings_count of a running sum and count."""
+    return cache.select("book_id", F.when(F.col("ratings_count") > 0, F.col("rating_sum") / F.col("ratings_count")).alias("average_rating"), "ratings_count")
 
 
 def monthly_finishes(finishes: DataFrame, late: str = "7 days") -> DataFrame:
@@ -144,20 +226,20 @@ def live_feed(activities: DataFrame, edges: DataFrame) -> DataFrame:
     return activities.join(edges, (activities["user_id"] == edges["friend"]) & (activities["created_at"] >= edges["since"]))
 
 
-def upsert_batches(stream: DataFrame, path: str, checkpoint: str, key: str | list[str]):
-    """Write every batch's rows over those of the same key in a table of numbered versions; returns the running query.
+def upsert_batches(stream: DataFrame, path: str, checkpoint: str, key: str | list[str], buckets: int = 64) -> tuple[StreamingQuery, KeyedTable]:
+    """Write every batch's rows over those of the same key in a keyed table; returns the running query and the table.
 
-    A batch starts from the last version before it, so that a batch that is run again gives the same
-    version; if there is none although there were batches before, it fails rather than begin anew.
+    A batch rewrites the buckets of its own keys. It starts from the last version before it, so that a batch
+    that is run again gives the same version; if there is none although there were batches before, it fails
+    rather than begin anew.
     """
+    keys = [key] if isinstance(key, str) else key
+    table = KeyedTable(stream.sparkSession, path, stream.schema, keys, buckets)
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark, rows = batch.sparkSession, batch
-        if number:
-            last = spark.read.parquet(path).where(F.col("version") < number).agg(F.max("version")).first()[0]
-            if last is None:
-                raise ValueError(f"{path} has no version before batch {number}")
-            rows = spark.read.parquet(f"{path}/version={last}").join(batch, key, "left_anti").unionByName(batch)
-        rows.write.mode("overwrite").parquet(f"{path}/version={number}")
-
-    return stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if number and table.last_version(number) is None:
+            raise ValueError(f"{path} has no version before batch {number}")
+        table.upsert(batch, lambda old, new: old.join(new, keys, "left_anti").unionByName(new), number)
+
+    query = stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return query, table
