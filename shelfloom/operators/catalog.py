@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import editions as ed
 from ..functions.text import display_text, other_script, title_key, work_identity
 from ..sources.dumps import SHELVES, WORK_KEY, rating_reason, shelf_reason
+from ..sources.files import cut
 from .quality import first_reason
 
 
@@ -161,8 +162,18 @@ def dedup_check(candidates: DataFrame, books: DataFrame) -> DataFrame:
     return candidates.select("work_key", "title").join(met, "work_key", "left").select("work_key", "title", status.alias("status"), "first_id", "last_id", by.alias("matched_by"))
 
 
+def dedup_links(candidates: DataFrame, books: DataFrame) -> DataFrame:
+    """(work_key, matched_by, value, n_books): each value by which a candidate meets books, and how many.
+
+    With dedup_members, which has the books of each value, this is every meeting, at a row a value.
+    """
+    theirs = _asked(books, "id", F.array("isbn")).distinct().groupBy("method", "value").agg(F.count("*").alias("n_books"))
+    links = _asked(candidates, "work_key", F.col("isbns")).distinct().join(theirs, ["method", "value"])
+    return links.select(F.col("key").alias("work_key"), F.get(F.array(*map(F.lit, METHODS)), F.col("method")).alias("matched_by"), "value", "n_books")
+
+
 def dedup_members(candidates: DataFrame, books: DataFrame) -> DataFrame:
-    """(matched_by, value, id): the books that candidates meet, a row for each value by which one is met."""
+    """(matched_by, value, id): the books that candidates meet, a row for each value by which one is met; the values are those of dedup_links."""
     wanted = _asked(candidates, "work_key", F.col("isbns")).select("method", "value").distinct()
     found = _asked(books, "id", F.array("isbn")).join(wanted, ["method", "value"], "left_semi").distinct()
     return found.select(F.get(F.array(*map(F.lit, METHODS)), F.col("method")).alias("matched_by"), "value", F.col("key").alias("id"))
@@ -190,15 +201,17 @@ def plan_import(report: DataFrame, books: DataFrame, limit: int) -> DataFrame:
     known_isbns = books.where("isbn is not null").select("isbn", F.lit(True).alias("has_isbn")).distinct()
     rows = report.join(known_works, "work_key", "left").join(known_isbns, "isbn", "left")
     kind = ed.product_kind(F.col("format") if "format" in report.columns else F.lit(None).cast("string"), F.col("title"), F.lit(None).cast("string"))
-    ineligible = F.coalesce(import_reason(F.col("title"), F.col("author")), kind)
+    # a reason is worked out once a row, not once for each time that it is looked at
+    rows = cut(rows.select("place", "work_key", "isbn", "status", "has_work", "has_isbn", F.coalesce(import_reason(F.col("title"), F.col("author")), kind).alias("ineligible")), "judged")
     reason = first_reason([
-        ("existing", F.col("status") == "existing"), ("ambiguous", F.col("status") == "ambiguous"), ("ineligible", ineligible.isNotNull()),
+        ("existing", F.col("status") == "existing"), ("ambiguous", F.col("status") == "ambiguous"), ("ineligible", F.col("ineligible").isNotNull()),
         ("duplicate_work_key", F.col("has_work")), ("duplicate_isbn", F.col("has_isbn")),
     ])
-    rows = rows.withColumn("reason", F.when(reason == "ineligible", ineligible).otherwise(reason))
+    rows = rows.withColumn("reason", F.when(reason == "ineligible", F.col("ineligible")).otherwise(reason))
     # rows without an ISBN are dealt by place, not into one task
     first = F.row_number().over(Window.partitionBy("isbn", F.col("reason").isNull(), F.when(F.col("isbn").isNull(), F.col("place"))).orderBy("place"))
     rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & F.col("isbn").isNotNull() & (first > 1), "duplicate_isbn").otherwise(F.col("reason")))
+    rows = cut(rows.select("place", "work_key", "isbn", "reason"), "reasons")
     # the limit is on places of eligible rows, so only its last place has to be known
     last = rows.where("reason is null").select("place").orderBy("place").limit(limit).agg(F.max("place"), F.count("*")).first()
     if last[1] == limit:
@@ -231,11 +244,16 @@ def apply_import(plan: DataFrame, rows: DataFrame, books: DataFrame) -> tuple[Da
     has_work = books.where("work_key is not null").select("work_key", F.lit(True).alias("has_work")).distinct()
     has_isbn = books.where("isbn is not null").select("isbn", F.lit(True).alias("has_isbn")).distinct()
     checked = plan.join(has_work, "work_key", "left").join(has_isbn, "isbn", "left")
-    late = F.when(F.col("has_work"), "duplicate_work_key").when(F.col("has_isbn"), "duplicate_isbn")
+    # of planned rows of one work the first is inserted, and then the others' work is there; rows without a work are dealt by place
     open_row = F.col("action") == "insert"
+    fresh = open_row & F.col("has_work").isNull() & F.col("has_isbn").isNull()
+    turn = F.row_number().over(Window.partitionBy("work_key", F.when(F.col("work_key").isNull() | ~fresh, F.col("place"))).orderBy("place"))
+    late = F.when(F.col("has_work"), "duplicate_work_key").when(F.col("has_isbn"), "duplicate_isbn").when(turn > 1, "duplicate_work_key")
     reason = F.when(open_row, late).otherwise(F.col("reason"))
     done = checked.select("place", "work_key", "isbn", F.when(open_row & late.isNull(), "insert").otherwise("skip").alias("action"), reason.alias("reason"))
-    new = done.where("action = 'insert'").select("work_key").join(rows.select("work_key", "isbn", "title", "author"), "work_key")
+    taken = done.where("action = 'insert'").select(F.col("work_key").alias("taken_work"), F.col("isbn").alias("taken_isbn"))
+    facts = rows.select("work_key", "isbn", "title", "author").dropDuplicates(["work_key", "isbn"])
+    new = facts.join(taken, F.col("work_key").eqNullSafe(F.col("taken_work")) & F.col("isbn").eqNullSafe(F.col("taken_isbn")))
     return books.select("work_key", "isbn", "title", "author").unionByName(new.select("work_key", "isbn", "title", "author")), done
 
 

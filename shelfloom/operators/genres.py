@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import work_identity
+from ..sources.files import cut
 from .catalog import link_changes
 from .quality import all_reasons
 
@@ -31,7 +32,8 @@ def mapping_rows(rows: DataFrame, taxonomy: DataFrame, catalog: DataFrame, separ
     ISBNs of the catalogue that no row maps follow as rows of their own.
     """
     slugs = F.filter(F.transform(F.split(F.coalesce("genres", F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
-    out = rows.select("isbn", slugs.alias("slugs"), F.monotonically_increasing_id().alias("row"))
+    # written once, so that a row has the same number wherever it is read again
+    out = cut(rows.select("isbn", slugs.alias("slugs"), F.monotonically_increasing_id().alias("row")), "mapping")
     known = out.select("row", F.explode("slugs").alias("slug")).join(taxonomy.select("slug", F.lit(1).alias("known")).distinct(), "slug", "left")
     unknown = known.where("known is null").select("row").distinct().withColumn("unknown", F.lit(True))
     times = out.groupBy("isbn").agg(F.count("*").alias("times"))

@@ -234,10 +234,14 @@ def release_plan(rows: DataFrame, books: DataFrame, sources: DataFrame) -> DataF
 
 
 def preferred_editions(titles: DataFrame) -> DataFrame:
-    """titles (work_id, isbn, title, author, rank) to one edition a work, then one a work identity; lowest rank, then ISBN."""
+    """titles (work_id, isbn, title, author, rank) to one edition a work, then one a work identity; lowest rank, then ISBN.
+
+    Works whose title or author leaves no key have no identity; each of them stays on its own.
+    """
     live = titles.where("rank > 0")
     per_work = live.groupBy("work_id").agg(F.min(F.struct("rank", "isbn", "title", "author")).alias("e"), F.count("*").alias("editions")).select("work_id", "e.*", "editions")
-    return per_work.groupBy(work_identity(F.col("title"), F.col("author")).alias("identity")).agg(
+    identity = work_identity(F.col("title"), F.col("author"))
+    return per_work.groupBy(identity.alias("identity"), F.when(identity.isNull(), F.col("work_id")).alias("alone")).agg(
         F.min(F.struct("rank", "isbn", "work_id", "title", "author")).alias("e"), F.sum("editions").alias("editions"), F.count("*").alias("works")
     ).select("identity", "e.*", "editions", "works")
 

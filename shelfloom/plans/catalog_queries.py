@@ -247,7 +247,7 @@ MEETINGS = (
     "meetings",
     f"""select m.work_key as key, t.id, 'work_key' as how, m.work_key as value from mine m join theirs t on t.work_key = m.work_key
         union all select m.work_key, t.id, 'isbn', m.isbn from mine m join theirs t on t.isbn = m.isbn
-        union all select m.work_key, t.id, 'title_author', {TITLE_KEY.format('m.title')} || '|' || lower(m.author) from mine m join theirs t on {TITLE_KEY.format('m.title')} = {TITLE_KEY.format('t.title')} and lower(m.author) = lower(t.author)""",
+        union all select m.work_key, t.id, 'title_author', {TITLE_KEY.format('m.title')} || '|' || {AUTHOR_KEY.format('m.author')} from mine m join theirs t on {TITLE_KEY.format('m.title')} = {TITLE_KEY.format('t.title')} and lower(m.author) = lower(t.author)""",
 )
 
 
@@ -263,11 +263,17 @@ def dedup_check(t: Tables) -> DataFrame:
     return catalog.dedup_check(mine.withColumn("isbns", F.array("isbn")), theirs)
 
 
-@query("dedup_members", "select how as matched_by, count(distinct value) as n_values, count(distinct id) as n_books, min(id) as first_id, max(id) as last_id from meetings group by 1", *HALVES, MEETINGS)
+@query("dedup_links", "select key as work_key, how as matched_by, value, count(distinct id) as n_books from meetings group by all", *HALVES, MEETINGS)
+def dedup_links(t: Tables) -> DataFrame:
+    mine, theirs = halves(t)
+    links = catalog.dedup_links(mine.withColumn("isbns", F.array("isbn")), theirs)
+    return links.withColumn("value", F.replace("value", F.lit("\u0000"), F.lit("|")))
+
+
+@query("dedup_members", "select distinct how as matched_by, value, id from meetings", *HALVES, MEETINGS)
 def dedup_members(t: Tables) -> DataFrame:
     mine, theirs = halves(t)
-    members = catalog.dedup_members(mine.withColumn("isbns", F.array("isbn")), theirs)
-    return members.groupBy("matched_by").agg(F.count_distinct("value").alias("n_values"), F.count_distinct("id").alias("n_books"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return catalog.dedup_members(mine.withColumn("isbns", F.array("isbn")), theirs).withColumn("value", F.replace("value", F.lit("\u0000"), F.lit("|")))
 
 
 MATCHED = (
@@ -412,11 +418,16 @@ def feed_titles(t: Tables) -> DataFrame:
 
 @query(
     "preferred_editions",
-    "select isbn, work_id, editions, works from (select arg_min(isbn, (rank, isbn)) as isbn, arg_min(work_id, (rank, isbn)) as work_id, sum(n) as editions, count(*) as works from (select work_id, arg_min(title, (rank, isbn)) as title, arg_min(author, (rank, isbn)) as author, min(rank) as rank, arg_min(isbn, (rank, isbn)) as isbn, count(*) as n from titles where rank > 0 group by 1) group by lower(title), lower(author))",
+    """select isbn, work_id, editions, works from (select arg_min(isbn, (rank, isbn)) as isbn, arg_min(work_id, (rank, isbn)) as work_id, sum(n) as editions, count(*) as works from
+       (select work_id, arg_min(title, (rank, isbn)) as title, arg_min(author, (rank, isbn)) as author, min(rank) as rank, arg_min(isbn, (rank, isbn)) as isbn, count(*) as n
+        from (select * replace (case when work_id % 4 = 0 then '***' else title end as title) from titles) where rank > 0 group by 1)
+       group by lower(title), lower(author), case when title = '***' then work_id end)""",
     TITLES,
 )
 def preferred_editions(t: Tables) -> DataFrame:
-    return matching.preferred_editions(feed_titles(t)).select("isbn", "work_id", "editions", "works")
+    """One work in four has a title of which no key is left."""
+    titles = feed_titles(t).withColumn("title", F.when(F.col("work_id") % 4 == 0, "***").otherwise(F.col("title")))
+    return matching.preferred_editions(titles).select("isbn", "work_id", "editions", "works")
 
 
 @query(

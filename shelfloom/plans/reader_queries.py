@@ -145,9 +145,7 @@ def top_picks(t: Tables) -> DataFrame:
     return readers.top_picks(t.user_books, cached(t), t.book_genres)
 
 
-@query(
-    "reader_suggestions",
-    """select reader, place, other, score, reason, case when reason = 'genres' then genres else '' end as genres, both_rated, shared_books from
+SUGGESTIONS = """select reader, place, other, score, reason, case when reason = 'genres' then genres else '' end as genres, both_rated, shared_books from
        (select *, row_number() over (partition by reader order by score desc, round(similarity, 7) desc, shared_books desc, username, other) as place,
                case when similarity > 0 then 'genres' when ratings > 0 then 'ratings' else 'shared_books' end as reason from
         (select p.*, username, round(0.60 * similarity + 0.25 * ratings + 0.15 * shared_books / (b1.books + b2.books - shared_books), 7) as score from
@@ -157,19 +155,32 @@ def top_picks(t: Tables) -> DataFrame:
           left join norms n1 on n1.user_id = coalesce(d.reader, o.reader) left join norms n2 on n2.user_id = coalesce(d.other, o.other)) p
          join (select distinct user_id, books from eligible) b1 on b1.user_id = p.reader join (select distinct user_id, books from eligible) b2 on b2.user_id = p.other join users on users.id = p.other
          where not exists (select 1 from friendships f where (f.user_a = p.reader and f.user_b = p.other) or (f.user_b = p.reader and f.user_a = p.other)))
-        where score > 0) where place <= 12""",
-    ("eligible", "select *, count(*) over (partition by user_id) as books from (select *, case when status = 'read' or user_rating is not null then 1.0 when status = 'currently_reading' then 0.5 end as weight from user_books) where weight > 0 qualify count(*) over (partition by user_id) >= 5"),
-    ("weights", "select user_id, genre, sum(weight) as weight from eligible join book_genres using (book_id) group by 1, 2"),
-    ("norms", "select user_id, sqrt(sum(weight * weight)) as norm from weights group by 1"),
-    ("dots", "select a.user_id as reader, b.user_id as other, sum(a.weight * b.weight) as dot, array_to_string(list_slice(list(a.genre order by -(a.weight + b.weight), a.genre), 1, 2), ',') as genres from weights a join weights b on a.genre = b.genre and a.user_id <> b.user_id where a.user_id % 50 = 0 group by 1, 2"),
-    ("overlap", "select a.user_id as reader, b.user_id as other, count(*) as shared_books, count(1 - abs(a.user_rating - b.user_rating) / 4.0) as both_rated, avg(1 - abs(a.user_rating - b.user_rating) / 4.0) as agreement from eligible a join eligible b on a.book_id = b.book_id and a.user_id <> b.user_id where a.user_id % 50 = 0 group by 1, 2"),
-)
+        where score > 0) where place <= 12"""
+
+
+def _suggestion_views(asking: str) -> tuple[tuple[str, str], ...]:
+    return (
+        ("eligible", "select *, count(*) over (partition by user_id) as books from (select *, case when status = 'read' or user_rating is not null then 1.0 when status = 'currently_reading' then 0.5 end as weight from user_books) where weight > 0 qualify count(*) over (partition by user_id) >= 5"),
+        ("weights", "select user_id, genre, sum(weight) as weight from eligible join book_genres using (book_id) group by 1, 2"),
+        ("norms", "select user_id, sqrt(sum(weight * weight)) as norm from weights group by 1"),
+        ("dots", f"select a.user_id as reader, b.user_id as other, sum(a.weight * b.weight) as dot, array_to_string(list_slice(list(a.genre order by -(a.weight + b.weight), a.genre), 1, 2), ',') as genres from weights a join weights b on a.genre = b.genre and a.user_id <> b.user_id where {asking} group by 1, 2"),
+        ("overlap", f"select a.user_id as reader, b.user_id as other, count(*) as shared_books, count(1 - abs(a.user_rating - b.user_rating) / 4.0) as both_rated, avg(1 - abs(a.user_rating - b.user_rating) / 4.0) as agreement from eligible a join eligible b on a.book_id = b.book_id and a.user_id <> b.user_id where {asking} group by 1, 2"),
+    )
+
+
+@query("reader_suggestions", SUGGESTIONS, *_suggestion_views("a.user_id % 50 = 0"))
 def reader_suggestions(t: Tables) -> DataFrame:
     """A search: for the readers whose id is divisible by 50, against all others."""
     asking = t.users.where("id % 50 = 0").select(F.col("id").alias("user_id"))
     return readers.reader_suggestions(t.user_books, t.book_genres, t.friendships, t.users, readers=asking)
 
 
+@query("reader_suggestions_all", SUGGESTIONS, *_suggestion_views("true"))
+def reader_suggestions_all(t: Tables) -> DataFrame:
+    """For every reader."""
+    return readers.reader_suggestions(t.user_books, t.book_genres, t.friendships, t.users, readers=t.users.select(F.col("id").alias("user_id")))
+
+
 FIRST = ("firsts", "select user_id, date_trunc('month', finished_on) as month, book_id, min((finished_on, created_at, id)) as f, arg_min(finished_on, (finished_on, created_at, id)) as day from activities where type = 'finished_reading' and finished_on is not null group by all")
 
 
