@@ -11,6 +11,7 @@ from ..functions import editions as ed
 from ..functions.text import display_text, other_script, title_key, work_identity
 from ..sources.dumps import SHELVES, WORK_KEY, rating_reason, shelf_reason
 from ..sources.files import cut
+from ..sources.keyed import KeyedTable
 from .quality import first_reason
 
 
@@ -293,6 +294,45 @@ def upsert_books(books: DataFrame, updates: DataFrame, key: str, fields: list[st
     return joined.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *(F.coalesce(f"b.{f}", f"a.{f}").alias(f) for f in fields), action.alias("action"))
 
 
+#: Hosts of covers, and those whose covers never take the place of theirs.
+COVERS, LESSER_COVERS = ("covers.openlibrary.org",), ("books.google.com", "books.googleusercontent.com", "lh3.googleusercontent.com")
+
+
+def _host(url: Column) -> Column:
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
+def upsert_catalog(books: KeyedTable, links: KeyedTable, updates: DataFrame, genres: DataFrame, cover: str = "cover_url") -> DataFrame:
+    """Books by ISBN after updates (isbn and fields, one row an ISBN) and their genres (isbn, genre): isbn, outcome.
+
+    A null field leaves what is there, a cover of LESSER_COVERS leaves one of COVERS, and genre links are only
+    added. created, updated (a field or a link is new) or unchanged. Only the buckets of created and updated
+    books are written, both tables under one version; an update that changes nothing writes nothing.
+    """
+    fields = [c for c in books.columns if c not in books.key]
+    only = books.touched(updates)
+    now = books.read(only=only).select(*books.key, F.struct(*fields).alias("now"))
+    value = {f: F.col(f) for f in fields}
+    if cover in fields:
+        keeps = F.coalesce(_host(F.col(cover)).isin(*LESSER_COVERS) & _host(F.col(f"now.{cover}")).isin(*COVERS), F.lit(False))
+        value[cover] = F.when(~keeps, F.col(cover))
+    rows = updates.join(now, books.key, "left")
+    new = cut(genres.join(links.read(only=links.touched(genres)), links.key, "left_anti").join(updates.select(*books.key), books.key, "left_semi").select(*links.columns).distinct(), "links")
+    linked = new.select(*books.key, F.lit(True).alias("linked")).distinct()
+    differs = F.lit(False)
+    for f in fields:
+        differs = differs | (value[f].isNotNull() & ~value[f].eqNullSafe(F.col(f"now.{f}")))
+    outcome = F.when(F.col("now").isNull(), "created").when(differs | F.coalesce("linked", F.lit(False)), "updated").otherwise("unchanged")
+    judged = rows.join(linked, books.key, "left").select(*books.key, *(F.coalesce(value[f], F.col(f"now.{f}")).alias(f) for f in fields), outcome.alias("outcome"))
+    judged = cut(judged, "judged")
+    changed = judged.where("outcome <> 'unchanged'")
+    if not changed.isEmpty():
+        over = lambda old, more: old.join(more.select(*books.key), books.key, "left_anti").unionByName(more)
+        version = books.upsert(changed.select(*books.columns), over)
+        links.upsert(new, lambda old, more: old.unionByName(more), version)
+    return judged.select(*books.key, "outcome")
+
+
 def link_changes(wanted: DataFrame, present: DataFrame) -> DataFrame:
     """(book_id, genre, change): links to add, and links to remove from books that `wanted` has."""
     add = wanted.join(present, ["book_id", "genre"], "left_anti").withColumn("change", F.lit("add"))

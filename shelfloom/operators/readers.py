@@ -93,25 +93,51 @@ def feed_items(activities: DataFrame, friendships: DataFrame, reader: int | None
     return recent.join(edges, (recent["user_id"] == edges["friend"]) & (recent["created_at"] >= edges["since"]))
 
 
-def friend_feed(
-    activities: DataFrame, friendships: DataFrame, users: DataFrame, books: DataFrame, *, reader: int | None = None, before: tuple[Column, Column] | None = None, limit: int = 20
-) -> DataFrame:
-    """The newest feed items of each reader: a page of `limit`, and whether more follow.
+def feed_page(activities: DataFrame, friendships: DataFrame, *, reader: int | None = None, before: tuple[Column, Column] | None = None, limit: int = 20) -> DataFrame:
+    """The newest feed items of each reader: a page of `limit` activities with reader, place, and whether more follow.
 
-    before: (created_at, id) of the last item of the page before.
+    before: (created_at, id) of the last item of the page before. Of a friend only the newest limit + 1 that
+    are neither historical nor at or after `before` can stand on anyone's page, so only those meet readers.
     """
-    items = feed_items(activities, friendships, reader)
+    recent = activities.where(~F.col("historical"))
     if before is not None:
         at, key = before
-        items = items.where((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") < key)))
+        recent = recent.where((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") < key)))
+    newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id")))
+    recent = recent.withColumn("_newest", newest).where(F.col("_newest") <= limit + 1).drop("_newest")
+    edges = both_ways(friendships)
+    if reader is not None:
+        edges = edges.where(F.col("reader") == reader)
+    items = recent.join(edges, (recent["user_id"] == edges["friend"]) & (recent["created_at"] >= edges["since"]))
     order = Window.partitionBy("reader").orderBy(F.desc("created_at"), F.desc("id"))
     ranked = items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit + 1)
     more = F.max("place").over(Window.partitionBy("reader")) > limit
-    page = ranked.withColumn("more", more).where(F.col("place") <= limit)
+    return ranked.withColumn("more", more).where(F.col("place") <= limit)
+
+
+def friend_feed(
+    activities: DataFrame, friendships: DataFrame, users: DataFrame, books: DataFrame, *, reader: int | None = None, before: tuple[Column, Column] | None = None, limit: int = 20
+) -> DataFrame:
+    """feed_page with the names of actors and books."""
+    page = feed_page(activities, friendships, reader=reader, before=before, limit=limit)
     page = page.join(users.select(F.col("id").alias("user_id"), "username"), "user_id")
     return page.join(books.select(F.col("id").alias("book_id"), "title"), "book_id").select("reader", "place", "id", "type", "username", "title", "created_at", "more")
 
 
+def feed_details(page: DataFrame, users: DataFrame, books: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Items of feed_page as they are shown: actor, book and, for a review that still stands, review as nested values.
+
+    The review's text is the activity's snapshot, not what the review says now. page: also rating, review_id
+    and snapshot of its activities.
+    """
+    actor = users.select(F.col("id").alias("user_id"), F.struct("id", "username", "bio").alias("actor"))
+    book = books.select(F.col("id").alias("book_id"), F.struct("id", "title", "author", "isbn").alias("book"))
+    standing = reviews.select(F.col("id").alias("review_id"), F.lit(True).alias("stands"))
+    out = page.join(actor, "user_id").join(book, "book_id").join(standing, "review_id", "left")
+    review = F.when((F.col("type") == "reviewed_book") & F.col("stands"), F.struct(F.col("review_id").alias("id"), F.col("snapshot").alias("text")))
+    return out.select("reader", "place", "id", "type", "created_at", "actor", "book", "rating", review.alias("review"), "more")
+
+
 def _rank(*first: Column) -> list[Column]:
     """The order of recommended books, after the columns given."""
     return [*first, F.desc("ratings_count"), F.col("average_rating").desc_nulls_last(), F.col("publication_year").desc_nulls_last(), F.asc("book_id")]

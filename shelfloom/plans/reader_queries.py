@@ -125,6 +125,29 @@ def friend_feed_page(t: Tables) -> DataFrame:
     return readers.friend_feed(t.activities, t.friendships, t.users, t.books, reader=12, before=(F.lit("1998-06-01").cast("timestamp"), F.lit("5")))
 
 
+@query(
+    "friend_feed_details",
+    """select f.reader, f.place, f.id, f.type, u.id as actor_id, u.username as actor, b.id as book_id, b.isbn, f.rating, case when f.type = 'reviewed_book' and f.review_id % 10 <> 3 then f.review_id end as review_id, case when f.type = 'reviewed_book' and f.review_id % 10 <> 3 then f.snapshot end as review_text, f.more
+       from (select *, max(place) over (partition by reader) > 20 as more from (select a.*, e.reader, row_number() over (partition by e.reader order by a.created_at desc, a.id desc) as place
+             from acts a join edges e on e.friend = a.user_id and a.created_at >= e.since where not a.historical) where place <= 21) f join users u on u.id = f.user_id join books b on b.id = f.book_id where place <= 20""",
+    EDGES,
+    ("acts", """select id, user_id, book_id, type, historical, created_at, null::int as rating, null::bigint as review_id, null::varchar as snapshot from activities
+        union all select 'r' || id, user_id, book_id, 'reviewed_book', id % 7 = 0, created_at, rating, id, 'text of ' || id from reviews"""),
+)
+def friend_feed_details(t: Tables) -> DataFrame:
+    """Activities and reviews, of which one in ten was taken back since, as nested items."""
+    none = {"rating": F.lit(None).cast("int"), "review_id": F.lit(None).cast("bigint"), "snapshot": F.lit(None).cast("string")}
+    plain = t.activities.withColumns(none).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    key = F.col("id")
+    of_reviews = t.reviews.select(
+        F.concat(F.lit("r"), key.cast("string")).alias("id"), "user_id", "book_id", F.lit("reviewed_book").alias("type"), (key % 7 == 0).alias("historical"), F.col("created_at").cast("timestamp").alias("created_at"),
+        "rating", key.alias("review_id"), F.concat(F.lit("text of "), key.cast("string")).alias("snapshot"),
+    )
+    page = readers.feed_page(plain.select(of_reviews.columns).unionByName(of_reviews), t.friendships)
+    shown = readers.feed_details(page, t.users, t.books, t.reviews.where("id % 10 <> 3"))
+    return shown.select("reader", "place", "id", "type", F.col("actor.id").alias("actor_id"), F.col("actor.username").alias("actor"), F.col("book.id").alias("book_id"), "book.isbn", "rating", F.col("review.id").alias("review_id"), F.col("review.text").alias("review_text"), "more")
+
+
 @query(
     "top_picks",
     """select user_id, place, book_id, score, reason, label from (select *, row_number() over (partition by user_id order by score desc, ratings_count desc, average_rating desc nulls last, publication_year desc nulls last, book_id) as place from

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, editions, isbn
-from ..operators import catalog, genres, matching, publisher, quality, readers
+from ..operators import catalog, consolidate, genres, matching, publisher, quality, readers
 from ..sources import dumps, files, providers
+from ..sources.index import SnapshotIndex
+from ..sources.keyed import KeyedTable
 from .reader_queries import FINGERPRINT
 from .registry import query
 from .views import Tables
@@ -288,14 +290,128 @@ def book_metadata(t: Tables) -> DataFrame:
 @query("edition_quality", "select key, 1 + (len(languages) > 0)::int + (format <> '')::int + (cover > 0)::int + (publish_date is not null and publish_date not like 'circa%')::int as quality, cover as covers from editions")
 def edition_quality(t: Tables) -> DataFrame:
     """Completeness in eight parts, and the covers part of a work's seven."""
+    return parts(t).select("key", matching.edition_quality().alias("quality"), matching.work_quality()["covers"].cast("bigint").alias("covers"))
+
+
+def parts(t: Tables) -> DataFrame:
+    """Editions with the lists that make them complete."""
     none = F.array().cast("array<string>")
     some = lambda c, when: F.when(when, F.array(c.cast("string"))).otherwise(none)
     year = dates.year_in(F.col("publish_date"), 2030)
-    rows = t.editions.select(
-        "key", "languages", F.array("author").alias("authors"), none.alias("publishers"), some(F.col("format"), F.col("format") != "").alias("formats"), F.array_repeat(F.lit("c"), F.col("cover").cast("int")).alias("covers"),
+    return t.editions.select(
+        "key", "work_key", "title", "author", "languages", F.array("author").alias("authors"), none.alias("publishers"), some(F.col("format"), F.col("format") != "").alias("formats"), F.array_repeat(F.lit("c"), F.col("cover").cast("int")).alias("covers"),
         none.alias("descriptions"), some(year, year.isNotNull()).alias("years"), none.alias("subjects"), F.array("isbn").alias("isbns"), F.col("key").alias("edition_id"),
     )
-    return rows.select("key", matching.edition_quality().alias("quality"), matching.work_quality()["covers"].cast("bigint").alias("covers"))
+
+
+#: Editions as candidates of two providers; some without an edition id, some of those with another edition's ISBN, some with none.
+CANDIDATES = (
+    "candidates",
+    """select key as id, work_key as work_id, title, author, languages, case when cover = 4 then 'b' else 'a' end as provider, case when cover < 2 then key when cover = 2 then split_part(key, '0', 1) end as edition_id,
+       case when cover = 3 then [] else [isbn] end as isbns, format, cover, publish_date is not null and publish_date not like 'circa%' as has_year from editions""",
+)
+FOREIGN = "len(languages) > 0 and not list_contains(languages, '/languages/eng')"
+
+
+def candidates(t: Tables) -> DataFrame:
+    rows = parts(t).join(t.editions.select("key", "cover"), "key")
+    cover = F.col("cover")
+    edition = F.when(cover < 2, F.col("key")).when(cover == 2, F.split_part("key", F.lit("0"), F.lit(1)))
+    return rows.select(
+        F.col("key").alias("id"), F.col("work_key").alias("work_id"), "title", "author", "languages", F.when(cover == 4, "b").otherwise("a").alias("provider"), edition.alias("edition_id"),
+        F.when(cover == 3, F.array().cast("array<string>")).otherwise(F.col("isbns")).alias("isbns"), "authors", "publishers", "formats", "covers", "descriptions", "years", "subjects",
+    )
+
+
+@query(
+    "consolidated_works",
+    f"""select arg_min(id, rank) as id, count(*) as members, array_to_string(list_sort(list(distinct work_id)), ',') as work_ids from
+        (select *, case when {FOREIGN} then id end as alone, (case when edition_id is not null then -2 else 0 end, -len(isbns), -len(languages), -cover, -(has_year::int), id) as rank from candidates) group by title, author, alone""",
+    CANDIDATES,
+)
+def consolidated_works(t: Tables) -> DataFrame:
+    out = consolidate.consolidate_works(candidates(t), ["title", "author"])
+    return out.select("id", "members", F.array_join("work_ids", ",").alias("work_ids"))
+
+
+@query(
+    "work_members",
+    f"""select id, row_number() over (partition by title, author, alone order by edition_id is not null desc, len(isbns) desc, len(languages) desc, cover desc, has_year desc, id) as place from
+        (select *, case when {FOREIGN} then id end as alone from candidates)""",
+    CANDIDATES,
+)
+def work_members(t: Tables) -> DataFrame:
+    return consolidate.work_members(candidates(t), ["title", "author"]).select("id", "place")
+
+
+@query(
+    "consolidated_editions",
+    """select identity, arg_min(id, (-(1 + (len(languages) > 0)::int + (format <> '')::int + (cover > 0)::int + has_year::int), id)) as id, count(*) as members from
+       (select *, provider || case when edition_id is not null then ':edition:' || edition_id when len(isbns) > 0 then ':isbn:' || isbns[1] else ':candidate:' || id end as identity from candidates) group by 1""",
+    CANDIDATES,
+)
+def consolidated_editions(t: Tables) -> DataFrame:
+    return consolidate.consolidate_editions(candidates(t)).select("identity", "id", "members")
+
+
+@query("edition_completeness", "select id, 2 + (len(languages) > 0)::int + (format <> '')::int + (cover > 0)::int + has_year::int as parts from candidates", CANDIDATES)
+def edition_completeness(t: Tables) -> DataFrame:
+    years = F.transform("years", lambda y: y.cast("int"))
+    return candidates(t).withColumn("years", years).select("id", consolidate.metadata_completeness(2030).alias("parts"))
+
+
+def _index(t: Tables) -> SnapshotIndex:
+    """Books, one in three of them twice, as an index of a name of its own."""
+    path = files.scratch_dir(t.spark, "index")
+    rows = t.books.select(F.col("isbn").alias("isbn13"), "title", "author")
+    return SnapshotIndex(t.spark, path, "index_" + path.rsplit("-", 1)[1], buckets=8).build(rows.unionByName(rows.where("cast(substr(isbn13, 12, 1) as int) % 3 = 0")))
+
+
+@query(
+    "index_links",
+    "select b.id as key, 'isbns' as method, b.isbn as value, 1 as n from books b union all select b.id, 'works', lower(b.title) || '|' || lower(regexp_replace(b.author, '[^A-Za-z0-9]+', ' ', 'g')), w.n from books b join (select title, author, count(*) as n from books group by all) w on w.title = b.title and w.author = b.author",
+)
+def index_links(t: Tables) -> DataFrame:
+    """All books as sources against the index of all books."""
+    sources = t.books.select(F.col("id").alias("key"), "isbn", "title", "author")
+    return _index(t).links(sources).withColumn("value", F.replace("value", F.lit("\u0000"), F.lit("|")))
+
+
+@query("index_members", "select b.isbn as isbn13, b.title from books b where (b.title, b.author) in (select (title, author) from books where id % 3 = 0)")
+def index_members(t: Tables) -> DataFrame:
+    """The records of the works and ISBNs of a third of the books."""
+    index = _index(t)
+    links = index.links(t.books.where("id % 3 = 0").select(F.col("id").alias("key"), "isbn", "title", "author"))
+    keys = index.members(links).select("record_key").distinct()
+    return index.table("records").join(keys, "record_key").select("isbn13", "title")
+
+
+@query(
+    "upserted_catalog",
+    """select b.isbn, case when id % 3 <> 0 then 'kept' when id % 7 = 0 then 'created' when id % 4 = 1 or id % 5 = 2 or id % 11 = 0 then 'updated' else 'unchanged' end as outcome,
+              case when id % 3 = 0 and (id % 4 = 1 or id % 7 = 0) then upper(title) else title end as title,
+              case when id % 3 = 0 and (id % 5 = 2 or id % 7 = 0 and id % 5 in (1, 3)) then 'https://books.google.com/' || id when id % 7 = 0 and id % 3 = 0 then null when id % 5 = 2 then null when id % 2 = 0 or id % 5 = 1 then 'https://covers.openlibrary.org/' || id else 'https://books.google.com/' || id end as cover_url,
+              case when id % 7 <> 0 then 1 else 0 end + case when id % 3 = 0 and (id % 11 = 0 or id % 7 = 0) then 1 else 0 end as genres
+       from books b where id % 3 = 0 or id % 7 <> 0""",
+)
+def upserted_catalog(t: Tables) -> DataFrame:
+    """New books, changed titles, covers that may and may not be replaced, genres that are new and known; the rest keeps its files."""
+    i, path = F.col("id"), files.scratch_dir(t.spark, "catalog")
+    other, own = F.concat(F.lit("https://books.google.com/"), i.cast("string")), F.concat(F.lit("https://covers.openlibrary.org/"), i.cast("string"))
+    books = KeyedTable(t.spark, f"{path}/books", "isbn string, title string, cover_url string", ["isbn"], buckets=16)
+    links = KeyedTable(t.spark, f"{path}/links", "isbn string, genre string", ["isbn", "genre"], buckets=16)
+    old = t.books.where("id % 7 <> 0")
+    cover = F.when(i % 5 == 2, F.lit(None)).when((i % 2 == 0) | (i % 5 == 1), own).otherwise(other)
+    replace = lambda before, rows: rows
+    books.upsert(old.select("isbn", "title", cover.alias("cover_url")), replace)
+    links.upsert(old.select("isbn", F.lit("one").alias("genre")), replace)
+    updates = t.books.where("id % 3 = 0")
+    title = F.when((i % 4 == 1) | (i % 7 == 0), F.upper("title")).when(i % 4 == 2, F.col("title"))
+    fresh = F.when((i % 5 == 2) | (i % 5 == 1) | ((i % 7 == 0) & (i % 5 == 3)), other)
+    genres = updates.select("isbn", F.when((i % 11 == 0) & (i % 7 != 0), "two").otherwise("one").alias("genre"))
+    outcome = catalog.upsert_catalog(books, links, updates.select("isbn", title.alias("title"), fresh.alias("cover_url")), genres)
+    n = links.read().groupBy("isbn").agg(F.count("*").alias("genres"))
+    return books.read().join(outcome, "isbn", "left").join(n, "isbn", "left").select("isbn", F.coalesce("outcome", F.lit("kept")).alias("outcome"), "title", "cover_url", F.coalesce("genres", F.lit(0)).alias("genres"))
 
 
 KINDS = {0: ("Audio CD", "audiobook"), 1: ("Kindle Edition", "ebook"), 2: ("Large Print", "large_print"), 3: ("Boxed Set", "boxed_set"), 4: ("Wall calendar", "calendar"), 5: ("Blank book", "journal"), 6: ("Tarot deck", "cards"), 7: ("Jigsaw puzzle", "non_book")}
