@@ -1,8 +1,9 @@
 """Main text of web pages by two passes of block rules.
 
-Elements and class names only say what surrounds an article. Of what is left, the first pass decides blocks
-by link density, length and stop-word density, inside an article as elsewhere; short and doubtful ones
-inherit in the second pass from the nearest blocks that are decided.
+The first pass decides blocks by link density, length and stop-word density, so that menus and lists of links
+go wherever they stand; short and doubtful blocks inherit in the second pass from the nearest blocks that are
+decided, within an article or outside one. Elements and class names are asked only for what densities can't
+see: prose that is no article, such as adverts, notices, forms, footers and readers' comments.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import slices
+
 #: Frequent words of the languages that pages are written in.
 STOP_WORDS = {
     "en": "the of and to a in is that for it as was with be by on not he his but at are this have from or had an they which you were her all she there would their we him been has when who will more no if out so what up said about",
@@ -23,17 +26,17 @@ STOP_WORDS = {
     "fr": "le de un et à il que ne je son pour qui dans ce des les la en du une au est pas sur se plus par avec tout mais nous ou leur si elle on sont cette aux ont été ces",
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde",
 }
-#: Elements that hold no article text, elements that hold it, elements that end a block.
-OUTSIDE = set("nav header footer aside form button select textarea noscript template iframe object svg canvas dialog menu head title".split())
+#: Elements whose text, though it may read like prose, is no article's; elements that hold one; elements that end a block.
+OUTSIDE = set("header footer aside form button select textarea noscript template iframe object svg canvas dialog head title".split())
 INSIDE = {"article", "main"}
 RAW = ("script", "style")
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul option select textarea button noscript template iframe object svg canvas".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-#: Parts of class names, ids and roles of what surrounds an article.
+#: Parts of class names, ids and roles of what surrounds an article and may read like prose.
 AROUND = set(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter "
-    "subscribe subscription signup login share sharing social sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead header comment comments "
-    "reply replies respond disqus related recommended recommendations widget pagination pager search toolbar contentinfo complementary".split()
+    "subscribe subscription signup login share sharing social sidebar footer masthead header comment comments "
+    "reply replies respond disqus related recommended recommendations widget search contentinfo complementary".split()
 )
 #: Words of class names with which `header` means an article's own head.
 OWN_HEAD = set("article post entry story content section page".split())
@@ -192,13 +195,36 @@ def second_pass(first: list[str], inside: bool) -> list[str]:
     return out
 
 
+def decided(blocks: list[Block]) -> tuple[list[str], list[str]]:
+    """The kinds of blocks after the first pass and after the second.
+
+    What elements or class names exclude is bad and nobody's neighbour. Blocks of an article inherit from
+    that article's, others from others. Beside an article, what has no decided neighbour is bad; on a page
+    without one, undecided blocks are good if no block is.
+    """
+    first = ["bad" if b.outside else first_pass(b) for b in blocks]
+    kinds = list(first)
+    article = any(b.inside and not b.outside for b in blocks)
+    for inside in (True, False):
+        here = [k for k, b in enumerate(blocks) if b.inside == inside and not b.outside]
+        found = {first[k] for k in here}
+        if article and not inside and not found & {"good", "bad"}:
+            second = ["bad"] * len(here)
+        elif not article and "good" not in found:
+            second = ["bad" if first[k] == "bad" else "good" for k in here]
+        else:
+            second = second_pass([first[k] for k in here], inside)
+        for k, kind in zip(here, second, strict=True):
+            kinds[k] = kind
+    return first, kinds
+
+
 def main_blocks(page: str) -> list[str]:
-    blocks = [b for b in blocks_of(page) if not b.outside]
-    inside = any(b.inside for b in blocks)
-    if inside:
-        blocks = [b for b in blocks if b.inside]
-    kinds = second_pass([first_pass(b) for b in blocks], inside)
-    return [b.text for b, kind in zip(blocks, kinds, strict=True) if kind == "good"]
+    """The good blocks; beside an article that has some, prose that no element marks is not its text."""
+    blocks = blocks_of(page)
+    good = [b for b, kind in zip(blocks, decided(blocks)[1], strict=True) if kind == "good"]
+    own = [b for b in good if b.inside]
+    return [b.text for b in own or good]
 
 
 def main_text(page: str | None) -> str:
@@ -214,10 +240,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(page) for page in batch.column(2).to_pylist()]
-            sizes = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
+        for whole in batches:
+            for batch in slices(whole, 2):
+                texts = [main_text(page) for page in batch.column(2).to_pylist()]
+                sizes = pa.array([len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
     columns = F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html"
     return pages.select(*columns).mapInArrow(run, "page_id long, url string, text string, n_chars long")

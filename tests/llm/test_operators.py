@@ -448,6 +448,19 @@ def test_long_and_deep_pages_take_time_in_proportion():
     assert time.time() - start < 20
 
 
+def test_both_passes_decide_on_pages_of_the_tables(spark):
+    """What no element excludes the first pass thins out on every page, and on most the second restores short blocks; the text is the article's."""
+    rejected = restored = 0
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()
+    for (page,) in rows:
+        blocks = html_text.blocks_of(page)
+        first, last = html_text.decided(blocks)
+        rejected += any(kind == "bad" for b, kind in zip(blocks, first, strict=True) if not b.outside)
+        restored += any(one in ("near", "short") and two == "good" for one, two in zip(first, last, strict=True))
+        assert [b.text for b, kind in zip(blocks, last, strict=True) if kind == "good"] == [b.text for b in blocks if b.inside and not b.outside]
+    assert rejected > 0.9 * len(rows) and restored > 0.5 * len(rows)
+
+
 def test_pages_of_the_tables(spark):
     rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op4_html(spark, SF).collect():
