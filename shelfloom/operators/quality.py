@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,29 @@ def reason_counts(rows: DataFrame, codes: Sequence[str], column: str = "reject_r
     return names.join(counts, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def write_counted(rows: DataFrame, path: str, codes: Sequence[str], column: str = "reject_reason") -> DataFrame:
+    """Writes the rows without a reason, and gives (reason, n) of all, counted in the pass that writes; zeros included.
+
+    Fails if the counts of `codes` and of accepted rows don't make up the input: a reason that isn't listed.
+    """
+    seen = Observation()
+    counts = [F.count("*").alias("input"), F.count_if(F.col(column).isNull()).alias("accepted"), *(F.count_if(F.col(column) == c).alias(c) for c in codes)]
+    rows.observe(seen, *counts).where(F.col(column).isNull()).drop(column).write.parquet(path)
+    found = seen.get
+    if found["input"] != found["accepted"] + sum(found[c] for c in codes):
+        raise ValueError(f"{found['input']} rows are not the sum of {found}")
+    return rows.sparkSession.createDataFrame([(name, found[name]) for name in [*codes, "accepted"]], "reason string, n long")
+
+
+def counts_by(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(by, value, n): rows by each of the columns, all in one pass of grouping sets."""
+    sets = rows.groupingSets([[F.col(c)] for c in columns], *(F.col(c) for c in columns)).agg(F.count("*").alias("n"), *(F.grouping(c).alias(f"_{c}") for c in columns))
+    by, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for c in columns:
+        by, value = F.when(F.col(f"_{c}") == 0, c).otherwise(by), F.when(F.col(f"_{c}") == 0, F.col(c).cast("string")).otherwise(value)
+    return sets.select(by.alias("by"), value.alias("value"), "n")
+
+
 def broken_rules(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
     """(rule, n): how many rows break each rule, all rules in one pass."""
     counts = rows.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(code) for code, c in rules))

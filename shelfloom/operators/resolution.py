@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import editions as ed
 from ..functions.isbn import isbn13
 from ..functions.text import author_key, stable_key, title_key, work_identity
-from ..sources.files import cut
+from ..sources.files import canonical_json, cut
 from . import matching
 from .catalog import import_reason
 from .quality import first_reason
@@ -164,6 +164,38 @@ def choose_works(sources: DataFrame, works: DataFrame, margin: int = 8) -> DataF
     return keyed.join(best, ["s_ak", "s_tk", "s_base"]).select("key", "work_id", "score", "members", "status")
 
 
+RESOLVED = "key bigint, fingerprint string, work_id bigint, score int, members bigint, status string, provider string"
+
+
+def resolve(sources: DataFrame, resolved: DataFrame, primary: DataFrame, secondary: DataFrame, margin: int = 8) -> DataFrame:
+    """sources (key, title, author) resolved anew where they have to be: RESOLVED and how (carried or matched).
+
+    An entry of `resolved` whose fingerprint is still the source's is carried over as it is. Only missing and
+    changed sources are matched with the primary provider's works, and only those of them without a clear
+    winner with the secondary's. Entries without a source are left out.
+    """
+    asked = cut(sources.withColumn("fingerprint", F.sha2(canonical_json(["title", "author"]), 256)), "asked")
+    states = matching.source_status(asked.select("key", "fingerprint"), resolved.select("key", "fingerprint", "status"))
+    open_keys = cut(states.where("state in ('missing', 'stale')").select("key"), "open")
+    todo = asked.join(open_keys, "key", "left_semi")
+    columns = ["key", "fingerprint", "work_id", "score", "members", "status", "provider"]
+    kept = resolved.join(asked.select("key"), "key", "left_semi").join(open_keys, "key", "left_anti").select(*columns, F.lit("carried").alias("how"))
+
+    def matched(rows: DataFrame, works: DataFrame, provider: str) -> DataFrame:
+        found = choose_works(rows.select("key", "title", "author"), works, margin)
+        return rows.select("key", "fingerprint").join(found, "key").select("key", "fingerprint", "work_id", "score", F.col("members").cast("bigint").alias("members"), "status", F.lit(provider).alias("provider"))
+
+    first = cut(matched(todo, primary, "primary"), "first")
+    won = first.where("status = 'selected'")
+    rest = cut(todo.join(won.select("key"), "key", "left_anti"), "rest")
+    second = first.limit(0) if rest.isEmpty() else cut(matched(rest, secondary, "secondary"), "second")
+    # without a clear winner of either, the second's answer stands, then the first's
+    left = rest.select("key", "fingerprint").join(second.drop("fingerprint"), "key", "left_anti").join(first.drop("fingerprint"), "key", "left")
+    left = left.select("key", "fingerprint", "work_id", "score", "members", F.coalesce("status", F.lit("no_match")).alias("status"), "provider")
+    new = won.select(columns).unionByName(second.select(columns)).unionByName(left.select(columns))
+    return kept.unionByName(new.withColumn("how", F.lit("matched")))
+
+
 def targeted_extract(sources: DataFrame, editions: DataFrame, authors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Editions that a source asks for by ISBN, or by title and first author; and how author keys resolve.
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, editions, isbn, text
-from ..operators import catalog, matching
+from ..operators import catalog, matching, quality
 from ..operators.quality import all_reasons, first_reason, reason_counts
 from ..sources import dumps
+from ..sources.files import scratch_dir
 from .registry import query
 from .views import Tables
 
@@ -115,6 +116,13 @@ def ingest_work_rejects(t: Tables) -> DataFrame:
     return rows.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query("counted_ingest", "select coalesce(reject_reason, 'accepted') as reason, count(*) as n from line_reasons group by 1", LINES, WORK_REASON)
+def counted_ingest(t: Tables) -> DataFrame:
+    """The same counts, taken in the pass that writes the accepted works."""
+    rows = dumps.work_rows(dumps.dump_rows(work_lines(t)))
+    return quality.write_counted(rows, scratch_dir(t.spark, "works"), dumps.WORK_REASONS).where("n > 0")
+
+
 @query("ingest_works", "select work_key as key, max(revision) as revision, any_value(title) as title, 'About ' || any_value(title) as description from line_reasons where reject_reason is null group by 1", LINES, WORK_REASON)
 def ingest_works(t: Tables) -> DataFrame:
     rows = dumps.work_rows(dumps.dump_rows(work_lines(t))).where("reject_reason is null")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import dates, editions, isbn
 from ..operators import catalog, consolidate, genres, matching, publisher, quality, readers
-from ..sources import dumps, files, providers
+from ..sources import dumps, files, lines, providers
 from ..sources.index import SnapshotIndex
 from ..sources.keyed import KeyedTable
 from .reader_queries import FINGERPRINT
@@ -54,6 +54,30 @@ def csv_catalog_errors(t: Tables) -> DataFrame:
     return counts(files.catalog_errors(files.read_csv(t.spark, path, ["title", "author", "isbn"])))
 
 
+@query(
+    "csv_error_lines",
+    """select line, case when id % 7 = 1 then 'missing_title' end as first, id % 5 = 2 as no_author from
+       (select id, 1 + sum(1 + (id % 4 = 0)::int + (id % 6 = 0)::int) over (order by id rows unbounded preceding) - (id % 4 = 0)::int as line from books) where id % 7 = 1 or id % 5 = 2""",
+)
+def csv_error_lines(t: Tables) -> DataFrame:
+    """Books as one CSV file with quoted line breaks and empty lines between: the lines of those with errors."""
+    path = files.scratch_dir(t.spark, "csv")
+    title = F.when(nth() % 7 == 1, F.when(nth() % 4 == 0, F.lit('" \n "')).otherwise("")).otherwise(F.concat(F.lit('"'), "title", F.when(nth() % 4 == 0, F.lit('\n""second"" line"')).otherwise(F.lit('"'))))
+    line = F.concat_ws(",", title, F.when(nth() % 5 != 2, F.col("author")).otherwise(""), "isbn")
+    rows = t.books.select(nth().alias("id"), F.concat(F.when(nth() % 6 == 0, F.lit("\n")).otherwise(""), line).alias("value"))
+    head = t.spark.range(1).select((F.col("id") - 1).alias("id"), F.lit("Title,author,ISBN").alias("value"))
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("id").select("value").write.text(path)
+    found = files.catalog_errors(lines.read_csv_lines(t.spark, path, ["title", "author", "isbn"])).where("size(errors) > 0")
+    return found.select("line", F.when(F.col("title").isNull(), F.get("errors", F.lit(0))).alias("first"), F.array_contains("errors", F.lit("missing_author")).alias("no_author"))
+
+
+@query("counts_by_column", "select 'lang' as by, lang as value, count(*) as n from documents group by 2 union all select 'source', source, count(*) from documents group by 2 union all select 'long', (n_chars > 1000)::varchar, count(*) from documents group by 2")
+def counts_by_column(t: Tables) -> DataFrame:
+    """Three summaries in one pass."""
+    rows = t.raw("documents").select("lang", "source", (F.col("n_chars") > 1000).alias("long"))
+    return quality.counts_by(rows, ["lang", "source", "long"])
+
+
 @query(
     "csv_date_errors",
     errors_sql([("invalid_isbn", "id % 3 = 0"), ("invalid_date", "id % 5 = 0"), ("invalid_source_url", "id % 7 = 0")], "books"),

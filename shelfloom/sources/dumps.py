@@ -50,6 +50,10 @@ def keys_of(name: str, path: str = "$.key") -> Column:
     return F.array_distinct(F.filter(keys, lambda x: x.isNotNull()))
 
 
+#: Why a line of a works dump is no work, in the order in which a reason is looked for.
+WORK_REASONS = ("malformed_dump_row", "invalid_json", "wrong_record_type", "malformed_row", "invalid_key", "missing_title")
+
+
 def work_rows(dump: DataFrame) -> DataFrame:
     """Dump rows as works; later reasons are for rows that parse but aren't works."""
     is_object = F.coalesce(F.startswith(F.schema_of_variant("payload"), F.lit("OBJECT")), F.lit(False))
