@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
@@ -26,8 +27,9 @@ def _own_dir(application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix="shelfloom-")
 
 
-#: Folders of tables that staged() wrote and nobody has deleted yet, by application, each with the table that reads it.
-_written: dict[str, dict[str, DataFrame]] = {}
+#: Folders of tables that staged() wrote and nobody has deleted yet, by application, each with the table that reads it
+#: while somebody else holds that: a register must not keep plans in the driver's memory.
+_written: dict[str, dict[str, weakref.ref[DataFrame]]] = {}
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -38,10 +40,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     own = _written.setdefault(spark.sparkContext.applicationId, {})
-    own[path] = df
+    own[path] = weakref.ref(df)
     df.write.option("compression", "zstd").parquet(path)
-    own[path] = spark.read.schema(df.schema).parquet(path)
-    return own[path]
+    table = spark.read.schema(df.schema).parquet(path)
+    own[path] = weakref.ref(table)
+    return table
 
 
 def _delete(spark: SparkSession, paths: set[str]) -> None:
@@ -55,7 +58,7 @@ def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more: a loop's last round, once the next one is written."""
     for df in tables:
         own = _written.get(df.sparkSession.sparkContext.applicationId, {})
-        _delete(df.sparkSession, {path for path, table in own.items() if table is df})
+        _delete(df.sparkSession, {path for path, table in own.items() if table() is df})
 
 
 @contextmanager
