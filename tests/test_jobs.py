@@ -220,10 +220,9 @@ def test_monthly_finishes_over_weeks_and_batches(spark, tmp_path):
         df = spark.createDataFrame(rows, "user_id long, book_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        cmd.upsert_batches(cmd.monthly_finishes(stream), str(tmp_path / "table"), str(tmp_path / "state"), ["user_id", "month"]).awaitTermination()
-    found = spark.read.parquet(str(tmp_path / "table"))
-    last = found.agg(F.max("version")).first()[0]
-    got = {(r["user_id"], r["month"]): r["books"] for r in found.where(F.col("version") == last).collect()}
+        running, table = cmd.upsert_batches(cmd.monthly_finishes(stream), str(tmp_path / "table"), str(tmp_path / "state"), ["user_id", "month"])
+        running.awaitTermination()
+    got = {(r["user_id"], r["month"]): r["books"] for r in table.read().collect()}
     assert got == {(1, "2024-05"): 3, (2, "2024-05"): 1, (1, "2024-06"): 2}
 
 
@@ -251,3 +250,21 @@ def test_dedup_check_makes_no_pairs_of_a_common_title(spark):
     assert members == {("work_key", 1), ("work_key", 5), ("isbn", 1), ("isbn", 4), ("title_author", 1), ("title_author", 2), ("title_author", 3)}
     assert catalog.dedup_check(mine.where("false"), books).collect() == []
     assert {r["status"] for r in catalog.dedup_check(mine, books.where("false")).collect()} == {"new"}
+
+
+def test_a_plan_inserts_a_work_once(spark):
+    """Two planned rows of one work are one book; rows without a work or an ISBN stand for themselves."""
+    plan = [(1, "w1", "i1", "insert", None), (2, "w1", "i2", "insert", None), (3, None, "i3", "insert", None), (4, None, "i4", "insert", None), (5, "w5", None, "insert", None), (6, "w6", "i6", "skip", "limit"), (7, "w0", "i7", "insert", None)]
+    rows = [(w, i, f"t{p}", "a") for p, w, i, _, _ in plan] + [("w1", "i1", "t1", "a")]
+    books = spark.createDataFrame([("w0", "i0", "t", "a")], "work_key string, isbn string, title string, author string")
+    after, done = catalog.apply_import(spark.createDataFrame(plan, "place long, work_key string, isbn string, action string, reason string"), spark.createDataFrame(rows, books.schema), books)
+    assert {r["place"]: (r["action"], r["reason"]) for r in done.collect()} == {
+        1: ("insert", None), 2: ("skip", "duplicate_work_key"), 3: ("insert", None), 4: ("insert", None), 5: ("insert", None), 6: ("skip", "limit"), 7: ("skip", "duplicate_work_key"),
+    }
+    assert sorted((r["work_key"] or "", r["isbn"] or "") for r in after.collect()) == [("", "i3"), ("", "i4"), ("w0", "i0"), ("w1", "i1"), ("w5", "")]
+
+
+def test_works_without_a_key_stay_apart(spark):
+    titles = [(1, "i1", "***", "Ann Lee", 1), (2, "i2", "???", "Bob Ray", 1), (3, "i3", "Same", "Cy Dee", 2), (4, "i4", "The Same", "Cy Dee", 1)]
+    got = matching.preferred_editions(spark.createDataFrame(titles, "work_id long, isbn string, title string, author string, rank int")).collect()
+    assert sorted((r["work_id"], r["works"]) for r in got) == [(1, 1), (2, 1), (4, 2)]
