@@ -118,20 +118,18 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, least_texts: int = 1, gen
     held = held.groupBy("entity", "copy").agg(F.count("*").alias("n"))
     entities = held.groupBy("entity").agg(F.sum("n").alias("with_entity"), F.count("*").alias("texts"), F.min("copy").alias("only")).where(F.col("texts") >= least_texts)
     # entities of one text only meet the same terms equally often, so that one of them stands for all of its text
-    stands = F.when(F.col("texts") == 1, F.concat(F.lit("text "), F.col("only").cast("string"))).otherwise(F.concat(F.lit("entity "), F.to_json("entity")))
+    own = F.col("texts") == 1
+    stands = F.struct(F.when(own, F.col("only")).alias("text"), F.when(~own, F.col("entity")).alias("entity"))
     held = staged(held.join(entities, "entity").select(stands.alias("entity"), "copy", "n", "with_entity").distinct(), "held")
     # copies of a text have the same terms: each text counts once, for as many documents as have it
     copies = held.groupBy("copy").agg(F.max("n").alias("n"))
     terms = text.join(copies.select("copy"), "copy", "left_semi").select("copy", F.explode(_words(F.col("text"))).alias("term")).distinct()
     terms = staged(terms.join(copies, "copy"), "terms")
-    # a term that stands in this many documents with entities already has too many for its pair's threshold; before
-    # pairs are made it has too many for every entity of its text, even if they always stood together
+    pairs = held.join(terms.drop("n"), "copy").groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("texts"), F.first("with_entity").alias("with_entity"))
+    # a term that stands in this many documents with entities already has too many for its pair's threshold
     seen = terms.groupBy("term").agg(F.sum("n").alias("seen"))
-    limit = lambda together: together * F.pow(F.lit(float(total)) / F.col("with_entity"), F.lit(1 - generalise)) * 1.000001
-    most = held.groupBy("copy").agg(F.max(limit(F.col("with_entity"))).alias("most"))
-    rare = staged(terms.join(seen, "term").join(most, "copy").where("seen <= most").select("copy", "term", "seen"), "rare")
-    pairs = held.join(rare, "copy").groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("texts"), F.first("with_entity").alias("with_entity"), F.first("seen").alias("seen"))
-    pairs = pairs.where(F.col("texts") >= least_texts).where(F.col("seen") <= limit(F.col("together")))
+    limit = F.col("together") * F.pow(F.lit(float(total)) / F.col("with_entity"), F.lit(1 - generalise))
+    pairs = pairs.where(F.col("texts") >= least_texts).join(seen, "term").where(F.col("seen") <= limit * 1.000001)
     pairs = staged(pairs.drop("seen", "texts"), "pairs")
     buckets = pairs.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")).distinct()
     corpus = text.select(F.explode(_words(F.col("text"))).alias("term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
@@ -140,7 +138,7 @@ def disclosing_terms(docs: DataFrame, hits: DataFrame, least_texts: int = 1, gen
     pmi = F.log2(F.lit(float(total)) * F.col("together") / (F.col("with_entity") * F.col("with_term")))
     scored = scored.withColumn("disclosure", F.when(F.col("with_entity") < total, pmi / -F.log2(F.col("with_entity") / F.lit(float(total)))).otherwise(0.0))
     scored = scored.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
-    found = held.select("entity", "copy").join(scored, "entity").join(rare.select("copy", "term"), ["copy", "term"])
+    found = held.select("entity", "copy").join(scored, "entity").join(terms.select("copy", "term"), ["copy", "term"])
     found = staged(found.groupBy("copy", "term").agg(F.max("disclosure").alias("disclosure")), "found")
     texts = text.join(found.select("copy").distinct(), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
     spans = hits.where("valid").select("rid", "doc_id", "copy").distinct().join(_places(texts, found), "copy").drop("copy")
