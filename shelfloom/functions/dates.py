@@ -57,8 +57,9 @@ def month_grid(month: Column) -> Column:
     return F.sequence(start, F.date_add(start, 41))
 
 
-def recent_window(as_of: Column, days: int = 90) -> tuple[Column, Column]:
-    return F.date_sub(as_of, days), as_of
+def sync_window(as_of: Column, past: int = 90, ahead: int = 180) -> tuple[Column, Column]:
+    """The days that a feed is asked for by default."""
+    return F.date_sub(as_of, past), F.date_add(as_of, ahead)
 
 
 def year_agrees(day: Column, year: Column) -> Column:

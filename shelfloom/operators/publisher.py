@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import editions as ed
-from ..functions.dates import strict_day
+from ..functions.dates import strict_day, sync_window
 from ..functions.isbn import isbn13
 from ..functions.text import work_identity
+from ..sources.files import cut
 from . import matching
 from .quality import first_reason
 
@@ -57,3 +58,20 @@ def discover_titles(judged: DataFrame, books: DataFrame, sources: DataFrame, pro
     outcome = F.when(F.col("known"), "already_known").when(F.col("colliding_book").isNotNull(), "work_collision").otherwise("new")
     collision = F.when(outcome == "work_collision", F.col("colliding_book"))
     return out.select("isbn", "title", "author", "on_sale", "editions", "works", outcome.alias("outcome"), collision.alias("colliding_book"))
+
+
+def publisher_sync(judged: DataFrame, books: DataFrame, sources: DataFrame, provider: str, as_of: str, most: int, past: int = 90, ahead: int = 180) -> DataFrame:
+    """Every title of a feed (judged: as judge_titles gives it, with work_id) with what becomes of it: its columns and outcome.
+
+    A reason against it, outside_window (on sale before or after the days that are synchronised), other_edition
+    (its work comes in another one), already_known, work_collision; of the new ones the first `most` are
+    planned (upcoming soonest first, then recent newest first) and the rest deferred.
+    """
+    first, last = sync_window(F.lit(as_of).cast("date"), past, ahead)
+    outside = F.when(~F.col("on_sale").between(first, last), "outside_window")
+    rows = cut(judged.withColumn("reject_reason", F.coalesce("reject_reason", outside)), "titles")
+    found = cut(discover_titles(rows, books, sources, provider).select("isbn", "on_sale", "outcome"), "found")
+    plan = matching.growth_plan(found.where("outcome = 'new'").select("isbn", F.col("on_sale").alias("publication_date")), as_of, most).select("isbn", "action")
+    known = found.join(plan, "isbn", "left").select(F.col("isbn").alias("isbn13"), F.coalesce("action", "outcome").alias("found"))
+    out = rows.join(known, "isbn13", "left")
+    return out.withColumn("outcome", F.coalesce("reject_reason", "found", F.lit("other_edition"))).drop("reject_reason", "found")

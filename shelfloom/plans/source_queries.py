@@ -702,6 +702,25 @@ def publisher_discovery(t: Tables) -> DataFrame:
     return out.select("isbn", "on_sale", "editions", "works", "outcome", "colliding_book")
 
 
+@query(
+    "publisher_sync",
+    """select coalesce(j.reason, x.outcome, 'other_edition') as outcome, count(*) as n from dated j left join
+       (select isbn, case when known then 'already_known' when hit is not null then 'work_collision' when row_number() over (partition by known or hit is not null order by case when on_sale > date '1998-08-01' then 0 else 1 end, abs(on_sale - date '1998-08-01'), isbn) <= 40 then 'planned' else 'deferred' end as outcome
+        from (select d.isbn, e.on_sale, e.known, c.id as hit from
+              (select arg_min(isbn, (rank, isbn)) as isbn, t, a from
+               (select arg_min(isbn, (rank, isbn)) as isbn, min(rank) as rank, lower(arg_min(title, (rank, isbn))) as t, lower(arg_min(author, (rank, isbn))) as a from dated where reason is null group by coalesce('id:' || wid, 'work:' || lower(title) || '|' || lower(author))) group by t, a) d
+              join (select isbn, publication_date as on_sale, id % 6 = 1 or id % 8 = 2 as known from judged) e on e.isbn = d.isbn
+              left join (select lower(title) as t, lower(author) as a, min(id) as id from books where id % 6 = 1 group by 1, 2) c on c.t = d.t and c.a = d.a)) x on x.isbn = j.isbn and j.reason is null group by 1""",
+    JUDGED,
+    ("dated", "select * replace (case when reason is null and publication_date not between date '1998-08-01' - 90 and date '1998-08-01' + 180 then 'outside_window' else reason end as reason) from judged"),
+)
+def publisher_sync(t: Tables) -> DataFrame:
+    """The whole feed of a window around one day, of which 40 titles are planned."""
+    sources = t.books.where("id % 8 = 2").select(F.lit("feed").alias("provider"), F.col("isbn").alias("source_isbn"))
+    out = publisher.publisher_sync(judged(t), t.books.where("id % 6 = 1"), sources, "feed", "1998-08-01", 40)
+    return out.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 @query("verified_releases", "select id, publication_date, 'feed' as provider from books where publication_date between date '1998-03-01' and date '1998-09-30' and id % 3 <> 0")
 def verified_releases(t: Tables) -> DataFrame:
     day = F.when(nth() % 3 == 0, F.date_add("publication_date", 1)).otherwise(F.col("publication_date"))
