@@ -283,20 +283,6 @@ def test_personal_data_base(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
 
 
-def test_addresses_and_words_of_one_text_make_no_product(spark, monkeypatch):
-    """Of a text's many entities that nothing else has, one stands for all before they meet its terms; each occurrence still gets a span."""
-    letters = "abcdefghijklmnopqrst"
-    word = lambda k: "".join(letters[k // 20**i % 20] for i in range(4))
-    long = " ".join(f"{word(k)} u{k}@mail{k}.org" for k in range(300))
-    docs = spark.createDataFrame([(1, long), (2, long), *((k, f"plain text number {k}") for k in range(3, 60))], "doc_id long, text string")
-    sizes = {}
-    keep = pii.staged
-    monkeypatch.setattr(pii, "staged", lambda df, name: sizes.__setitem__(name, (out := keep(df, name)).count()) or out)
-    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
-    assert sizes["held"] == 1 and sizes["pairs"] <= 300
-    assert all(sum(s["name"] == "term" for s in found[d]) == 300 and sum(s["name"] == "email" for s in found[d]) == 300 for d in (1, 2))
-
-
 def test_redaction_leaves_other_columns_alone(spark):
     names = ["own", "marks", "__id", "__spans", "spans", "base"]
     rows = [(1, "Mail bob@example.org now", *names), (2, None, *names), (None, "x", *names)]
