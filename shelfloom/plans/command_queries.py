@@ -223,9 +223,14 @@ def _with_end(rows: DataFrame, schema: str, keys: list[str]) -> DataFrame:
 
 
 def _folded(t: Tables, stream: DataFrame, out: str) -> DataFrame:
-    """A stream's rows after it has run, in a session with the settings of ordered folds."""
-    before = {k: t.spark.conf.get(k, None) for k in ordered.SETTINGS}
-    for k, v in ordered.SETTINGS.items():
+    """A stream's rows after it has run, in a session with the settings of ordered folds.
+
+    Each partition of state has a store of its own, opened in every batch: two a core are enough.
+    """
+    partitions = min(int(t.spark.conf.get("spark.sql.shuffle.partitions")), 2 * t.spark.sparkContext.defaultParallelism)
+    settings = ordered.SETTINGS | {"spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: t.spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         t.spark.conf.set(k, v)
     try:
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/table").awaitTermination()
