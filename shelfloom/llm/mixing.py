@@ -114,14 +114,18 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 
 def _pieces(rows: DataFrame, plan: DataFrame, block: int) -> DataFrame:
-    """What each slot takes of rows (rid, doc_id, source, size): slot, source, rid, start (the document's words before it), words."""
+    """What each slot takes of rows (rid, doc_id, source, size): slot, source, rid, start (the document's words before it), words.
+
+    Both sides are written first: the driver plans a query anew after each of its stages, and keeps those plans.
+    """
     slots = schedule(plan, block)
     count = F.ceil(F.col("source_size") / block)
     taken_before = F.floor(F.col("rank") / count) * F.col("source_size") + F.col("rank") % count * block
     slots = slots.select(F.col("source").alias("s"), "slot", (F.col("rank") % count).alias("b"), F.least(F.lit(block), F.floor("target") - taken_before).alias("upto"))
     at = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
-    parts = _placed(rows).where("size > 0").select("rid", "source", "start", "size", F.explode(at).alias("block"))
-    hit = parts.join(slots.where("upto > 0"), parts["source"].eqNullSafe(F.col("s")) & (parts["block"] == F.col("b")))
+    slots, placed = staged(slots.where("upto > 0"), "slots"), staged(_placed(rows).where("size > 0"), "placed")
+    parts = placed.select("rid", "source", "start", "size", F.explode(at).alias("block"))
+    hit = parts.join(slots, parts["source"].eqNullSafe(F.col("s")) & (parts["block"] == F.col("b")))
     low, high = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("upto"))
     hit = hit.withColumns({"from": low - F.col("start"), "words": high - low, "at": low})
     return hit.where("words > 0").select("slot", "source", "rid", "at", F.col("from").alias("start"), "words")

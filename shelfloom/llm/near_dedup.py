@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .storage import discard, staged, unused
@@ -82,9 +82,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     A centre's text goes once to each task with GROUP of its members, not once a pair.
     """
     counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    dealt = staged(pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "groups").cast("int").alias("part")), "dealt")
-    roles = dealt.select(F.col("b").alias("rid"), "b", "part", F.lit(0).alias("role")).distinct()
-    roles = roles.union(dealt.select(F.col("a").alias("rid"), "b", "part", F.lit(1).alias("role")))
+    part = F.pmod(F.xxhash64("a"), "groups").cast("int").alias("part")
+    kinds = (F.struct(F.col(rid).alias("rid"), "b", part, F.lit(role).alias("role")) for role, rid in enumerate("ba"))
+    roles = staged(pairs.join(counts, "b").select(F.inline(F.array(*kinds))).distinct(), "roles")
     place = F.pmod(F.xxhash64("rid"), F.lit(BUCKETS)).cast("int")
     few = roles.select(place.alias("place")).distinct()
     wanted = texts.select("rid", "text", place.alias("place")).join(F.broadcast(few), "place", "left_semi")
@@ -114,31 +114,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) to (node, component): each node with the smallest node it is connected with.
 
     Alternating large-star and small-star. A star's minimum comes from an aggregate with map-side combining
-    and is joined back, so that no node's neighbours meet in one task.
+    and is joined back, so that no node's neighbours meet in one task. Each star is written by a query of
+    its own, which also counts: the driver keeps the plans of many queries, and every new plan of their stages.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        else:
-            both = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        ends = [F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))]
+        both = pairs.select(F.inline(F.array(*ends[: 1 + large])))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         joined = both.join(least, "u")
         if large:
-            out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        else:
-            out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+            return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        links = F.inline(F.array(*(F.struct(F.col(x).alias("a"), F.col("m").alias("b")) for x in ("u", "v"))))
+        return joined.select(links).where("a <> b").distinct()
 
-    def state(pairs: DataFrame) -> tuple:
-        return tuple(pairs.select(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+    def written(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        table = staged(pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("hashes")), "edges")
+        return table, (seen.get["n"], seen.get["hashes"])
 
-    pairs = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = state(pairs)
+    pairs, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while before[0]:
-        last, pairs = pairs, staged(star(star(pairs, True), False), "edges")
-        discard(last)
-        now = state(pairs)
+        last, wide = pairs, staged(star(pairs, True), "edges")
+        pairs, now = written(star(wide, False))
+        discard(last, wide)
         if now == before:
             break
         before = now
@@ -223,6 +222,9 @@ def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int, rounds
         if turn and alike.isEmpty():
             continue
         new = links = staged(_verified(alike, texts, size, percent), "links")
+        if turn and links.isEmpty():
+            discard(alike, links)
+            continue
         if components is not None:
             new = new.union(components.select(F.col("node").alias("a"), F.col("component").alias("b")))
         last, components = components, staged(connected_components(new), "components")
@@ -248,7 +250,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80,
     of = sets.select("rid", "doc_id", "digest").join(classes.select("digest", F.col("rid").alias("head")), "digest").select("rid", "doc_id", "head")
     components = _links(classes, signed, shingle_words, percent, rounds)
     part = components.select(F.col("node").alias("head"), "component")
-    labelled = of.join(part, "head", "left").select("rid", "doc_id", F.coalesce("component", "head").alias("component"))
+    labelled = staged(of.join(part, "head", "left").select("rid", "doc_id", F.coalesce("component", "head").alias("component")), "labelled")
     order: Column = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
     leads = labelled.groupBy("component").agg(F.min(order).alias("lead"))
     final = labelled.join(leads, "component").select("rid", F.col("lead.doc_id").alias("lead_id"), F.col("lead.rid").alias("lead_rid"))
