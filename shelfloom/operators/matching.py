@@ -23,16 +23,26 @@ def base_title_key(source: Column) -> Column:
 
 
 def title_match(source: Column, candidate: Column) -> Column:
-    """struct(kind, score) of two titles; see match_title_keys."""
+    """struct(kind, score) of two titles; see match_title_keys. For a few rows: tables go through with_title_match."""
     return match_title_keys(title_key(source), title_key(candidate), base_title_key(source))
 
 
+def with_title_match(pairs: DataFrame, source: str, candidate: str, name: str) -> DataFrame:
+    """pairs with the title_match of two of their columns; keys and words are columns, so that each is made once a row."""
+    keyed = pairs.withColumns({"_a": title_key(F.col(source)), "_b": title_key(F.col(candidate)), "_base": base_title_key(F.col(source))})
+    keyed = keyed.withColumns({"_x": title_tokens(F.col("_a")), "_y": title_tokens(F.col("_b"))})
+    return keyed.withColumn(name, _match_titles(*map(F.col, ("_a", "_b", "_base", "_x", "_y")))).drop("_a", "_b", "_base", "_x", "_y")
+
+
 def match_title_keys(a: Column, b: Column, base: Column) -> Column:
     """struct(kind, score): exact 100, subtitle left out 96, same words 92, strong 80 to 90, else weak.
 
     The keys are read many times: over more than a few rows they should be columns.
     """
-    x, y = title_tokens(a), title_tokens(b)
+    return _match_titles(a, b, base, title_tokens(a), title_tokens(b))
+
+
+def _match_titles(a: Column, b: Column, base: Column, x: Column, y: Column) -> Column:
     both = F.size(F.array_intersect(x, y))
     nx, ny = F.size(F.array_distinct(x)), F.size(F.array_distinct(y))
     jaccard = F.when(nx + ny - both > 0, both / (nx + ny - both)).otherwise(0.0)

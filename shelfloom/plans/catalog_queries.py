@@ -379,7 +379,8 @@ def work_representatives(t: Tables) -> DataFrame:
 )
 def title_matches(t: Tables) -> DataFrame:
     b = t.books.select((F.col("id") - 1).alias("id"), F.col("id").alias("other"), F.col("title").alias("b"))
-    return t.books.join(b, "id").select("id", "other", matching.title_match(F.col("title"), F.col("b"))["kind"].alias("kind"))
+    pairs = t.books.join(b, "id").select("id", "other", "title", "b")
+    return matching.with_title_match(pairs, "title", "b", "match").select("id", "other", F.col("match.kind").alias("kind"))
 
 
 @query(
