@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfloom.operators import matching
+from shelfloom.operators import matching, readers
 from shelfloom.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +24,19 @@ def test_with_title_match_equals_title_match(spark):
     rows = spark.createDataFrame([(a, b) for a in titles for b in titles], "a string, b string")
     got = matching.with_title_match(rows.withColumn("want", matching.title_match(F.col("a"), F.col("b"))), "a", "b", "got")
     assert got.columns == ["a", "b", "want", "got"] and got.where(~F.col("got").eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_few_pairs_of_alike_readers_are_written(spark):
+    """Readers of the same books all meet; what is written are the best of each block, ties cut by username and id."""
+    shelf = spark.range(300).select(F.col("id").alias("user_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("book_id")).withColumns({"status": F.lit("read"), "user_rating": (F.col("book_id") % 5 + 1).cast("int")})
+    genres = spark.range(20).select(F.col("id").alias("book_id"), F.when(F.col("id") > 0, F.concat(F.lit("g"), (F.col("id") % 3).cast("string"))).alias("genre"))
+    entries, weights, _ = readers.genre_vectors(shelf, genres)
+    none = spark.createDataFrame([], "reader long, other long")
+    pairs = readers.suggestion_candidates(entries, weights, readers._vectors(weights), none, entries.select("user_id").distinct(), 5)
+    assert sum(p.count() for p in pairs) <= 300 * 299 / 10
+    users = spark.range(300).select("id", F.format_string("u%03d", 299 - F.col("id")).alias("username"))
+    friends = spark.createDataFrame([(0, 299), (298, 0)], "user_a long, user_b long")
+    got = readers.reader_suggestions(shelf, genres, friends, users, readers=users.where("id = 0").select(F.col("id").alias("user_id")), limit=3).collect()
+    norm = 7 * 7 + 6 * 6 + 6 * 6 + 1  # the book without a genre counts in the norm, but isn't shared
+    assert [(r["place"], r["other"], r["genres"], r["both_rated"]) for r in sorted(got, key=lambda r: r["place"])] == [(1, 297, "g1,g0", 20), (2, 296, "g1,g0", 20), (3, 295, "g1,g0", 20)]
+    assert {r["score"] for r in got} == {round(0.6 * (norm - 1) / norm + 0.25 + 0.15, 7)}
