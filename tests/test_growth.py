@@ -40,3 +40,14 @@ def test_few_pairs_of_alike_readers_are_written(spark):
     norm = 7 * 7 + 6 * 6 + 6 * 6 + 1  # the book without a genre counts in the norm, but isn't shared
     assert [(r["place"], r["other"], r["genres"], r["both_rated"]) for r in sorted(got, key=lambda r: r["place"])] == [(1, 297, "g1,g0", 20), (2, 296, "g1,g0", 20), (3, 295, "g1,g0", 20)]
     assert {r["score"] for r in got} == {round(0.6 * (norm - 1) / norm + 0.25 + 0.15, 7)}
+
+
+def test_a_few_askers_meet_all_blocks(spark):
+    """A stated set gets what it gets among all readers, whatever the blocks."""
+    shelf = spark.range(200).select(F.col("id").alias("user_id"), F.explode(F.expr("transform(sequence(0L, 9L), k -> (id * 7 + k * k * 3) % 90)")).alias("book_id")).distinct().withColumns({"status": F.lit("read"), "user_rating": (F.col("book_id") % 5 + 1).cast("int")})
+    genres = spark.range(90).select(F.col("id").alias("book_id"), F.concat(F.lit("g"), (F.col("id") % 80).cast("string")).alias("genre"))
+    users = spark.range(200).select("id", F.format_string("u%03d", "id").alias("username"))
+    friends = spark.createDataFrame([(0, 1)], "user_a long, user_b long")
+    ask = lambda who: {tuple(r) for r in readers.reader_suggestions(shelf, genres, friends, users, readers=who.select(F.col("id").alias("user_id")), limit=4).where("reader % 50 = 0").collect()}
+    few = ask(users.where("id % 50 = 0"))
+    assert len(few) == 16 and few == ask(users)
