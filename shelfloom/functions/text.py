@@ -38,10 +38,13 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 def fold(value: Column) -> Column:
     """Cleaned, compatibility-decomposed, without accents, in lower case; empty if null."""
     source, target, longer = _folds()
-    plain = F.translate(F.regexp_replace(F.coalesce(clean(value), F.lit("")), "[\\x{0300}-\\x{036F}]", ""), source, target)
+    text = F.coalesce(F.trim(F.regexp_replace(value, SPACE, " ")), F.lit(""))
+    plain = F.translate(F.regexp_replace(text, "[\\x{0300}-\\x{036F}]", ""), source, target)
     parts = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in longer.items())), F.lit("\x01"), F.lit("\x02"))  # one literal, folded once
     spelled = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(parts, c), c)), "")
-    return F.lower(F.when(F.regexp_like(plain, F.lit("[" + "".join(longer) + "]")), spelled).otherwise(plain))
+    # ASCII text, most of it, has nothing to decompose
+    ascii_only = F.octet_length(value) == F.char_length(value)
+    return F.lower(F.when(ascii_only, text).when(F.regexp_like(plain, F.lit("[" + "".join(longer) + "]")), spelled).otherwise(plain))
 
 
 def title_key(title: Column) -> Column:

@@ -106,7 +106,8 @@ def score_editions(pairs: DataFrame) -> DataFrame:
         "_a": title_key(F.col("source_title")), "_b": title_key(F.col("title")), "_base": base_title_key(F.col("source_title")), "_x": author_key(F.col("source_author")),
         "_y": author_key(F.col("author")), "_asked": fold(F.col("source_title")), "_named": fold(full),
     })
-    rows = rows.withColumns({"t": match_title_keys(F.col("_a"), F.col("_b"), F.col("_base")), "a": match_author_keys(F.col("_x"), F.col("_y"))})
+    rows = rows.withColumns({"_p": title_tokens(F.col("_a")), "_q": title_tokens(F.col("_b"))})
+    rows = rows.withColumns({"t": _match_titles(*map(F.col, ("_a", "_b", "_base", "_p", "_q"))), "a": match_author_keys(F.col("_x"), F.col("_y"))})
     english = F.exists(F.coalesce("languages", F.array().cast("array<string>")), ed.is_english)
     reason = F.coalesce(
         first_reason([("missing_valid_isbn", F.col("isbn").isNull())]), ed.other_variant(F.col("_asked"), F.col("_named")),
@@ -123,7 +124,7 @@ def score_editions(pairs: DataFrame) -> DataFrame:
     holds = {k: F.coalesce(c, F.lit(False)) for k, c in evidence.items()}
     score = sum((F.when(c, WEIGHTS[k]).otherwise(0) for k, c in holds.items()), F.lit(0))
     reasons = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in holds.items())), lambda x: x.isNotNull())
-    rows = rows.withColumn("reject_reason", reason).drop("_a", "_b", "_base", "_x", "_y", "_asked", "_named")
+    rows = rows.withColumn("reject_reason", reason).drop("_a", "_b", "_base", "_p", "_q", "_x", "_y", "_asked", "_named")
     return rows.withColumns({"score": F.when(F.col("reject_reason").isNull(), score).otherwise(0), "reasons": F.array_join(reasons, ",")})
 
 

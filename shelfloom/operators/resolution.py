@@ -219,18 +219,44 @@ def pilot_plan(sources: DataFrame, candidates: DataFrame) -> DataFrame:
     """sources (key, isbn, title, author) with the clear winner among candidates (record, work_id, isbn, title, author, format, languages, year, has_cover).
 
     Products that are no books are out; candidates of different works that no work id unites go to review.
+    A score depends on what a source and a candidate look like, and on whether their ISBN is the same. So looks
+    meet looks, not sources their candidates, of which there are as many as books of a title squared. The two
+    best of a source are those of its ISBN and the best with another one, so of each look the first two records of
+    the first three ISBNs are enough.
     """
-    links = matching.candidate_lookup(sources, candidates)
-    s = sources.select("key", F.col("isbn").alias("preferred_isbn"), F.col("title").alias("source_title"), F.col("author").alias("source_author"))
-    pairs = links.select("key", "record").join(s, "key").join(candidates, "record").withColumns({"subtitle": F.lit(None).cast("string"), "has_description": F.lit(False)})
+    shape = F.struct(F.col("title").alias("source_title"), F.col("author").alias("source_author")).alias("shape")
+    looks = F.struct("title", "author", "format", "languages", "has_cover", F.col("year").isNotNull().alias("dated")).alias("looks")
+    identity = work_identity(F.col("title"), F.col("author")).alias("identity")
+    spans = [F.min("low").alias("low"), F.max("high").alias("high")]
+    s = cut(sources.select("key", F.col("isbn").alias("preferred_isbn"), shape, identity), "sources")
+    # what has no ISBN can't win; sources without title or author have no match
+    records = candidates.where("isbn is not null").select(looks, identity, "isbn", "record", F.col("work_id").alias("low"), F.col("work_id").alias("high"))
+    records = cut(records.groupBy("looks", "identity", "isbn").agg(F.slice(F.array_sort(F.collect_list("record")), 1, 2).alias("records"), *spans), "records")
+    classes = cut(s.select("shape", "identity").distinct().join(records.groupBy("looks", "identity").agg(*spans), "identity"), "classes")
+    asked = cut(s.join(records.withColumnRenamed("isbn", "preferred_isbn").drop("identity"), "preferred_isbn"), "asked")
+    none = F.lit(None).cast("string")
+    pairs = classes.select("shape", "looks").union(asked.select("shape", "looks")).distinct().select("shape", "looks", "shape.*", "looks.*").withColumns({
+        "preferred_isbn": none, "isbn": F.lit("one"), "subtitle": none, "has_description": F.lit(False), "year": F.when(F.col("dated"), 1),
+    })
     # cut, as in bridge: the plan of match and score is too deep to be optimized with the choice
-    scored = cut(matching.score_editions(cut(pairs, "pairs")), "scored")
-    kind = ed.product_kind(F.col("format"), F.col("title"), F.lit(None).cast("string"))
-    scored = scored.withColumn("reject_reason", F.coalesce(kind, "reject_reason"))
-    live = scored.where("reject_reason is null").groupBy("key").agg(F.count_distinct("work_id").alias("works"))
-    best = matching.select_winner(scored, "key", [F.asc("isbn"), F.asc("record")]).select("key", "record", "score", "status")
-    out = s.select("key").join(best, "key", "left").join(live, "key", "left")
-    status = F.when(F.col("record").isNull(), "no_match").when(F.col("works") > 1, "conflicting_works").otherwise(F.col("status"))
+    scored = matching.score_editions(cut(pairs, "pairs"))
+    kind = ed.product_kind(F.col("format"), F.col("title"), none)
+    live = cut(scored.where(kind.isNull() & F.col("reject_reason").isNull()).select("shape", "looks", "score"), "live")
+    classes = classes.join(live, ["shape", "looks"])
+    leading = records.withColumn("n", F.row_number().over(Window.partitionBy("looks").orderBy("isbn"))).where("n <= 3").select("looks", "isbn", "records")
+    tops = classes.join(leading, "looks").select("shape", "score", "isbn", F.explode("records").alias("record"))
+    of_isbn = Window.partitionBy("shape", "isbn")
+    tops = tops.withColumns({"n": F.row_number().over(of_isbn.orderBy(F.desc("score"), "record")), "best": F.max("score").over(of_isbn)}).where("n <= 2")
+    tops = tops.withColumn("n", F.dense_rank().over(Window.partitionBy("shape").orderBy(F.desc("best"), "isbn"))).where("n <= 3")
+    tops = tops.groupBy("shape").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "isbn", "record"))).alias("tops"))
+    others = F.filter("tops", lambda x: F.col("preferred_isbn").isNull() | (x["isbn"] != F.col("preferred_isbn")))
+    by_work = s.join(tops, "shape").select("key", F.explode(F.slice(others, 1, 2)).alias("x")).select("key", (-F.col("x.less")).alias("score"), "x.isbn", "x.record")
+    by_isbn = asked.join(live, ["shape", "looks"])
+    rows = by_isbn.select("key", (F.col("score") + matching.WEIGHTS["preferred_isbn"]).alias("score"), F.col("preferred_isbn").alias("isbn"), F.explode("records").alias("record")).unionByName(by_work)
+    best = matching.select_winner(rows.withColumn("reject_reason", none), "key", [F.asc("isbn"), F.asc("record")]).select("key", "record", "score", "status")
+    works = s.join(classes.groupBy("shape").agg(*spans), "shape").select("key", "low", "high").union(by_isbn.select("key", "low", "high")).groupBy("key").agg(*spans)
+    out = s.select("key").join(best, "key", "left").join(works, "key", "left")
+    status = F.when(F.col("record").isNull(), "no_match").when(F.col("low") != F.col("high"), "conflicting_works").otherwise(F.col("status"))
     return out.select("key", "record", "score", status.alias("status"))
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from shelfloom.operators import matching, readers
+from shelfloom.functions import editions
+from shelfloom.operators import matching, readers, resolution
 from shelfloom.plans.registry import QUERIES
+from shelfloom.sources.files import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +56,41 @@ def test_a_few_askers_meet_all_blocks(spark):
     ask = lambda who: {tuple(r) for r in readers.reader_suggestions(shelf, genres, friends, users, readers=who.select(F.col("id").alias("user_id")), limit=4).where("reader % 50 = 0").collect()}
     few = ask(users.where("id % 50 = 0"))
     assert len(few) == 16 and few == ask(users)
+
+
+def plain_pilot(sources, candidates):
+    """Every source against each of its candidates."""
+    links = matching.candidate_lookup(sources, candidates)
+    s = sources.select("key", F.col("isbn").alias("preferred_isbn"), F.col("title").alias("source_title"), F.col("author").alias("source_author"))
+    pairs = links.select("key", "record").join(s, "key").join(candidates, "record").withColumns({"subtitle": F.lit(None).cast("string"), "has_description": F.lit(False)})
+    scored = cut(matching.score_editions(cut(pairs, "pairs")), "scored")
+    kind = editions.product_kind(F.col("format"), F.col("title"), F.lit(None).cast("string"))
+    scored = scored.withColumn("reject_reason", F.coalesce(kind, "reject_reason"))
+    live = scored.where("reject_reason is null").groupBy("key").agg(F.count_distinct("work_id").alias("works"))
+    best = matching.select_winner(scored, "key", [F.asc("isbn"), F.asc("record")]).select("key", "record", "score", "status")
+    status = F.when(F.col("record").isNull(), "no_match").when(F.col("works") > 1, "conflicting_works").otherwise(F.col("status"))
+    return s.select("key").join(best, "key", "left").join(live, "key", "left").select("key", "record", "score", status.alias("status"))
+
+
+@pytest.mark.parametrize("n_works", [1, 60])
+def test_pilot_plan_equals_every_pair(spark, n_works):
+    rng = random.Random(3)
+    title = lambda: rng.choice(["Red Ring", "red  ring", "The Red Ring", "Red Ring (2nd printing)", "Red Ring: a story", "Blue Gold Bolt", "Gold Blue Bolt", None, "", "Study Guide to Red Ring"])
+    author = lambda: rng.choice(["Ann Lee", "A. Lee", "Lee, Ann", "Bob Ray", None])
+    code = lambda: rng.choice([None, *(f"i{k:02d}" for k in range(30))])
+    sources = spark.createDataFrame([(k, code(), title(), author()) for k in range(150)], "key long, isbn string, title string, author string")
+    rows = [(f"r{k:03d}", f"w{rng.randrange(n_works)}", code(), title(), author(), rng.choice(["Hardcover", "Audio CD", "Wall calendar", None]), rng.choice([["eng"], ["fre"], ["ger", "eng"], []]), rng.choice([None, 1990, 2001]), rng.choice([True, False])) for k in range(250)]
+    candidates = spark.createDataFrame(rows, "record string, work_id string, isbn string, title string, author string, format string, languages array<string>, year int, has_cover boolean")
+    got, want = ({tuple(r) for r in plan(sources, candidates).collect()} for plan in (resolution.pilot_plan, plain_pilot))
+    assert len(want) == 150 and got == want
+
+
+def test_pilot_plan_scores_looks_not_pairs(spark, monkeypatch):
+    """Of 300 sources and 300 candidates of one title and author, two looks are scored."""
+    seen = []
+    monkeypatch.setattr(matching, "score_editions", lambda pairs, plain=matching.score_editions: seen.append(pairs.count()) or plain(pairs))
+    books = spark.range(300).select(F.col("id").alias("key"), F.col("id").cast("string").alias("isbn"), F.lit("Red Ring").alias("title"), F.lit("Ann Lee").alias("author"))
+    candidates = books.select(F.col("isbn").alias("record"), F.lit("w").alias("work_id"), "isbn", "title", "author", F.lit("Hardcover").alias("format"), F.array(F.lit("eng")).alias("languages"), F.when(F.col("key") % 2 == 0, 1990).alias("year"), F.lit(True).alias("has_cover"))
+    plan = resolution.pilot_plan(books, candidates)
+    assert seen == [2]
+    assert plan.where("status = 'selected' and record = cast(key as string)").count() == 300
