@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfloom.functions import editions
 from shelfloom.operators import matching, readers, resolution
+from shelfloom.plans import catalog_queries  # noqa: F401  registers its queries
 from shelfloom.plans.registry import QUERIES
 from shelfloom.sources.files import cut
 
@@ -94,3 +95,15 @@ def test_pilot_plan_scores_looks_not_pairs(spark, monkeypatch):
     plan = resolution.pilot_plan(books, candidates)
     assert seen == [2]
     assert plan.where("status = 'selected' and record = cast(key as string)").count() == 300
+
+
+def test_pilot_summary_of_a_common_title(spark):
+    """400 books of one title: a plan of every pair has 160,000 rows, this one has none that large."""
+    books = spark.range(400).select(F.col("id").alias("key"), F.col("id").cast("string").alias("isbn"), F.lit("Red Ring").alias("title"), F.lit("Ann Lee").alias("author"))
+    candidates = books.select(F.col("isbn").alias("record"), F.lit("w").alias("work_id"), "isbn", "title", "author", F.lit("Hardcover").alias("format"), F.array(F.lit("eng")).alias("languages"), F.lit(1990).alias("year"), F.lit(True).alias("has_cover"))
+    written = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(resolution, "cut", lambda rows, name: written.append(rows.count()) or cut(rows, name))
+        summary = resolution.pilot_summary(resolution.pilot_plan(books, candidates)).first()
+    assert max(written) == 400
+    assert tuple(summary) == (400, 400, 0, 0, 126, 126.0, 126, 0)
