@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import editions as ed
 from ..functions.text import author_key, fold, title_key, work_identity
+from ..sources.files import cut
 from .quality import first_reason
 
 #: Words without weight in a comparison of titles.
@@ -322,9 +323,22 @@ def repair_plan(manifest: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def candidate_lookup(sources: DataFrame, candidates: DataFrame) -> DataFrame:
-    """sources (key, isbn, title, author) to candidates (record, isbn, title, author) by ISBN or by work, the former first."""
-    s = sources.select("key", "isbn", work_identity(F.col("title"), F.col("author")).alias("identity"))
-    c = candidates.withColumn("identity", work_identity(F.col("title"), F.col("author")))
-    exact = s.select("key", "isbn").join(c.select("record", "isbn"), "isbn").select("key", "record", F.lit(0).alias("by"))
-    work = s.select("key", "identity").join(c.select("record", "identity"), "identity").select("key", "record", F.lit(1).alias("by"))
-    return exact.union(work).groupBy("key", "record").agg((F.min("by") == 0).alias("exact_isbn"))
+    """sources (key, isbn, title, author) to candidates (record, isbn, title, author) by ISBN or by work, the former first.
+
+    There are as many rows as books of a work squared, so none is shuffled: a pair is found once, by work, or
+    by ISBN where the works differ. Only of keys and records that have several rows are pairs brought together.
+    """
+    several = lambda name: (F.count("*").over(Window.partitionBy(name)) > 1).alias(f"{name}_again")
+    s = sources.select("key", "isbn", work_identity(F.col("title"), F.col("author")).alias("identity")).distinct().select("*", several("key"))
+    c = candidates.select("record", F.col("isbn").alias("code"), work_identity(F.col("title"), F.col("author")).alias("work")).distinct().select("*", several("record"))
+    s, c = cut(s, "asked"), cut(c, "records")
+
+    def meet(s: DataFrame, c: DataFrame) -> DataFrame:
+        same = F.coalesce(F.col("isbn") == F.col("code"), F.lit(False))
+        by_work = s.join(c, F.col("identity") == F.col("work")).select("key", "record", same.alias("exact_isbn"))
+        other_work = ~F.coalesce(F.col("identity") == F.col("work"), F.lit(False))
+        return by_work.union(s.join(c, (F.col("isbn") == F.col("code")) & other_work).select("key", "record", F.lit(True).alias("exact_isbn")))
+
+    once = meet(s.where("not key_again"), c.where("not record_again"))
+    again = meet(s.where("key_again"), c).union(meet(s.where("not key_again"), c.where("record_again")))
+    return once.union(again.groupBy("key", "record").agg(F.max("exact_isbn").alias("exact_isbn")))

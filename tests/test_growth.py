@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfloom.functions import editions
+from shelfloom.functions.text import work_identity
 from shelfloom.operators import matching, readers, resolution
 from shelfloom.plans import catalog_queries  # noqa: F401  registers its queries
 from shelfloom.plans.registry import QUERIES
@@ -107,3 +108,29 @@ def test_pilot_summary_of_a_common_title(spark):
         summary = resolution.pilot_summary(resolution.pilot_plan(books, candidates)).first()
     assert max(written) == 400
     assert tuple(summary) == (400, 400, 0, 0, 126, 126.0, 126, 0)
+
+
+def test_candidate_lookup_of_odd_rows(spark):
+    """Repeated keys and records, and ISBNs of other works, give each pair once, by ISBN where any of its rows has it."""
+    rng = random.Random(4)
+    some = lambda k: [(rng.choice([None, *range(k)]), rng.choice([None, "1", "2", "3"]), rng.choice(["Red Ring", "the red ring", "Bolt", None]), rng.choice(["Ann Lee", "Lee, Ann"])) for _ in range(60)]
+    sources = spark.createDataFrame(some(200), "key long, isbn string, title string, author string")
+    candidates = spark.createDataFrame(some(40), "record long, isbn string, title string, author string")
+    s, c = (df.withColumn("identity", work_identity(F.col("title"), F.col("author"))).collect() for df in (sources, candidates))
+    want = {}
+    for a in s:
+        for b in c:
+            exact = a["isbn"] is not None and a["isbn"] == b["isbn"]
+            if exact or a["identity"] is not None and a["identity"] == b["identity"]:
+                want[a["key"], b["record"]] = exact or want.get((a["key"], b["record"]), False)
+    got = [tuple(r) for r in matching.candidate_lookup(sources, candidates).collect()]
+    assert len(got) == len(set(got)) and {g[:2]: g[2] for g in got} == want
+
+
+def test_candidate_lookup_shuffles_no_pairs(spark):
+    """Of 500 books of one work each meets all: 250,000 pairs, of which none goes through a shuffle."""
+    books = spark.range(500).select(F.col("id").alias("key"), F.col("id").cast("string").alias("isbn"), F.lit("Red Ring").alias("title"), F.lit("Ann Lee").alias("author"))
+    pairs = matching.candidate_lookup(books, books.withColumnRenamed("key", "record"))
+    assert pairs.agg(F.count("*"), F.count_if("exact_isbn")).first() == (250_000, 500)
+    text = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in text.split("Aggregate")[0]
