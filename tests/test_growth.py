@@ -134,3 +134,13 @@ def test_candidate_lookup_shuffles_no_pairs(spark):
     assert pairs.agg(F.count("*"), F.count_if("exact_isbn")).first() == (250_000, 500)
     text = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in text.split("Aggregate")[0]
+
+
+def test_targeted_extract_shuffles_no_pairs(spark):
+    """300 editions of one title and author are asked for by 300 sources: each pair once, none through a shuffle."""
+    sources = spark.range(300).select(F.col("id").alias("key"), F.col("id").cast("string").alias("isbn"), F.lit("Red Ring").alias("title"), F.lit("Ann Lee").alias("author"))
+    others = F.when(F.col("key") == 7, F.lit("Bolt")).otherwise(F.col("title")).alias("title")
+    found = sources.select(F.col("isbn").alias("key"), "isbn", others, F.array(F.lit("a1")).alias("author_keys"))
+    links = resolution.targeted_extract(sources, found, spark.createDataFrame([("a1", "Lee, Ann")], "key string, name string"))[0]
+    assert links.agg(F.count("*"), F.count_if("exact_isbn")).first() == (300 * 299 + 1, 300)
+    assert "Union" in links._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
