@@ -244,7 +244,7 @@ def _folded(t: Tables, stream: DataFrame, out: str) -> DataFrame:
 def stream_reader_log(t: Tables) -> DataFrame:
     """The reader log as a stream of several batches, some events late, folded in order of time."""
     out, stream = _parts(t, _with_end(reader_log(t), shelves.LOG, shelves.KEYS), shelves.LOG, "shelves")
-    return _folded(t, ordered.fold_in_order(stream, shelves.KEYS, shelves.step, shelves.STATE, shelves.DECIDED), out).select(*DECIDED)
+    return _folded(t, ordered.fold_in_order(stream, shelves.KEYS, shelves.step, shelves.DECIDED), out).select(*DECIDED)
 
 
 @query("stream_requests", "select a, b, arg_max(state, n) as state, nullif(arg_max(coalesce(asker, -1), n), -1) as requested_by, case arg_max(state, n) when 'pending' then a + b - arg_max(asker, n) end as notified from walk where n > 0 group by a, b", *REQUESTS)
@@ -253,7 +253,7 @@ def stream_requests(t: Tables) -> DataFrame:
     schema = "command_id long, ts timestamp, a long, b long, actor long, target long, action string"
     log = request_log(t).withColumns({"a": F.least("actor", "target"), "b": F.greatest("actor", "target")})
     out, stream = _parts(t, _with_end(log, schema, ["a", "b"]), schema, "requests")
-    rows = _folded(t, ordered.fold_in_order(stream, ["a", "b"], cmd.request_step, cmd.PAIR, cmd.ANSWERED), out)
+    rows = _folded(t, ordered.fold_in_order(stream, ["a", "b"], cmd.request_step, cmd.ANSWERED), out)
     at = F.struct("ts", "command_id")
     pairs = rows.groupBy("a", "b").agg(F.max_by(F.struct("state", "requested_by"), at).alias("s"), F.max_by(F.struct("note", "requested_by"), F.when(F.col("note").isNotNull(), at)).alias("note"))
     stands = F.when(F.col("note.note") == "made", F.col("a") + F.col("b") - F.col("note.requested_by"))

@@ -93,8 +93,7 @@ def request_state(commands: DataFrame) -> DataFrame:
     return pairs.select("a", "b", F.get(table(REQUEST_STATES), F.col("s")).alias("state"), asked.alias("requested_by"))
 
 
-#: What a stream remembers of a pair, and what each command came to.
-PAIR = "state string, requested_by long"
+#: What each command of a pair came to.
 ANSWERED = "command_id long, ts timestamp, a long, b long, outcome string, state string, requested_by long, note string"
 
 

@@ -90,12 +90,8 @@ def rating_changes(decided: DataFrame) -> DataFrame:
     return decided.where("outcome is null and not (rating <=> old_rating)").select("command_id", "ts", *KEYS, "rating")
 
 
-#: What a stream remembers of a reader and a book.
-STATE = "status string, rating int, on_shelf boolean, reviewed boolean"
-
-
 def step(state: tuple | None, c: dict) -> tuple[tuple | None, tuple]:
-    """The rules of `decide` for one command: the state after it (None once nothing is left) and its DECIDED row."""
+    """The rules of `decide` for one command: the state after it (status, rating, on shelf, reviewed; None once nothing is left) and its DECIDED row."""
     status, rating, on_shelf, reviewed = state or (None, None, False, False)
     outcome = made = day = snapshot = None
     clears = bool(c["clears_rating"]) and c["rating"] is None

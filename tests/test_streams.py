@@ -143,3 +143,44 @@ def test_requests_one_at_a_time_equal_the_maps(spark):
     assert {(r["a"], r["b"]): (r["state"], r["requested_by"]) for r in pairs.collect()} == {p: s or ("none", None) for p, s in states.items()}
     pending = {(b if by == a else a, by) for (a, b), s in states.items() if s and s[0] == "pending" for by in [s[1]]}
     assert {tuple(r) for r in cmd.request_notifications(pairs).collect()} == pending
+
+
+class Held:
+    """A group's state between batches."""
+
+    def __init__(self):
+        self.get, self.at, self.watermark, self.hasTimedOut = None, None, 0, False
+
+    exists = property(lambda self: self.get is not None)
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.get = value
+
+    def remove(self):
+        self.get = None
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.watermark
+        self.at = at
+
+
+def test_keys_of_a_group_are_folded_together():
+    """One call folds all keys of a group in the order of time, holds back what may still be preceded, and leaves nothing behind."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from shelfloom.streaming import ordered
+
+    events = T.StructType.fromDDL("command_id long, ts timestamp, k long, ends boolean")
+    step = lambda n, e: (None if e["ends"] else (n or 0) + 1, (e["k"], e["command_id"], n or 0))
+    run, held = ordered._fold(step, ["k"], events, ["k", "command_id", "n"]), Held()
+    frame = lambda *rows: pd.DataFrame([(c, pd.Timestamp(f"1970-01-01 00:00:0{s}"), k, e) for c, s, k, e in rows], columns=events.fieldNames())
+    call = lambda *frames: [tuple(r) for out in run((0,), iter(frames), held) for r in out.itertuples(index=False)]
+    assert call(frame((5, 3, 1, True), (2, 2, 1, False)), frame((1, 2, 1, False), (4, 2, 2, False))) == [] and held.at == 2000
+    held.watermark = 2000
+    assert call(frame((9, 4, 2, True))) == [(1, 1, 0), (1, 2, 1), (2, 4, 0)] and held.at == 3000
+    held.watermark, held.hasTimedOut = 9000, True
+    assert call() == [(1, 5, 2), (2, 9, 1)] and not held.exists
