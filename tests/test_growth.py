@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfloom.functions import editions
 from shelfloom.functions.text import work_identity
 from shelfloom.operators import matching, readers, resolution
-from shelfloom.plans import catalog_queries  # noqa: F401  registers its queries
+from shelfloom.plans import catalog_queries, reader_queries  # noqa: F401  they register their queries
 from shelfloom.plans.registry import QUERIES
 from shelfloom.sources.files import cut
 
@@ -144,3 +144,11 @@ def test_targeted_extract_shuffles_no_pairs(spark):
     links = resolution.targeted_extract(sources, found, spark.createDataFrame([("a1", "Lee, Ann")], "key string, name string"))[0]
     assert links.agg(F.count("*"), F.count_if("exact_isbn")).first() == (300 * 299 + 1, 300)
     assert "Union" in links._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+
+
+def test_top_picks_read_the_sales_once(spark):
+    """The shelf is made once, and what stands between classes and picks carries neither genres nor names."""
+    picks = QUERIES["top_picks"](spark, SF)
+    assert not [f for f in picks.inputFiles() if "lineitem" in f or "orders" in f]
+    windows = [line for line in plan_of(picks).splitlines() if "Window [row_number" in line and "of_author" in line]
+    assert windows and not any("genres" in line for line in windows)
